@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowloom.functions.labels import flow_id
 from flowloom.functions.ordered import chunk_of, number_rows
 from flowloom.schemas import CHUNK_ROWS, SEGMENT_PACKETS
+from flowloom.session import cut_lineage
 
 FLOW_KEY = ["capture_id", "flow_key"]
 
@@ -228,6 +229,23 @@ def sessions(assigned: DataFrame) -> DataFrame:
     )
 
 
+def _session_table(assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sessions and each capture's end and packet count.
+
+    The sweep reads the sessions several times; they are written once so that
+    the packets behind them are read once.
+    """
+    opened = cut_lineage(
+        sessions(assigned).select(
+            "capture_id", "first_packet", "first_seconds", "last_seconds", "packet_count"
+        )
+    )
+    ends = opened.groupBy("capture_id").agg(
+        F.max("last_seconds").alias("capture_end"), F.sum("packet_count").alias("packet_count")
+    )
+    return opened, ends
+
+
 def _expiry(last: Column, stale: float) -> Column:
     """Least double ``e`` with ``e - last >= stale``: the instant a flow is dropped."""
     guess = last + F.lit(stale)
@@ -307,10 +325,7 @@ def flow_concurrency(
 
     Expiries at an instant apply before the packets at that instant.
     """
-    opened = sessions(assigned)
-    ends = assigned.groupBy("capture_id").agg(
-        F.max("timestamp_seconds").alias("capture_end"), F.count(F.lit(1)).alias("packet_count")
-    )
+    opened, ends = _session_table(assigned)
     swept = _sweep(
         opened, ends.select("capture_id", "capture_end"), stale_after_seconds, span_seconds
     )
@@ -348,10 +363,11 @@ def capacity_refusals(
     """
     if max_tracked_flows < 1:
         raise ValueError("maximum tracked flows must be positive")
-    opened = sessions(assigned)
-    ends = assigned.groupBy("capture_id").agg(F.max("timestamp_seconds").alias("capture_end"))
+    opened, ends = _session_table(assigned)
     over = (
-        _sweep(opened, ends, stale_after_seconds, span_seconds)
+        _sweep(
+            opened, ends.select("capture_id", "capture_end"), stale_after_seconds, span_seconds
+        )
         .where(F.col("held") > max_tracked_flows)
         .groupBy("capture_id")
         .agg(

@@ -135,6 +135,7 @@ def exact_quantiles(
         raise ValueError("at least one probability is required")
     slack = 2.0 / accuracy
     cuts = [min(max(p + side * slack, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
+    df = df.where(F.col(value).isNotNull())
     approx = df.agg(
         F.percentile_approx(value, [float(c) for c in cuts], accuracy).alias("_cuts"),
         F.min(value).alias("_min"),

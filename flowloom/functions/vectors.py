@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,11 +15,20 @@ def squared_distance(left: Column, right: Column) -> Column:
     )
 
 
-def softmax(logits: Column) -> Column:
-    """Probabilities from logits, shifted by the largest for stability."""
-    shifted = F.transform(logits, lambda z: F.exp(z - F.array_max(logits)))
-    return F.transform(
-        shifted, lambda e: e / F.aggregate(shifted, F.lit(0.0), lambda total, x: total + x)
+def with_softmax(df: DataFrame, logits: str, name: str) -> DataFrame:
+    """Add probabilities of a logit array, shifted by the largest for stability.
+
+    The largest logit and the sum are columns of their own, so neither is worked
+    out again for every element.
+    """
+    return (
+        df.withColumn("_top", F.array_max(logits))
+        .withColumn("_powers", F.transform(logits, lambda z: F.exp(z - F.col("_top"))))
+        .withColumn(
+            "_sum", F.aggregate("_powers", F.lit(0.0), lambda total, power: total + power)
+        )
+        .withColumn(name, F.transform("_powers", lambda power: power / F.col("_sum")))
+        .drop("_top", "_powers", "_sum")
     )
 
 

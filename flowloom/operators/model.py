@@ -20,8 +20,8 @@ from flowloom.functions.vectors import (
     argmax,
     log_sum_exp,
     pinv_diagonal,
-    softmax,
     squared_distance,
+    with_softmax,
 )
 from flowloom.schemas import SUPPORT_PER_CLASS, SUPPORT_SEED
 
@@ -284,10 +284,10 @@ def with_mahalanobis(
     )
 
 
-def with_prediction(rows: DataFrame, labels: Sequence, logits: Column) -> DataFrame:
+def with_prediction(rows: DataFrame, labels: Sequence, logits: str) -> DataFrame:
     """Add probabilities, predicted index and label, and the raw confidence."""
     return (
-        rows.withColumn("class_probabilities", softmax(logits))
+        with_softmax(rows, logits, "class_probabilities")
         .withColumn("predicted_index", argmax(F.col("class_probabilities")))
         .withColumn(
             "predicted",

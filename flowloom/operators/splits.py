@@ -193,7 +193,7 @@ def candidate_splits(groups: DataFrame, *, seeds: int, first_seed: int = 1) -> D
         "capture_id", "vpn_status", "application", "category", "windows"
     ).withColumn(
         "seed", F.explode(F.sequence(F.lit(first_seed), F.lit(first_seed + seeds - 1)))
-    ).withColumn("_draw", F.xxhash64("seed", "capture_id"))
+    ).withColumn("_draw", F.sha2(F.concat_ws(":", F.col("seed").cast("string"), "capture_id"), 256))
 
     def smallest(rows: DataFrame, group: str, names: tuple[str, str]) -> DataFrame:
         order = Window.partitionBy("seed", group).orderBy("_draw", "capture_id")
@@ -212,7 +212,8 @@ def candidate_splits(groups: DataFrame, *, seeds: int, first_seed: int = 1) -> D
     fixed = smallest(drawn, "application", ("train", "test"))
     others = drawn.join(fixed, ["seed", "capture_id"], "left_anti")
     forced = fixed.unionByName(smallest(others, "category", ("validation", "calibration")))
-    uniform = F.pmod("_draw", F.lit(1_000_003)) / F.lit(1_000_003.0)
+    # The first eight hex digits as a fraction of their range.
+    uniform = F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     free, edge = F.lit(PARTITIONS[-1]), 1.0
     for name in reversed(PARTITIONS[:-1]):
         edge = sum(SPLIT_FRACTIONS[p] for p in PARTITIONS[: PARTITIONS.index(name) + 1])

@@ -62,12 +62,27 @@ CAPTURE_SQL = f"""(CASE WHEN ((user_id % 40) // 10) % 2 = 1 THEN 'vpn' ELSE 'non
     || '_' || ({_APPS})[(user_id % 10) + 1] || '_capture' || (user_id % 40)::VARCHAR || '.pcap'"""
 
 
+def application_sql(name: str) -> str:
+    """Application keyword in a well-formed capture name."""
+    return f"list_filter({_APPS}, lambda a: contains(lower({name}), a))[1]"
+
+
+def category_sql(name: str) -> str:
+    """Category of a well-formed capture name."""
+    return f"(CASE {application_sql(name)} {_CATEGORY} END)"
+
+
 def labels_sql(name: str) -> str:
     """Label columns parsed from a well-formed capture name."""
-    app = f"list_filter({_APPS}, lambda a: contains(lower({name}), a))[1]"
     return f"""(CASE WHEN starts_with(lower({name}), 'nonvpn_') THEN 'nonvpn' ELSE 'vpn' END)
-        AS vpn_status, {app} AS application,
-        (CASE {app} {_CATEGORY} END) AS category"""
+        AS vpn_status, {application_sql(name)} AS application, {category_sql(name)} AS category"""
+
+
+def role_sql(key: str) -> str:
+    """SQL twin of the hashed partition of a text key."""
+    digits = f"substr(sha256({key}), 1, 2)"
+    return f"""(CASE WHEN {digits} < '9a' THEN 'train' WHEN {digits} < 'c0' THEN 'validation'
+        WHEN {digits} < 'da' THEN 'calibration' ELSE 'test' END)"""
 
 
 PACKETS_SQL = f"""events_in AS (

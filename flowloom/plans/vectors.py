@@ -15,6 +15,7 @@ from flowloom.plans.settings import (
     WINDOW,
     WINDOWED_SQL,
     as_float,
+    category_sql,
     float_sql,
     labels_sql,
     windowed,
@@ -302,11 +303,11 @@ _FAMILY_SQL = {
 }
 _WAVELET_SQL = f"""WITH {WINDOWED_SQL}, {_HELD}, {_BINS_SQL}, {_transform_sql()}
 SELECT capture_id, flow_id, window_index, direction, band,
-  {", ".join(f"round({v}, 4) AS {f}" for f, v in _FAMILY_SQL.items())}
+  {", ".join(f"{float_sql(v)} AS {f}" for f, v in _FAMILY_SQL.items())}
 FROM described"""
 
 
-@_register("wavelet_features")
+@_register("wavelet_features", _WAVELET_SQL)
 def wavelet_query(spark: SparkSession, folder: str) -> DataFrame:
     vectors = _signals(spark, folder)
     cells = F.explode(
@@ -316,9 +317,7 @@ def wavelet_query(spark: SparkSession, folder: str) -> DataFrame:
                 F.floor(k / WAVELET_BANDS).cast("int").alias("direction"),
                 F.pmod(k, F.lit(WAVELET_BANDS)).alias("band"),
                 *[
-                    F.round(
-                        F.get("wavelet", k + family * 2 * WAVELET_BANDS).cast("double"), 4
-                    ).alias(name)
+                    F.get("wavelet", k + family * 2 * WAVELET_BANDS).cast("double").alias(name)
                     for family, name in enumerate(WAVELET_FAMILIES)
                 ],
             ),
@@ -327,7 +326,26 @@ def wavelet_query(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.select(*WINDOW_KEY, cells.alias("c")).select(*WINDOW_KEY, "c.*")
 
 
-@_register("feature_vectors")
+def _vector_sql() -> str:
+    """All 129 values: the three statistic twins joined to the pivoted transform."""
+    key = "capture_id, flow_id, window_index"
+    cells = ", ".join(
+        f"max(CASE WHEN direction = {side} AND band = {band} THEN {family} END) "
+        f"AS {name}_{family}_{band}"
+        for family in WAVELET_FAMILIES
+        for side, name in enumerate(("in", "out"))
+        for band in range(WAVELET_BANDS)
+    )
+    return f"""WITH iat AS ({_IAT_SQL}), act AS ({_active_sql(ACTIVITY)}),
+total AS ({_aggregate_sql(False)}),
+swt AS (SELECT {key}, {cells} FROM ({_WAVELET_SQL}) GROUP BY {key})
+SELECT capture_id || ':' || flow_id || ':' || window_index AS window_id,
+  {category_sql("capture_id")} AS category, iat.packet_count,
+  {", ".join(FEATURE_COLUMNS)}
+FROM iat JOIN act USING ({key}) JOIN total USING ({key}) JOIN swt USING ({key})"""
+
+
+@_register("feature_vectors", _vector_sql())
 def feature_vector_query(spark: SparkSession, folder: str) -> DataFrame:
     return features.feature_vectors(
         windowed(spark, folder),
@@ -335,7 +353,12 @@ def feature_vector_query(spark: SparkSession, folder: str) -> DataFrame:
         bin_seconds=BIN,
         activity_timeout=ACTIVITY,
         minimum_packets=MINIMUM,
-    ).select("window_id", "category", "packet_count", *FEATURE_COLUMNS)
+    ).select(
+        "window_id",
+        "category",
+        "packet_count",
+        *[F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS],
+    )
 
 
 _FEATURE_TOTALS = (

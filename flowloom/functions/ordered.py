@@ -136,25 +136,25 @@ def exact_quantiles(
     slack = 2.0 / accuracy
     cuts = [min(max(p + side * slack, 0.0), 1.0) for p in probabilities for side in (-1, 1)]
     df = df.where(F.col(value).isNotNull())
-    approx = df.agg(
-        F.percentile_approx(value, [float(c) for c in cuts], accuracy).alias("_cuts"),
-        F.min(value).alias("_min"),
-        F.max(value).alias("_max"),
-    )
-    brackets = approx.select(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(float(p)).alias("probability"),
-                    # A bracket at the end of the range is opened fully.
-                    (F.col("_min") if cuts[2 * i] <= 0.0 else F.col("_cuts")[2 * i]).alias("low"),
-                    (F.col("_max") if cuts[2 * i + 1] >= 1.0 else F.col("_cuts")[2 * i + 1]).alias(
-                        "high"
-                    ),
-                )
-                for i, p in enumerate(probabilities)
-            ]
-        ).alias("_brackets")
+    found = df.agg(
+        F.percentile_approx(value, [float(c) for c in cuts], accuracy).alias("cuts"),
+        F.min(value).alias("low"),
+        F.max(value).alias("high"),
+    ).first()
+    if found["cuts"] is None:
+        return df.sparkSession.createDataFrame([], "probability double, quantile double")
+    # Two numbers per probability; a bracket at the end of the range is opened fully.
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(float(p)).alias("probability"),
+                F.lit(found["low"] if cuts[2 * i] <= 0.0 else found["cuts"][2 * i]).alias("low"),
+                F.lit(
+                    found["high"] if cuts[2 * i + 1] >= 1.0 else found["cuts"][2 * i + 1]
+                ).alias("high"),
+            )
+            for i, p in enumerate(probabilities)
+        ]
     )
     value_at = F.col("_value")
     zone = (
@@ -166,9 +166,7 @@ def exact_quantiles(
     # next to the bracket; a target rank can miss the bracket by one row at most.
     placed = (
         df.select(F.col(value).alias("_value"))
-        # one row of brackets, a fixed number of them
-        .join(F.broadcast(brackets))
-        .select("_value", F.explode("_brackets").alias("b"))
+        .select("_value", F.explode(brackets).alias("b"))
         .select(F.col("b.probability").alias("probability"), zone.alias("zone"), "_value")
         .groupBy(
             "probability", "zone", F.when(F.col("zone") == 1, value_at).alias("_inside")

@@ -2,41 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def squared_distance(left: Column, right: Column) -> Column:
-    """Sum of squared differences of two arrays."""
-    return F.aggregate(
-        F.zip_with(left, right, lambda a, b: (a - b) * (a - b)),
-        F.lit(0.0),
-        lambda total, term: total + term,
-    )
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times in an expression while working it out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_softmax(df: DataFrame, logits: str, name: str) -> DataFrame:
-    """Add probabilities of a logit array, shifted by the largest for stability.
+def softmax(logits: Column) -> Column:
+    """Probabilities of a logit array, shifted by the largest for stability."""
 
-    The largest logit and the sum are columns of their own, so neither is worked
-    out again for every element.
-    """
-    return (
-        df.withColumn("_top", F.array_max(logits))
-        .withColumn("_powers", F.transform(logits, lambda z: F.exp(z - F.col("_top"))))
-        .withColumn(
-            "_sum", F.aggregate("_powers", F.lit(0.0), lambda total, power: total + power)
+    def share(powers: Column) -> Column:
+        return F.aggregate(
+            powers,
+            F.lit(0.0),
+            lambda total, power: total + power,
+            lambda total: F.transform(powers, lambda power: power / total),
         )
-        .withColumn(name, F.transform("_powers", lambda power: power / F.col("_sum")))
-        .drop("_top", "_powers", "_sum")
+
+    return _bind(
+        F.array_max(logits),
+        lambda top: _bind(F.transform(logits, lambda z: F.exp(z - top)), share),
     )
 
 
 def log_sum_exp(logits: Column) -> Column:
     """Logarithm of the summed exponentials of an array."""
-    top = F.array_max(logits)
-    return top + F.log(
-        F.aggregate(logits, F.lit(0.0), lambda total, z: total + F.exp(z - top))
+    return _bind(
+        F.array_max(logits),
+        lambda top: F.aggregate(
+            logits,
+            F.lit(0.0),
+            lambda total, z: total + F.exp(z - top),
+            lambda total: top + F.log(total),
+        ),
     )
 
 
@@ -45,18 +48,6 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def pinv_diagonal(values: Column, dimension: int) -> Column:
-    """Pseudo-inverse of a diagonal matrix given by its diagonal.
-
-    Entries at or below ``dimension * eps(float32) * max`` count as zero.
-    """
-    # Fixed value: float32 machine epsilon.
-    cutoff = F.lit(dimension * 2.0**-23) * F.array_max(values)
-    return F.transform(
-        values, lambda v: F.when(v > cutoff, F.lit(1.0) / v).otherwise(F.lit(0.0))
-    )
-
-
 # Coefficients of the published closed form of the standard normal
 # distribution function (West 2005, after Hart): rational part below 7.07...,
 # continued fraction above.

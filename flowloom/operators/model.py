@@ -7,6 +7,7 @@ class and are bounded by the class list, which callers pass in result order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowloom.functions.vectors import (
-    argmax,
-    log_sum_exp,
-    pinv_diagonal,
-    squared_distance,
-    with_softmax,
-)
+from flowloom.functions.vectors import argmax, log_sum_exp, softmax
 from flowloom.schemas import SUPPORT_PER_CLASS, SUPPORT_SEED
 
 # Classes a state table may hold before its broadcast is refused.
@@ -64,18 +59,15 @@ def fit_standardizer(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
 
 
 def standardize(rows: DataFrame, scaler: DataFrame, vector: str, name: str | None = None) -> DataFrame:
-    """``(x - mean) / scale`` in double, kept as float."""
-    state = scaler.select(F.struct("mean", "scale").alias("_scaler"))
-    centred = F.zip_with(
-        F.col(vector), F.col("_scaler.mean"), lambda x, m: x.cast("double") - m
-    )
-    return (
-        rows.join(F.broadcast(state))  # one row
-        .withColumn(
-            name or vector,
-            F.zip_with(centred, F.col("_scaler.scale"), lambda x, s: (x / s).cast("float")),
-        )
-        .drop("_scaler")
+    """``(x - mean) / scale`` in double, kept as float.
+
+    The scaler is one row of one number per element and becomes literals.
+    """
+    state = scaler.select("mean", "scale").first()
+    mean, scale = (F.array(*[F.lit(v) for v in state[part]]) for part in ("mean", "scale"))
+    centred = F.zip_with(F.col(vector), mean, lambda x, m: x.cast("double") - m)
+    return rows.withColumn(
+        name or vector, F.zip_with(centred, scale, lambda x, s: (x / s).cast("float"))
     )
 
 
@@ -224,70 +216,81 @@ def class_statistics(rows: DataFrame, vector: str, dimension: int, label: str =
     )
 
 
-def class_state(statistics: DataFrame, labels: Sequence, dimension: int) -> DataFrame:
-    """All class rows in label order as one row ``classes``.
+def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
+    """Arrow list column of equal-length vectors as ``[rows, dimension]`` doubles."""
+    return np.asarray(vectors.flatten(), dtype=np.float64).reshape(-1, dimension)
+
 
-    Every label must be present; the class list bounds the row.
+@dataclass(frozen=True)
+class ClassState:
+    """Means and inverse variances of the classes, in label order."""
+
+    labels: tuple
+    means: np.ndarray
+    precisions: np.ndarray
+
+
+def class_state(statistics: DataFrame, labels: Sequence) -> ClassState:
+    """Driver-side class state, bounded by the class list; every label is required.
+
+    Variances at or below ``D * eps(float32) * max`` of their class count as
+    zero and get precision zero, as in a pseudo-inverse.
     """
     if not 2 <= len(labels) <= MAXIMUM_CLASSES:
         raise ModelError("class count must be at least two and bounded")
-    order = F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("label"))
-    packed = statistics.where(F.col("label").isin(*labels)).select(
-        F.struct(
-            order.alias("position"),
-            "label",
-            "mean",
-            pinv_diagonal(F.col("variance"), dimension).alias("precision"),
-        ).alias("c")
-    )
-    gathered = packed.agg(F.array_sort(F.collect_list("c")).alias("classes"))
-    return gathered.select(
-        F.when(F.size("classes") == len(labels), F.col("classes"))
-        .otherwise(F.raise_error(F.lit("support set must contain every class")))
-        .alias("classes")
-    )
+    found = {
+        r["label"]: r for r in statistics.where(F.col("label").isin(*labels)).collect()
+    }
+    if set(found) != set(labels):
+        raise ModelError("support set must contain every class")
+    means = np.array([found[v]["mean"] for v in labels], dtype=np.float64)
+    variances = np.array([found[v]["variance"] for v in labels], dtype=np.float64)
+    cutoff = means.shape[1] * float(np.finfo(np.float32).eps)
+    kept = variances > cutoff * variances.max(axis=1, keepdims=True)
+    precisions = np.divide(1.0, variances, out=np.zeros_like(variances), where=kept)
+    return ClassState(tuple(labels), means, precisions)
+
+
+def _with_class_distances(
+    rows: DataFrame, means: np.ndarray, weights: np.ndarray, sign: float, vector: str, name: str
+) -> DataFrame:
+    """Signed weighted squared distance of each row to each class, in label order."""
+    classes, dimension = means.shape
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def distances(vectors: pa.Array) -> pa.Array:
+        x = _matrix(vectors, dimension)
+        found = np.empty((len(x), classes))
+        for k in range(classes):
+            difference = x - means[k]
+            found[:, k] = sign * np.einsum("nf,nf,f->n", difference, difference, weights[k])
+        offsets = np.arange(0, (len(x) + 1) * classes, classes, dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.reshape(-1)))
+
+    return rows.withColumn(name, distances(F.col(vector)))
 
 
-def with_logits(rows: DataFrame, state: DataFrame, vector: str, name: str = "logits") -> DataFrame:
+def with_logits(rows: DataFrame, state: ClassState, vector: str, name: str = "logits") -> DataFrame:
     """Negative squared distance to every class prototype, in label order."""
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
-    return (
-        rows.join(F.broadcast(state))  # one row
-        .withColumn(
-            name, F.transform("classes", lambda c: -squared_distance(x, c["mean"]))
-        )
-        .drop("classes")
+    return _with_class_distances(
+        rows, state.means, np.ones_like(state.means), -1.0, vector, name
     )
 
 
 def with_mahalanobis(
-    rows: DataFrame, state: DataFrame, vector: str, name: str = "distances"
+    rows: DataFrame, state: ClassState, vector: str, name: str = "distances"
 ) -> DataFrame:
     """Diagonal Mahalanobis distance to every class, in label order.
 
     Elements without variance in a class drop out of its distance.
     """
-    x = F.transform(F.col(vector), lambda v: v.cast("double"))
-
-    def distance(c: Column) -> Column:
-        squares = F.zip_with(x, c["mean"], lambda a, b: (a - b) * (a - b))
-        return F.aggregate(
-            F.zip_with(squares, c["precision"], lambda s, p: s * p),
-            F.lit(0.0),
-            lambda total, term: total + term,
-        )
+    return _with_class_distances(rows, state.means, state.precisions, 1.0, vector, name)
 
-    return (
-        rows.join(F.broadcast(state))  # one row
-        .withColumn(name, F.transform("classes", distance))
-        .drop("classes")
-    )
 
-
-def with_prediction(rows: DataFrame, labels: Sequence, logits: str) -> DataFrame:
+def with_prediction(rows: DataFrame, labels: Sequence, logits: Column) -> DataFrame:
     """Add probabilities, predicted index and label, and the raw confidence."""
     return (
-        with_softmax(rows, logits, "class_probabilities")
+        rows.withColumn("class_probabilities", softmax(logits))
         .withColumn("predicted_index", argmax(F.col("class_probabilities")))
         .withColumn(
             "predicted",
@@ -394,6 +397,36 @@ def read_geometry(
     return geometry
 
 
+@dataclass(frozen=True)
+class _Geometry:
+    """Stacked geometry: one slot per class name, the global one included."""
+
+    slot: dict[str, int]
+    means: np.ndarray
+    precisions: np.ndarray
+
+    @classmethod
+    def of(cls, geometry: dict[str, tuple[np.ndarray, np.ndarray]]) -> _Geometry:
+        names = sorted(geometry)
+        return cls(
+            {n: i for i, n in enumerate(names)},
+            np.stack([geometry[n][0] for n in names]),
+            np.stack([geometry[n][1] for n in names]),
+        )
+
+    def distance(self, x: np.ndarray, slot: int) -> np.ndarray:
+        difference = x - self.means[slot]
+        return np.einsum("nf,nf->n", difference @ self.precisions[slot], difference)
+
+    def relative(self, x: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Distance to each row's own slot minus distance to all rows."""
+        scores = -self.distance(x, self.slot[GLOBAL_LABEL])
+        for slot in np.unique(slots):
+            own = slots == slot
+            scores[own] += self.distance(x[own], slot)
+        return scores
+
+
 def with_relative_mahalanobis(
     rows: DataFrame,
     geometry: dict[str, tuple[np.ndarray, np.ndarray]],
@@ -403,29 +436,71 @@ def with_relative_mahalanobis(
     name: str = "relative_distance",
 ) -> DataFrame:
     """Distance to the row's class minus distance to all rows."""
-    names = sorted(geometry)
-    means = np.stack([geometry[n][0] for n in names])
-    precisions = np.stack([geometry[n][1] for n in names])
-    slot = {n: i for i, n in enumerate(names)}
-    dimension = means.shape[1]
-
-    def distance(x: np.ndarray, mean: np.ndarray, precision: np.ndarray) -> np.ndarray:
-        d = x - mean
-        return np.einsum("nf,fg,ng->n", d, precision, d, optimize=True)
+    stacked = _Geometry.of(geometry)
+    dimension = stacked.means.shape[1]
 
     @F.arrow_udf(T.DoubleType())
     def relative(vectors: pa.Array, labels: pa.Array) -> pa.Array:
-        x = np.asarray(vectors.flatten(), dtype=np.float64).reshape(-1, dimension)
-        slots = np.asarray([slot[v] for v in labels.to_pylist()], dtype=np.int64)
-        scores = -distance(x, means[slot[GLOBAL_LABEL]], precisions[slot[GLOBAL_LABEL]])
-        for k in np.unique(slots):
-            own = slots == k
-            scores[own] += distance(x[own], means[k], precisions[k])
-        return pa.array(scores)
+        slots = np.array([stacked.slot[v] for v in labels.to_pylist()], dtype=np.int64)
+        return pa.array(stacked.relative(_matrix(vectors, dimension), slots))
 
     return rows.withColumn(name, relative(F.col(vector), F.col(label).cast("string")))
 
 
+def with_scores(
+    rows: DataFrame,
+    state: ClassState,
+    geometry: dict[str, tuple[np.ndarray, np.ndarray]],
+    *,
+    vector: str,
+) -> DataFrame:
+    """Probabilities, predicted class and its relative distance, in one Arrow pass.
+
+    Same values as :func:`with_mahalanobis`, :func:`with_prediction` and
+    :func:`with_relative_mahalanobis` one after the other.
+    """
+    stacked = _Geometry.of(geometry)
+    slots_of = np.array([stacked.slot[str(v)] for v in state.labels], dtype=np.int64)
+    classes, dimension = state.means.shape
+    result = (
+        "struct<class_probabilities:array<double>,predicted_index:int,"
+        "raw_confidence:double,relative_distance:double>"
+    )
+
+    @F.arrow_udf(result)
+    def score(vectors: pa.Array) -> pa.Array:
+        x = _matrix(vectors, dimension)
+        logits = np.empty((len(x), classes))
+        for k in range(classes):
+            difference = x - state.means[k]
+            logits[:, k] = -np.einsum("nf,nf,f->n", difference, difference, state.precisions[k])
+        shares = np.exp(logits - logits.max(axis=1, keepdims=True))
+        shares /= shares.sum(axis=1, keepdims=True)
+        best = shares.argmax(axis=1)
+        offsets = np.arange(0, (len(x) + 1) * classes, classes, dtype=np.int32)
+        return pa.StructArray.from_arrays(
+            [
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(shares.reshape(-1))),
+                pa.array(best.astype(np.int32)),
+                pa.array(shares.max(axis=1)),
+                pa.array(stacked.relative(x, slots_of[best])),
+            ],
+            names=[
+                "class_probabilities",
+                "predicted_index",
+                "raw_confidence",
+                "relative_distance",
+            ],
+        )
+
+    names = F.array(*[F.lit(v) for v in state.labels])
+    return (
+        rows.withColumn("_s", score(F.col(vector)))
+        .select(*rows.columns, "_s.*")
+        .withColumn("predicted", F.element_at(names, F.col("predicted_index") + 1))
+    )
+
+
 def global_statistics(rows: DataFrame, vector: str, dimension: int, label: str = "label") -> DataFrame:
     """Class statistics plus one row over all classes, labels as text."""
     both = rows.select(

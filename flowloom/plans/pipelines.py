@@ -67,7 +67,7 @@ class FrozenModel:
     scaler: DataFrame | None
     layers: Layers | None
     statistics: DataFrame
-    classes: DataFrame
+    classes: model.ClassState
     geometry: Mapping[str, tuple[np.ndarray, np.ndarray]]
     densities: DataFrame
     blocks: DataFrame
@@ -136,7 +136,7 @@ def calibrate(
         scaler=scaler,
         layers=layers,
         statistics=statistics,
-        classes=model.class_state(statistics, labels, dimension),
+        classes=model.class_state(statistics, labels),
         geometry=geometry,
         densities=densities,
         blocks=blocks,
@@ -146,13 +146,8 @@ def calibrate(
 def score_rows(rows: DataFrame, frozen: FrozenModel, *, vector: str) -> DataFrame:
     """Probabilities, predicted class, relative distance and density score per row."""
     embedded = prepare(rows, frozen.scaler, frozen.layers, vector)
-    distances = model.with_mahalanobis(embedded, frozen.classes, vector)
-    negated = distances.withColumn("distances", F.transform("distances", lambda d: -d))
-    predicted = model.with_prediction(negated, frozen.labels, "distances")
-    relative = model.with_relative_mahalanobis(
-        predicted, frozen.geometry, vector=vector, label="predicted"
-    )
-    return density.with_ood_score(relative, frozen.blocks).drop("distances")
+    scored = model.with_scores(embedded, frozen.classes, frozen.geometry, vector=vector)
+    return density.with_ood_score(scored, frozen.blocks)
 
 
 def traceable(scored: DataFrame, provenance: Mapping[str, str]) -> DataFrame:
@@ -210,15 +205,14 @@ def validate_candidate(
         model.select_support(training, maximum_per_class=maximum_support), scaler, layers, vector
     )
     statistics = model.class_statistics(support, vector, dimension)
-    state = model.class_state(statistics, labels, dimension)
+    state = model.class_state(statistics, labels)
     distances = model.with_mahalanobis(
         prepare(validation, scaler, layers, vector), state, vector
     )
-    negated = distances.withColumn("distances", F.transform("distances", lambda d: -d))
     predicted = cut_lineage(
-        model.with_prediction(negated, labels, "distances").select(
-            "label", "predicted", "raw_confidence"
-        )
+        model.with_prediction(
+            distances, labels, F.transform("distances", lambda d: -d)
+        ).select("label", "predicted", "raw_confidence")
     )
     confusion = evaluate.confusion_counts(predicted, labels)
     per_class = evaluate.class_metrics(confusion)

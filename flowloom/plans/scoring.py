@@ -49,9 +49,9 @@ def statistics(spark: SparkSession, folder: str) -> DataFrame:
 
 def prototypes_scored(spark: SparkSession, folder: str) -> DataFrame:
     """All rows with prototype logits and predictions."""
-    state = model.class_state(statistics(spark, folder), LABELS, D)
+    state = model.class_state(statistics(spark, folder), LABELS)
     scored = model.with_logits(rows(spark, folder), state, "embedding")
-    return model.with_prediction(scored, LABELS, "logits")
+    return model.with_prediction(scored, LABELS, F.col("logits"))
 
 
 ROWS_SQL = f"""rows_in AS (
@@ -215,7 +215,7 @@ def class_variance_query(spark: SparkSession, folder: str) -> DataFrame:
     f"WITH {LOGITS_SQL} SELECT row_id, k, {float_sql('logit')} AS logit FROM logits",
 )
 def logit_query(spark: SparkSession, folder: str) -> DataFrame:
-    state = model.class_state(statistics(spark, folder), LABELS, D)
+    state = model.class_state(statistics(spark, folder), LABELS)
     scored = model.with_logits(rows(spark, folder), state, "embedding")
     return scored.select("row_id", F.posexplode("logits").alias("k", "logit")).withColumn(
         "logit", as_float(F.col("logit"))
@@ -286,7 +286,7 @@ def diagonal_query(spark: SparkSession, folder: str) -> DataFrame:
         ),
     )
     fitted = model.class_statistics(role(every, "train"), "embedding", D)
-    state = model.class_state(fitted, LABELS, D)
+    state = model.class_state(fitted, LABELS)
     scored = model.with_mahalanobis(every, state, "embedding")
     return scored.select("row_id", F.posexplode("distances").alias("k", "distance")).withColumn(
         "distance", as_float(F.col("distance"))

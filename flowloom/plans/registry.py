@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.plans import roles, scoring, traffic, vectors
+from flowloom.plans import roles, scoring, sessions, traffic, vectors
 
-_MODULES = (traffic, vectors, roles, scoring)
+_MODULES = (traffic, vectors, roles, scoring, sessions)
 
 
 def queries() -> dict:

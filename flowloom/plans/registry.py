@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.plans import roles, scoring, sessions, traffic, vectors
+from flowloom.plans import roles, scoring, sessions, streams, traffic, vectors
 
-_MODULES = (traffic, vectors, roles, scoring, sessions)
+_MODULES = (traffic, vectors, roles, scoring, sessions, streams)
 
 
 def queries() -> dict:

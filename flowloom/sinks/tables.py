@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.functions.ordered import number_rows
 from flowloom.operators.splits import split_objective, split_summary
 from flowloom.operators.summary import window_summary
 from flowloom.operators.validate import ContractError, require_none, require_schema
@@ -222,17 +223,25 @@ def write_report(report: DataFrame, path: str) -> None:
     report.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def append_events(events: DataFrame, table: str) -> None:
-    """Append events once: keys already in the table are left out.
+def append_events(events: DataFrame, table: str, batch_id: int, order: str) -> None:
+    """Append one batch of events, numbering each run on from the batches before.
 
-    Used from ``foreachBatch``, where a batch may be delivered again.
+    The batch is stored under its own id and replaces itself when delivered
+    again; numbers continue from the batches with smaller ids only, so a second
+    delivery gives the same sequences.
     """
     spark = events.sparkSession
-    fresh = events
-    if _exists(spark, table):
-        stored = spark.read.parquet(table).select("run_id", "sequence")
-        fresh = events.join(stored, ["run_id", "sequence"], "left_anti")
-    fresh.write.mode("append").parquet(table)
+    numbered = number_rows(events, ["run_id"], order, "_nth")
+    if batch_id > 0 and _exists(spark, table):
+        stored = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
+        last = stored.groupBy("run_id").agg(F.max("sequence").alias("_last"))
+        numbered = numbered.join(last, "run_id", "left")
+    else:
+        numbered = numbered.withColumn("_last", F.lit(0))
+    sequence = F.coalesce(F.col("_last"), F.lit(0)).cast("bigint") + F.col("_nth")
+    numbered.withColumn("sequence", sequence).drop("_nth", "_last").write.mode(
+        "overwrite"
+    ).parquet(f"{table.rstrip('/')}/batch_id={batch_id}")
 
 
 def require_sequences(events: DataFrame) -> None:

@@ -1,13 +1,11 @@
-"""Streaming flow windows and prediction events.
+"""Streaming flow windows, counters and prediction events.
 
-Two forms of the same semantics:
-
-* :func:`stream_windows` assigns packets to flows and windows with keyed state,
-  one key per flow.  State is spread by flow, not by capture, and holds only the
-  flow's open window.
-* :func:`stream_window_counts` is a plain streaming aggregation for counters and
-  byte totals; partial sums are combined before the shuffle, so one hot flow
-  costs one row per task and trigger.
+:func:`stream_windows` keeps one state per flow: the flow's orientation and the
+totals of its open window.  Packets are combined per task, flow and window
+before they are shuffled, so a flow holding a third of the stream reaches its
+state as one row per task and window.  That is exact because a flow may not be
+forgotten inside a window: no session can break between two packets of the same
+window, and the orientation of a session is that of its lowest packet number.
 
 Sources, scorers and event handlers are arguments: any streaming DataFrame of
 the packet schema, any function from feature rows to prediction rows, any
@@ -19,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -29,34 +27,26 @@ from flowloom.operators.flows import with_flow_key
 from flowloom.operators.windows import check_window
 from flowloom.sinks.tables import append_events
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-_WINDOW_ROWS = T.StructType(
-    [
-        T.StructField("capture_id", T.StringType()),
-        T.StructField("src", T.StringType()),
-        T.StructField("sport", T.IntegerType()),
-        T.StructField("dst", T.StringType()),
-        T.StructField("dport", T.IntegerType()),
-        T.StructField("proto", T.IntegerType()),
-        T.StructField("session", T.LongType()),
-        T.StructField("window_index", T.LongType()),
-        T.StructField("packet_count", T.LongType()),
-        T.StructField("outgoing_packets", T.LongType()),
-        T.StructField("bytes", T.LongType()),
-        T.StructField("outgoing_bytes", T.LongType()),
-        T.StructField("first_packet", T.LongType()),
-        T.StructField("last_packet", T.LongType()),
-        T.StructField("first_seconds", T.DoubleType()),
-        T.StructField("last_seconds", T.DoubleType()),
-        T.StructField("fault", T.StringType()),
-    ]
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+_KEYS = ["capture_id", "low_address", "low_port", "high_address", "high_port", "proto"]
+_KEY_TYPES = (
+    "capture_id string, low_address string, low_port int, high_address string, high_port int, "
+    "proto int"
 )
-_FLOW_STATE = "low_to_high boolean, last_seconds double, last_packet bigint, session bigint"
-_OPEN_STATE = (
-    "window_index bigint, packets bigint, outgoing bigint, bytes bigint, outgoing_bytes bigint, "
-    "first_packet bigint, last_packet bigint, first_seconds double, last_seconds double"
+_TOTALS = (
+    "window_index bigint, packets bigint, up_packets bigint, bytes bigint, up_bytes bigint, "
+    "first_packet bigint, last_packet bigint, first_seconds double, last_seconds double, "
+    "opens_up boolean"
 )
+_TOTAL_NAMES = [part.strip().split(" ")[0] for part in _TOTALS.split(",")]
+# Orientation of the session, its number, and the window it is in.
+_OPEN_STATE = f"session bigint, session_up boolean, {_TOTALS}"
+_WINDOW_ROWS = f"{_KEY_TYPES}, session bigint, session_up boolean, {_TOTALS}, fault string"
+_WINDOW_NAMES = [part.strip().split(" ")[0] for part in _WINDOW_ROWS.split(",")]
+
+# Combined rows a task holds before it passes them on.
+_HELD_ROWS = 50_000
 
 
 def check_stale(stale_after_seconds: float | None, window_seconds: float) -> None:
@@ -68,107 +58,182 @@ def check_stale(stale_after_seconds: float | None, window_seconds: float) -> Non
         )
 
 
+def _merge(parts: pd.DataFrame) -> pd.DataFrame:
+    """One row per flow and window from rows of partial totals."""
+    ordered = parts.sort_values("first_packet", kind="stable")
+    return (
+        ordered.groupby([*_KEYS, "window_index"], sort=False, dropna=False)
+        .agg(
+            packets=("packets", "sum"),
+            up_packets=("up_packets", "sum"),
+            bytes=("bytes", "sum"),
+            up_bytes=("up_bytes", "sum"),
+            first_packet=("first_packet", "min"),
+            last_packet=("last_packet", "max"),
+            first_seconds=("first_seconds", "min"),
+            last_seconds=("last_seconds", "max"),
+            opens_up=("opens_up", "first"),
+        )
+        .reset_index()[[*_KEYS, *_TOTAL_NAMES]]
+    )
+
+
+def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    held: pd.DataFrame | None = None
+    for frame in frames:
+        held = _merge(frame if held is None else pd.concat([held, frame], ignore_index=True))
+        if len(held) >= _HELD_ROWS:
+            yield held
+            held = None
+    if held is not None:
+        yield held
+
+
+def combine_packets(packets: DataFrame, window_seconds: float) -> DataFrame:
+    """Totals per task, flow and window; stateless, so it runs before the shuffle."""
+    width = F.lit(float(window_seconds))
+    index = F.floor((F.col("timestamp_seconds") - F.col("capture_origin")) / width)
+    up = F.col("low_to_high")
+    single = with_flow_key(packets).select(
+        "capture_id",
+        F.col("flow_key.low.address").alias("low_address"),
+        F.col("flow_key.low.port").alias("low_port"),
+        F.col("flow_key.high.address").alias("high_address"),
+        F.col("flow_key.high.port").alias("high_port"),
+        F.col("flow_key.proto").alias("proto"),
+        index.cast("bigint").alias("window_index"),
+        F.lit(1).cast("bigint").alias("packets"),
+        up.cast("bigint").alias("up_packets"),
+        F.col("size").alias("bytes"),
+        (up.cast("bigint") * F.col("size")).alias("up_bytes"),
+        F.col("packet_number").alias("first_packet"),
+        F.col("packet_number").alias("last_packet"),
+        F.col("timestamp_seconds").alias("first_seconds"),
+        F.col("timestamp_seconds").alias("last_seconds"),
+        up.alias("opens_up"),
+    )
+    return single.mapInPandas(_combine, f"{_KEY_TYPES}, {_TOTALS}")
+
+
 class FlowWindows(StatefulProcessor):
-    """Keyed state of one flow: its orientation and its one open window.
+    """State of one flow: its session's orientation and its open window.
 
-    Rows of a trigger arrive unordered and are sorted by packet number.  A
-    packet at or before the last one seen is a regression and comes out as a
-    fault row; it changes nothing.  A marker row (``size`` null) ends the
-    capture: it closes the open window, unless the run was cancelled.
+    Combined rows of a trigger are put in packet order first.  A row starting at
+    or before the last packet of an earlier trigger is a regression: it comes
+    out as a fault and changes nothing.
     """
 
-    def __init__(self, window_seconds: float, stale_after_seconds: float | None) -> None:
+    def __init__(
+        self, window_seconds: float, stale_after_seconds: float | None, timers: bool
+    ) -> None:
         self._width = float(window_seconds)
         self._stale = float("inf") if stale_after_seconds is None else float(stale_after_seconds)
+        self._timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._flow = handle.getValueState("flow", _FLOW_STATE)
+        self._handle = handle
         self._open = handle.getValueState("open", _OPEN_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frames = [frame for frame in rows if len(frame)]
         if not frames:
             return
-        packets = pd.concat(frames).sort_values(["packet_number", "is_marker"], kind="stable")
-        flow = self._flow.get() if self._flow.exists() else None
-        held = list(self._open.get()) if self._open.exists() else None
+        state = tuple(self._open.get()) if self._open.exists() else None
         out: list[tuple] = []
-        for p in packets.itertuples(index=False):
-            if p.is_marker:
-                if held is not None and p.completes:
-                    out.append(self._row(key, flow, held))
-                held = None
-                continue
-            last = None if flow is None else (flow[1], flow[2])
-            if last is not None and (p.packet_number <= last[1] or p.timestamp_seconds < last[0]):
-                out.append(self._fault(key, p))
-                continue
-            if last is None or p.timestamp_seconds - last[0] >= self._stale:
-                if held is not None:
-                    out.append(self._row(key, flow, held))
-                    held = None
-                session = 1 if flow is None else flow[3] + 1
-                flow = (bool(p.low_to_high), p.timestamp_seconds, p.packet_number, session)
-            else:
-                flow = (flow[0], p.timestamp_seconds, p.packet_number, flow[3])
-            index = int((p.timestamp_seconds - p.capture_origin) // self._width)
-            if held is not None and held[0] != index:
-                out.append(self._row(key, flow, held))
-                held = None
-            if held is None:
-                held = [index, 0, 0, 0, 0, p.packet_number, 0, p.timestamp_seconds, 0.0]
-            outgoing = int(bool(p.low_to_high) == flow[0])
-            held[1] += 1
-            held[2] += outgoing
-            held[3] += int(p.size)
-            held[4] += outgoing * int(p.size)
-            held[6] = p.packet_number
-            held[8] = p.timestamp_seconds
-        if flow is not None:
-            self._flow.update(flow)
-        if held is None:
-            self._open.clear()
-        else:
-            self._open.update(tuple(held))
+        merged = _merge(pd.concat(frames, ignore_index=True))
+        for row in merged.sort_values("first_packet", kind="stable").itertuples(index=False):
+            totals = tuple(getattr(row, name) for name in _TOTAL_NAMES)
+            state = self._step(key, state, totals, out)
+        if state is not None:
+            self._open.update(_plain(state))
+            if self._timers and state[3] > 0:
+                self._handle.registerTimer(int((state[10] + self._width) * 1000))
         if out:
-            yield pd.DataFrame(out, columns=_WINDOW_ROWS.names)
-
-    def _ends(self, key, low_to_high: bool) -> tuple:
-        capture, low_address, low_port, high_address, high_port, proto = key
-        low, high = (low_address, low_port), (high_address, high_port)
-        first, second = (low, high) if low_to_high else (high, low)
-        return (capture, *first, *second, proto)
+            yield pd.DataFrame(out, columns=_WINDOW_NAMES)
+
+    def _step(self, key, state, totals, out):
+        index, first_packet, first_seconds = totals[0], totals[5], totals[7]
+        if state is None:
+            return (1, totals[9], *totals)
+        session, session_up, *held = state
+        if first_packet <= held[6] or first_seconds < held[8]:
+            out.append((*key, session, session_up, *totals, "packet_regression"))
+            return state
+        if first_seconds - held[8] >= self._stale:
+            self._close(key, state, out)
+            return (session + 1, totals[9], *totals)
+        if held[1] == 0 or index != held[0]:
+            self._close(key, state, out)
+            return (session, session_up, *totals)
+        joined = (
+            index,
+            *(held[i] + totals[i] for i in range(1, 5)),
+            held[5],
+            totals[6],
+            held[7],
+            totals[8],
+            held[9],
+        )
+        return (session, session_up, *joined)
 
-    def _row(self, key, flow, held) -> tuple:
-        return (*self._ends(key, flow[0]), flow[3], *held, None)
+    def _close(self, key, state, out) -> None:
+        if state[3] > 0:
+            out.append((*key, *state, None))
 
-    def _fault(self, key, p) -> tuple:
-        number = p.packet_number
-        at = p.timestamp_seconds
-        return (
-            *self._ends(key, bool(p.low_to_high)),
-            0, -1, 0, 0, 0, 0, number, number, at, at, "packet_regression",
-        )
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        """Close the window of a flow that went silent; keep its identity."""
+        if not self._open.exists():
+            return
+        state = tuple(self._open.get())
+        at = expiredTimerInfo.getExpiryTimeInMs() / 1000.0
+        out: list[tuple] = []
+        if state[10] + self._width <= at:
+            self._close(key, state, out)
+            emptied = list(state)
+            emptied[3:7] = [0, 0, 0, 0]
+            self._open.update(_plain(emptied))
+        if out:
+            yield pd.DataFrame(out, columns=_WINDOW_NAMES)
 
     def close(self) -> None:
         """Nothing to release."""
 
 
-def _keyed(packets: DataFrame) -> DataFrame:
-    return with_flow_key(packets).select(
+def _plain(values) -> tuple:
+    """Python scalars of a state row."""
+    return tuple(v.item() if hasattr(v, "item") else v for v in values)
+
+
+def _oriented(rows: DataFrame) -> DataFrame:
+    """Window rows with connection and outgoing totals from the session's orientation."""
+    up = F.col("session_up")
+
+    def end(which: str, when_up: str, otherwise: str):
+        return F.when(up, F.col(f"{when_up}_{which}")).otherwise(F.col(f"{otherwise}_{which}"))
+
+    def outgoing(total: str, ups: str):
+        return F.when(up, F.col(ups)).otherwise(F.col(total) - F.col(ups))
+
+    return rows.select(
         "capture_id",
-        F.col("flow_key.low.address").alias("low_address"),
-        F.col("flow_key.low.port").alias("low_port"),
-        F.col("flow_key.high.address").alias("high_address"),
-        F.col("flow_key.high.port").alias("high_port"),
-        F.col("flow_key.proto").alias("proto"),
-        "packet_number",
-        "timestamp_seconds",
-        "capture_origin",
-        "size",
-        "low_to_high",
-        "is_marker",
-        "completes",
+        F.struct(
+            end("address", "low", "high").alias("src"),
+            end("port", "low", "high").alias("sport"),
+            end("address", "high", "low").alias("dst"),
+            end("port", "high", "low").alias("dport"),
+            F.col("proto").alias("proto"),
+        ).alias("connection"),
+        "session",
+        "window_index",
+        F.col("packets").alias("packet_count"),
+        outgoing("packets", "up_packets").alias("outgoing_packets"),
+        "bytes",
+        outgoing("bytes", "up_bytes").alias("outgoing_bytes"),
+        "first_packet",
+        "last_packet",
+        "first_seconds",
+        "last_seconds",
+        "fault",
     )
 
 
@@ -177,25 +242,54 @@ def stream_windows(
     *,
     window_seconds: float,
     stale_after_seconds: float | None = None,
+    silent_after: str | None = None,
 ) -> DataFrame:
     """Closed flow windows of a packet stream, in append mode.
 
-    ``packets`` carries ``capture_origin`` and the columns ``is_marker`` and
-    ``completes``; a marker row repeats the flow's end points.
+    ``packets`` carries ``capture_origin``.  A window closes when its flow moves
+    on; with ``silent_after`` (a watermark delay such as ``"1 minute"``) also
+    when event time passes it.  That suits live captures on one clock; replays
+    of captures from different times leave it out and end with
+    :func:`finish_windows`.
     """
     check_stale(stale_after_seconds, window_seconds)
-    return _keyed(packets).groupBy(
-        "capture_id", "low_address", "low_port", "high_address", "high_port", "proto"
-    ).transformWithStateInPandas(
-        statefulProcessor=FlowWindows(window_seconds, stale_after_seconds),
-        outputStructType=_WINDOW_ROWS,
+    combined = combine_packets(packets, window_seconds)
+    if silent_after is not None:
+        combined = combined.withColumn(
+            "event_time", F.timestamp_seconds("last_seconds")
+        ).withWatermark("event_time", silent_after)
+    rows = combined.groupBy(*_KEYS).transformWithStateInPandas(
+        statefulProcessor=FlowWindows(
+            window_seconds, stale_after_seconds, silent_after is not None
+        ),
+        outputStructType=T._parse_datatype_string(_WINDOW_ROWS),
         outputMode="append",
-        timeMode="none",
+        timeMode="none" if silent_after is None else "eventTime",
+    )
+    return _oriented(rows)
+
+
+def finish_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Windows still open when a stream ended, read from its state.
+
+    Called once for a completed run.  A cancelled run leaves its open windows
+    unread.
+    """
+    state = (
+        spark.read.format("statestore")
+        .option("path", checkpoint)
+        .option("stateVarName", "open")
+        .load()
+    )
+    return _oriented(
+        state.select("key.*", "value.*")
+        .where(F.col("packets") > 0)
+        .withColumn("fault", F.lit(None).cast("string"))
     )
 
 
 def stream_window_counts(packets: DataFrame, *, window_seconds: float) -> DataFrame:
-    """Running packet and byte totals per flow key, orientation and window."""
+    """Running packet and byte totals per flow key and window, as an aggregation."""
     check_window(window_seconds)
     width = F.lit(float(window_seconds))
     index = F.floor((F.col("timestamp_seconds") - F.col("capture_origin")) / width)
@@ -215,13 +309,11 @@ def stream_window_counts(packets: DataFrame, *, window_seconds: float) -> DataFr
     )
 
 
-def run_available(
-    stream: DataFrame, path: str, checkpoint: str, *, output_mode: str = "append"
-) -> StreamingQuery:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Drain what a stream's source holds into a Parquet table and stop."""
     query = (
         stream.writeStream.format("parquet")
-        .outputMode(output_mode)
+        .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -234,25 +326,53 @@ def run_available(
 EventHandler = Callable[[DataFrame, int], None]
 
 
-def run_handler(stream: DataFrame, handler: EventHandler, checkpoint: str, mode: str) -> None:
+def run_handler(
+    stream: DataFrame, handler: EventHandler, checkpoint: str, *, output_mode: str = "append"
+) -> StreamingQuery:
     """Drain a stream through a batch handler and stop."""
     query = (
         stream.writeStream.foreachBatch(handler)
-        .outputMode(mode)
+        .outputMode(output_mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
+    return query
+
+
+def table_replacer(path: str) -> EventHandler:
+    """Handler of complete-mode results: each batch replaces the table."""
+
+    def handle(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return handle
 
 
-def event_table_handler(table: str, number: Callable[[DataFrame], DataFrame]) -> EventHandler:
-    """Append each batch's prediction events once, keyed by run and sequence.
+def event_appender(table: str, order: str) -> EventHandler:
+    """Handler that appends events of a batch with their run sequence.
 
-    ``number`` gives the batch rows their ``run_id`` and ``sequence``.
+    A batch delivered again replaces its own rows, so nothing is stored twice.
     """
 
-    def handle(batch: DataFrame, _: int) -> None:
-        append_events(number(batch), table)
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        append_events(batch, table, batch_id, order)
 
     return handle
+
+
+def progress_log(query: StreamingQuery) -> DataFrame:
+    """Progress of a finished query in the layout of ``run_summary``."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
+    rows = []
+    for p in query.recentProgress:
+        took = p.durationMs.get("triggerExecution", 0) / 1000.0
+        started = pd.Timestamp(p.timestamp).timestamp()
+        rows.append((int(p.numInputRows), max(int(p.sink.numOutputRows), 0), took, False,
+                     started, started + took))
+    return spark.createDataFrame(
+        rows,
+        "packets bigint, events bigint, processing_seconds double, finalization boolean, "
+        "started_seconds double, ended_seconds double",
+    )

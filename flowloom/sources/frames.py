@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions.plan import computed_once
+
 SIZE_RELEASE_COMPATIBLE = "release-compatible"
 SIZE_IP_PACKET = "ip-packet"
 
@@ -90,7 +92,7 @@ def decode_ipv4(
     if size_policy == SIZE_RELEASE_COMPATIBLE:
         size = F.when(F.col("protocol") == UDP, _uint(b, F.col("_header") + 4, 2)).otherwise(size)
     return (
-        fields.withColumn("reason", reason)
+        fields.withColumn("reason", computed_once(reason))
         .withColumns(
             {
                 "source_address": kept(_address(b, 12)),
@@ -168,4 +170,4 @@ def decode_frames(
         )
         .otherwise(F.lit("decoded"))
     )
-    return decoded.withColumn("status", status).drop("frame_status")
+    return decoded.withColumn("status", computed_once(status)).drop("frame_status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.plan import computed_once
 from flowloom.schemas import SENSOR_MESSAGE_VERSION
 
 _FIELDS = (
@@ -60,19 +61,10 @@ def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
             {"_m": parsed, "_keys": _keys(text), "_packet": F.get_json_object(text, "$.packet")}
         )
         .withColumn("_packet_keys", _keys(F.col("_packet")))
-        .withColumn(
-            "_tokens",
-            F.array(
-                *[
-                    F.regexp_extract("_packet", f'"{field}"\\s*:\\s*([^,}}\\s]+)', 1)
-                    for field in _INTEGERS
-                ]
-            ),
-        )
     )
 
     def out_of_range(field: str, low: int, high: int | None) -> Column:
-        bad = p[field].isNull() | (p[field] < low)
+        bad = p[field] < low
         return bad if high is None else bad | (p[field] > high)
 
     def exactly(names: tuple[str, ...], keys: str) -> Column:
@@ -80,8 +72,10 @@ def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
             F.col(keys) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False)
         )
 
-    # An integer written as 1.0 or "1" is not an integer token.
-    not_integer = F.exists("_tokens", lambda t: ~F.rlike(t, F.lit("^-?[0-9]+$")))
+    # An integer written as 1.0 or "1" does not fit its type and reads as null.
+    not_integer = F.lit(False)
+    for field in _INTEGERS:
+        not_integer = not_integer | p[field].isNull()
     keys = F.lit(False)
     for kind, names in _KEYS.items():
         keys = keys | ((F.col("_m.type") == kind) & exactly(names, "_keys"))
@@ -127,7 +121,7 @@ def parse_messages(lines: DataFrame, value: str = "value") -> DataFrame:
         # Whatever else did not fit the declared types.
         .when(F.col("_m._corrupt").isNotNull(), F.lit("value_type"))
     )
-    return scanned.withColumn("fault", fault).drop("_keys", "_packet", "_packet_keys", "_tokens")
+    return scanned.withColumn("fault", computed_once(fault)).drop("_keys", "_packet", "_packet_keys")
 
 
 def packet_messages(lines: DataFrame, value: str = "value") -> DataFrame:

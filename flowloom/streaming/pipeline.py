@@ -115,6 +115,20 @@ def combine_packets(packets: DataFrame, window_seconds: float) -> DataFrame:
     return single.mapInPandas(_combine, f"{_KEY_TYPES}, {_TOTALS}")
 
 
+def _joined(left: tuple, right: tuple) -> tuple:
+    """Totals of the same window put together."""
+    opening = left if left[5] <= right[5] else right
+    return (
+        left[0],
+        *(left[i] + right[i] for i in range(1, 5)),
+        min(left[5], right[5]),
+        max(left[6], right[6]),
+        min(left[7], right[7]),
+        max(left[8], right[8]),
+        opening[9],
+    )
+
+
 class FlowWindows(StatefulProcessor):
     """State of one flow: its session's orientation and its open window.
 
@@ -135,17 +149,19 @@ class FlowWindows(StatefulProcessor):
         self._open = handle.getValueState("open", _OPEN_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frames = [frame for frame in rows if len(frame)]
-        if not frames:
+        merged: dict[int, tuple] = {}
+        for frame in rows:
+            for totals in zip(*(frame[name].tolist() for name in _TOTAL_NAMES), strict=True):
+                held = merged.get(totals[0])
+                merged[totals[0]] = totals if held is None else _joined(held, totals)
+        if not merged:
             return
         state = tuple(self._open.get()) if self._open.exists() else None
         out: list[tuple] = []
-        merged = _merge(pd.concat(frames, ignore_index=True))
-        for row in merged.sort_values("first_packet", kind="stable").itertuples(index=False):
-            totals = tuple(getattr(row, name) for name in _TOTAL_NAMES)
+        for totals in sorted(merged.values(), key=lambda t: t[5]):
             state = self._step(key, state, totals, out)
         if state is not None:
-            self._open.update(_plain(state))
+            self._open.update(state)
             if self._timers and state[3] > 0:
                 self._handle.registerTimer(int((state[10] + self._width) * 1000))
         if out:
@@ -165,16 +181,7 @@ class FlowWindows(StatefulProcessor):
         if held[1] == 0 or index != held[0]:
             self._close(key, state, out)
             return (session, session_up, *totals)
-        joined = (
-            index,
-            *(held[i] + totals[i] for i in range(1, 5)),
-            held[5],
-            totals[6],
-            held[7],
-            totals[8],
-            held[9],
-        )
-        return (session, session_up, *joined)
+        return (session, session_up, *_joined(tuple(held), totals))
 
     def _close(self, key, state, out) -> None:
         if state[3] > 0:
@@ -191,7 +198,7 @@ class FlowWindows(StatefulProcessor):
             self._close(key, state, out)
             emptied = list(state)
             emptied[3:7] = [0, 0, 0, 0]
-            self._open.update(_plain(emptied))
+            self._open.update(tuple(emptied))
         if out:
             yield pd.DataFrame(out, columns=_WINDOW_NAMES)
 
@@ -199,11 +206,6 @@ class FlowWindows(StatefulProcessor):
         """Nothing to release."""
 
 
-def _plain(values) -> tuple:
-    """Python scalars of a state row."""
-    return tuple(v.item() if hasattr(v, "item") else v for v in values)
-
-
 def _oriented(rows: DataFrame) -> DataFrame:
     """Window rows with connection and outgoing totals from the session's orientation."""
     up = F.col("session_up")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,14 @@ def computed_once(value: Column) -> Column:
     optimizer leaves in place; the value is unchanged.
     """
     return F.when(F.spark_partition_id() >= 0, value)
+
+
+def never_null(df: DataFrame, **defaults: object) -> DataFrame:
+    """Declare key columns free of nulls, which they are by contract.
+
+    Joins then add no null filters below themselves, so two branches of a plan
+    that start with the same aggregation stay equal and share its shuffle.
+    """
+    return df.withColumns(
+        {name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()}
+    )

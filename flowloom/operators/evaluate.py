@@ -11,20 +11,13 @@ from flowloom.functions.ordered import exact_quantiles
 from flowloom.schemas import ECE_BINS, OOD_THRESHOLDS
 
 
-def _labels(df: DataFrame, labels: Sequence, label: str) -> DataFrame:
-    kind = df.schema[label].dataType.simpleString()
-    return df.sparkSession.createDataFrame(
-        [(i, value) for i, value in enumerate(labels)], f"position int, label {kind}"
-    )
-
-
 def confusion_counts(
     df: DataFrame, labels: Sequence, *, expected: str = "label", predicted: str = "predicted"
 ) -> DataFrame:
     """All label pairs in fixed order with their counts, zeros kept."""
-    table = _labels(df, labels, expected)
-    every = table.select(F.col("label").alias("expected"), F.lit(1).alias("_one")).join(
-        table.select(F.col("label").alias("predicted"), F.lit(1).alias("_one")), "_one"
+    kind = df.schema[expected].dataType.simpleString()
+    every = df.sparkSession.createDataFrame(
+        [(a, b) for a in labels for b in labels], f"expected {kind}, predicted {kind}"
     )
     counted = df.groupBy(F.col(expected).alias("expected"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("rows")
@@ -111,21 +104,17 @@ def expected_calibration_error(binned: DataFrame) -> DataFrame:
 def score_summary(df: DataFrame, score: str = "ood_score") -> DataFrame:
     """Minimum, 5/50/95/99 % quantiles, maximum and mean of a score."""
     names = {0.05: "quantile_05", 0.5: "median", 0.95: "quantile_95", 0.99: "quantile_99"}
-    quantiles = exact_quantiles(df, score, list(names)).agg(
+    ends = df.agg(
+        F.min(score).alias("minimum"), F.max(score).alias("maximum"), F.avg(score).alias("mean")
+    ).first()
+    return exact_quantiles(df, score, list(names)).agg(
+        F.lit(ends["minimum"]).cast("double").alias("minimum"),
         *[
             F.max(F.when(F.col("probability") == F.lit(p), F.col("quantile"))).alias(name)
             for p, name in names.items()
         ],
-        F.lit(1).alias("_one"),
-    )
-    ends = df.agg(
-        F.min(score).alias("minimum"),
-        F.max(score).alias("maximum"),
-        F.avg(score).alias("mean"),
-        F.lit(1).alias("_one"),
-    )
-    return ends.join(quantiles, "_one").select(
-        "minimum", *names.values(), "maximum", "mean"
+        F.lit(ends["maximum"]).cast("double").alias("maximum"),
+        F.lit(ends["mean"]).cast("double").alias("mean"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels, window_id
 from flowloom.functions.ordered import chunk_of
+from flowloom.functions.plan import never_null
 from flowloom.operators.wavelet import wavelet_features
 from flowloom.operators.windows import RELEASE_COMPATIBLE, WINDOW_KEY, check_window, retained
 from flowloom.schemas import (
@@ -54,6 +55,20 @@ def _moments(value: Column, prefix: str) -> list[Column]:
     ]
 
 
+def in_chunks(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Window packets shuffled by window and bounded packet-number chunk."""
+    if "_chunk" in packets.columns:
+        return packets
+    chunked = never_null(
+        packets.withColumn("_chunk", chunk_of("packet_number", chunk_rows)),
+        capture_id="",
+        flow_id="",
+        window_index=0,
+        _chunk=0,
+    )
+    return chunked.repartition(*WINDOW_KEY, "_chunk")
+
+
 def activity_spans(
     packets: DataFrame,
     *,
@@ -74,7 +89,7 @@ def activity_spans(
     at = F.col("offset_seconds")
     breaks = at - F.lag("offset_seconds").over(chunk) > F.lit(float(activity_timeout))
     runs = (
-        packets.withColumn("_chunk", chunk_of("packet_number", chunk_rows))
+        in_chunks(packets, chunk_rows)
         .withColumn("_breaks", F.coalesce(breaks, F.lit(False)))
         .withColumn("_run", F.sum(F.col("_breaks").cast("bigint")).over(upto))
         .withColumns(
@@ -245,7 +260,7 @@ def size_bins(packets: DataFrame, *, bin_seconds: float = BIN_SECONDS) -> DataFr
             "bin", F.floor(F.col("offset_seconds") / F.lit(float(bin_seconds))).cast("int")
         )
         .groupBy(*WINDOW_KEY, "direction", "bin")
-        .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("packets"))
+        .agg(F.sum("size").alias("bytes"), F.count("packet_number").alias("packets"))
     )
 
 
@@ -261,8 +276,13 @@ def feature_vectors(
     labeled: bool = True,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Identity columns plus the 129 float features of every retained window."""
+    """Identity columns plus the 129 float features of every retained window.
+
+    Statistics and wavelets read the same shuffled packets: both need the same
+    columns of them, so Spark shuffles them once.
+    """
     check_bins(window_seconds, bin_seconds)
+    packets = in_chunks(packets, chunk_rows)
     statistics = flow_statistics(
         packets,
         window_seconds=window_seconds,

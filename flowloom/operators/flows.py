@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import flow_id
 from flowloom.functions.ordered import chunk_of, number_rows
+from flowloom.functions.plan import never_null
 from flowloom.schemas import CHUNK_ROWS, SEGMENT_PACKETS
 from flowloom.session import cut_lineage
 
@@ -47,8 +48,9 @@ def _connection(opened_low_to_high: Column) -> Column:
 def flow_directory(keyed: DataFrame) -> DataFrame:
     """One row per flow: opening orientation, connection, id and capture origin.
 
-    Both aggregates combine map-side, so a flow holding a third of all packets
-    costs one partial row per task.
+    The packets are aggregated map-side, so a flow holding a third of them costs
+    one partial row per task.  Both uses of the flow rows need the same columns,
+    so their shuffle is shared.
     """
     flows = keyed.groupBy(*FLOW_KEY).agg(
         F.min_by("low_to_high", "packet_number").alias("opened_low_to_high"),
@@ -56,9 +58,13 @@ def flow_directory(keyed: DataFrame) -> DataFrame:
         F.min("timestamp_seconds").alias("first_seconds"),
         F.count(F.lit(1)).alias("packet_count"),
     )
-    origins = keyed.groupBy("capture_id").agg(F.min("timestamp_seconds").alias("capture_origin"))
+    origins = flows.groupBy("capture_id").agg(
+        F.min(F.struct("first_seconds", "opened_low_to_high"))["first_seconds"].alias("_origin")
+    )
     return (
         flows.join(origins, "capture_id")
+        .withColumn("capture_origin", F.least("_origin", "first_seconds"))
+        .drop("_origin")
         .withColumn("connection", _connection(F.col("opened_low_to_high")))
         .withColumn("flow_id", flow_id("capture_id", "connection"))
     )
@@ -90,46 +96,42 @@ def flow_table(assigned: DataFrame, *, segment_packets: int = SEGMENT_PACKETS) -
     ``segment_packets`` packets.  ``flow_order`` is the first packet number, by
     which flows sort in first-seen order.
     """
-    chunked = assigned.withColumn("_chunk", chunk_of("packet_number", segment_packets))
-    keys = ["capture_id", "flow_id"]
-    heads = chunked.groupBy(*keys).agg(
-        F.min("packet_number").alias("flow_order"),
-        F.count(F.lit(1)).alias("packet_count"),
-        F.first("connection").alias("connection"),
-    )
+    keys = ["capture_id", "flow_id", "connection"]
     rows = F.array_sort(
         F.collect_list(F.struct("packet_number", "timestamp_seconds", "size", "direction"))
     )
     segments = (
-        chunked.groupBy(*keys, "_chunk")
-        .agg(rows.alias("rows"))
-        .select(
-            *keys,
-            "_chunk",
-            F.col("rows.timestamp_seconds").alias("timestamps"),
-            F.col("rows.size").alias("sizes"),
-            F.col("rows.direction").alias("directions"),
+        never_null(
+            assigned.withColumn("_chunk", chunk_of("packet_number", segment_packets)),
+            capture_id="",
+            flow_id="",
+            _chunk=0,
         )
+        .groupBy(*keys, "_chunk")
+        .agg(rows.alias("rows"))
     )
-    numbers = Window.partitionBy(*keys).orderBy("_chunk")
-    numbered = (
-        chunked.select(*keys, "_chunk")
-        .distinct()
-        .select(*keys, "_chunk", (F.row_number().over(numbers) - 1).alias("segment"))
-    )
-    return (
-        segments.join(numbered, [*keys, "_chunk"])
-        .join(heads, keys)
-        .select(
-            *keys,
-            "connection",
-            "flow_order",
-            "packet_count",
-            F.col("segment").cast("bigint").alias("segment"),
-            "timestamps",
-            "sizes",
-            "directions",
-        )
+    flow = Window.partitionBy(*keys)
+    # Counted from the collected segments: the packets are shuffled once.
+    numbered = segments.select(
+        *keys,
+        "_chunk",
+        F.size("rows").alias("_held"),
+        F.element_at("rows", 1)["packet_number"].alias("_first"),
+    ).select(
+        *keys,
+        "_chunk",
+        F.min("_first").over(flow).alias("flow_order"),
+        F.sum("_held").over(flow).alias("packet_count"),
+        (F.row_number().over(flow.orderBy("_chunk")) - 1).cast("bigint").alias("segment"),
+    )
+    return segments.join(numbered, [*keys, "_chunk"]).select(
+        *keys,
+        "flow_order",
+        "packet_count",
+        "segment",
+        F.col("rows.timestamp_seconds").alias("timestamps"),
+        F.col("rows.size").alias("sizes"),
+        F.col("rows.direction").alias("directions"),
     )
 
 
@@ -364,10 +366,9 @@ def capacity_refusals(
     if max_tracked_flows < 1:
         raise ValueError("maximum tracked flows must be positive")
     opened, ends = _session_table(assigned)
-    over = (
-        _sweep(
-            opened, ends.select("capture_id", "capture_end"), stale_after_seconds, span_seconds
-        )
+    # One row per refused capture, read by every branch below.
+    over = cut_lineage(
+        _sweep(opened, ends.select("capture_id", "capture_end"), stale_after_seconds, span_seconds)
         .where(F.col("held") > max_tracked_flows)
         .groupBy("capture_id")
         .agg(

@@ -15,6 +15,7 @@ from flowloom.schemas import (
     SPLIT_FRACTIONS,
     VPN_STATUSES,
 )
+from flowloom.session import cut_lineage
 
 # Importance of each balance metric.
 _IMPORTANCE = {
@@ -150,18 +151,15 @@ def split_coverage(
 def split_summary(assignments: DataFrame) -> DataFrame:
     """Captures, windows and window share per partition, in total and by label."""
     cells = _cells(assignments, []).where(F.col("kind") != "category_vpn")
-    total = assignments.agg(F.sum("windows").alias("_total"), F.lit(1).alias("_one"))
-    return (
-        cells.withColumn("_one", F.lit(1))
-        .join(total, "_one")
-        .select(
-            "partition",
-            F.col("kind").alias("label_kind"),
-            F.col("value").alias("label"),
-            "captures",
-            "windows",
-            (F.col("windows") / F.col("_total")).alias("window_fraction"),
-        )
+    # Every label kind covers all captures, so its windows add up to the total.
+    total = F.sum("windows").over(Window.partitionBy("kind"))
+    return cells.select(
+        "partition",
+        F.col("kind").alias("label_kind"),
+        F.col("value").alias("label"),
+        "captures",
+        "windows",
+        (F.col("windows") / total).alias("window_fraction"),
     )
 
 
@@ -274,6 +272,7 @@ def search_split(
     full coverage.  A move is graded from the incumbent's cell totals, so a
     round costs one row per capture and target, not one assignment per move.
     """
+    groups = cut_lineage(groups)  # one row per capture, read by every seed and move
     graded = grade_splits(
         candidate_splits(groups, seeds=seeds),
         minimum_category_windows=minimum_category_windows,
@@ -388,7 +387,9 @@ def partition_faults(rows: DataFrame, assignments: DataFrame) -> DataFrame:
     Rows are first reduced to one line per capture and label combination.
     """
     labels = ["vpn_status", "application", "category"]
-    seen = rows.groupBy("capture_id", *labels).agg(F.count(F.lit(1)).alias("observed"))
+    seen = cut_lineage(
+        rows.groupBy("capture_id", *labels).agg(F.count(F.lit(1)).alias("observed"))
+    )
     unassigned = seen.join(assignments, "capture_id", "left_anti").select(
         F.lit("capture_unassigned").alias("rule"),
         F.col("capture_id").alias("key"),

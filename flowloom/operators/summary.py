@@ -22,20 +22,17 @@ def dataset_summary(connections: DataFrame) -> DataFrame:
     Connections are first reduced to a frequency table of packet counts, which
     an exact percentile can hold.
     """
-    frequencies = connections.groupBy("packets").agg(F.count(F.lit(1)).alias("connections"))
-    captures = connections.select("capture_id").distinct().agg(F.count(F.lit(1)).alias("captures"))
-    totals = frequencies.agg(
+    frequencies = connections.groupBy("packets", "capture_id").agg(
+        F.count(F.lit(1)).alias("connections")
+    )
+    return frequencies.agg(
         F.sum("connections").alias("connections"),
         F.sum(F.col("packets") * F.col("connections")).alias("packets"),
+        F.count_distinct("capture_id").alias("captures"),
         F.min("packets").alias("minimum_packets"),
         F.percentile("packets", F.lit(0.5), F.col("connections")).alias("median_packets"),
         F.max("packets").alias("maximum_packets"),
     )
-    return (
-        totals.withColumn("_one", F.lit(1))
-        .join(captures.withColumn("_one", F.lit(1)), "_one")
-        .drop("_one")
-    )
 
 
 def _by_label(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -77,14 +74,18 @@ def window_summary(windows: DataFrame) -> DataFrame:
         F.sum("packets").alias("packets"),
         F.count(F.lit(1)).alias("captures"),
     ]
-    total = captures.agg(*aggregates).select(
+    by_label = _by_label(captures, *aggregates).select(
+        "label_kind", "label", "windows", "packets", "captures"
+    )
+    # Every label kind covers all captures: one of them adds up to the total.
+    total = by_label.where(F.col("label_kind") == "vpn_status").agg(
         F.lit("all").alias("label_kind"),
         F.lit("all").alias("label"),
-        "windows",
-        "packets",
-        "captures",
+        F.sum("windows").alias("windows"),
+        F.sum("packets").alias("packets"),
+        F.sum("captures").alias("captures"),
     )
-    return _by_label(captures, *aggregates).select(*total.columns).unionByName(total)
+    return by_label.unionByName(total)
 
 
 def range_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:

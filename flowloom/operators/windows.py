@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels, flow_id, window_id
 from flowloom.functions.ordered import chunk_of, number_sorted
+from flowloom.functions.plan import never_null
 from flowloom.schemas import MINIMUM_PACKETS, SEGMENT_PACKETS, WINDOW_SECONDS, WINDOWS
 
 WINDOW_KEY = ["capture_id", "flow_id", "window_index"]
@@ -95,14 +96,21 @@ def observation_windows(
     window is one row with segment 0.
     """
     check_window(window_seconds, minimum_packets)
-    packets = window_packets(assigned, window_seconds).withColumn(
-        "_chunk", chunk_of("packet_number", segment_packets)
+    packets = never_null(
+        window_packets(assigned, window_seconds).withColumn(
+            "_chunk", chunk_of("packet_number", segment_packets)
+        ),
+        capture_id="",
+        flow_id="",
+        window_index=0,
+        _chunk=0,
     )
     rows = F.array_sort(
         F.collect_list(F.struct("packet_number", "offset_seconds", "size", "direction"))
     )
     segments = packets.groupBy(*WINDOW_KEY, "_chunk").agg(rows.alias("rows"))
-    pieces = packets.groupBy(*WINDOW_KEY, "_chunk").agg(F.count(F.lit(1)).alias("packets"))
+    # Counted from the collected segments: the packets are shuffled once.
+    pieces = segments.select(*WINDOW_KEY, "_chunk", F.size("rows").alias("packets"))
     whole = Window.partitionBy(*WINDOW_KEY)
     kept = (
         pieces.select(

@@ -23,6 +23,7 @@ from flowloom.schemas import (
     SPLIT_FRACTIONS,
     VPN_STATUSES,
 )
+from flowloom.session import cut_lineage
 
 QUERIES = {}
 SQL = {}
@@ -48,7 +49,7 @@ def window_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def assignments(spark: SparkSession, folder: str) -> DataFrame:
     """Captures assigned by hash, the fixed assignment the balance queries grade."""
-    groups = splits.capture_groups(window_rows(spark, folder))
+    groups = cut_lineage(splits.capture_groups(window_rows(spark, folder)))
     return groups.withColumn("partition", splits.hashed_partition(F.col("capture_id")))
 
 
@@ -186,7 +187,7 @@ SELECT costs.seed, round(sum(cost), 6) AS objective,
 FROM costs LEFT JOIN met ON costs.seed = met.seed GROUP BY costs.seed""",
 )
 def split_candidate_query(spark: SparkSession, folder: str) -> DataFrame:
-    groups = splits.capture_groups(window_rows(spark, folder))
+    groups = cut_lineage(splits.capture_groups(window_rows(spark, folder)))
     graded = splits.grade_splits(splits.candidate_splits(groups, seeds=_SEEDS))
     return graded.withColumn("objective", F.round("objective", 6))
 
@@ -321,7 +322,7 @@ GROUP BY capture_id HAVING count(*) > 1""",
 def group_violation_query(spark: SparkSession, folder: str) -> DataFrame:
     count = F.col("windows")
     altered = (
-        splits.capture_groups(window_rows(spark, folder))
+        cut_lineage(splits.capture_groups(window_rows(spark, folder)))
         .withColumn(
             "category",
             F.when(F.pmod(count, F.lit(4)) == 1, F.lit("CHAT")).otherwise(F.col("category")),

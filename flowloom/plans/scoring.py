@@ -10,6 +10,7 @@ from flowloom.operators.summary import range_summary
 from flowloom.plans.pipelines import calibrate, score_rows
 from flowloom.plans.settings import as_float, float_sql, role_sql, table
 from flowloom.schemas import ECE_BINS, EMBEDDING_DIMENSION, SUPPORT_SEED
+from flowloom.session import cut_lineage
 
 QUERIES = {}
 SQL = {}
@@ -512,7 +513,8 @@ SELECT {", ".join(f"round({v}, 7) AS {c}" for c, v in (
     ("mean", "avg(ood)")))} FROM scored""",
 )
 def score_summary_query(spark: SparkSession, folder: str) -> DataFrame:
-    found = evaluate.score_summary(ood_scored(spark, folder))
+    scores = cut_lineage(ood_scored(spark, folder).select("ood_score"))
+    found = evaluate.score_summary(scores)
     return found.select(*[F.round(c, 7).alias(c) for c in found.columns])
 
 

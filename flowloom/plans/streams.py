@@ -11,10 +11,23 @@ from pyspark.sql import functions as F
 
 from flowloom.operators.windows import capture_origins
 from flowloom.plans.sessions import EVENTS_SQL
-from flowloom.plans.settings import PACKETS_SQL, SESSIONS_SQL, STALE, WINDOW, packets, table
+from flowloom.plans.settings import (
+    ACTIVITY,
+    BIN,
+    MINIMUM,
+    PACKETS_SQL,
+    SESSIONS_SQL,
+    STALE,
+    WINDOW,
+    as_float,
+    float_sql,
+    packets,
+    table,
+)
 from flowloom.session import scratch_path
 from flowloom.sources.packets import event_packets
 from flowloom.streaming import pipeline
+from flowloom.streaming.predictions import PredictionRun
 
 QUERIES = {}
 SQL = {}
@@ -128,3 +141,62 @@ def stream_event_query(spark: SparkSession, folder: str) -> DataFrame:
     )
     pipeline.run_handler(log, pipeline.event_appender(path, "event_id"), checkpoint)
     return spark.read.parquet(path).select("run_id", "sequence", "payload_json")
+
+
+def _rate_scorer(rows: DataFrame) -> DataFrame:
+    """A scorer of one feature: the byte rate decides the class."""
+    rate = F.col("log_bytes_per_sec")
+    return rows.select(
+        "window_id",
+        "capture_id",
+        "flow_id",
+        "window_index",
+        "packet_count",
+        as_float(rate).alias("rate"),
+        F.when(rate > -5.0, F.lit("busy")).otherwise(F.lit("quiet")).alias("predicted"),
+    )
+
+
+@_register(
+    "stream_predictions",
+    f"""WITH {SESSIONS_SQL}, {_ORIGINS_SQL},
+held AS (
+  SELECT s.capture_id, c_src, c_sport, c_dst, c_dport, proto,
+    CAST(floor((sec - origin) / {WINDOW}::DOUBLE) AS BIGINT) AS window_index,
+    count(*) AS packet_count, {float_sql(f"ln(sum(size) / {WINDOW}::DOUBLE)")} AS rate
+  FROM in_sessions s JOIN origins USING (capture_id) GROUP BY 1, 2, 3, 4, 5, 6, 7
+  HAVING count(*) > {MINIMUM}),
+named AS (
+  SELECT *, substr(sha256(capture_id || chr(0) || c_src || chr(0) || c_sport || chr(0) || c_dst
+      || chr(0) || c_dport || chr(0) || proto), 1, 24) AS flow_id FROM held)
+SELECT capture_id AS run_id, row_number() OVER (PARTITION BY capture_id
+    ORDER BY window_index, c_src, c_sport, c_dst, c_dport, proto) AS sequence,
+  capture_id || ':' || flow_id || ':' || window_index AS window_id, window_index, packet_count,
+  rate, CASE WHEN rate > -5 THEN 'busy' ELSE 'quiet' END AS predicted,
+  window_index * {WINDOW}::DOUBLE AS start_offset_seconds
+FROM named""",
+)
+def stream_prediction_query(spark: SparkSession, folder: str) -> DataFrame:
+    run = PredictionRun(
+        table(spark, folder, "events").sparkSession,
+        scratch_path(spark, "predictions"),
+        _rate_scorer,
+        window_seconds=WINDOW,
+        bin_seconds=BIN,
+        minimum_packets=MINIMUM,
+        stale_after_seconds=STALE,
+        feature_options={"activity_timeout": ACTIVITY},
+    )
+    stream = event_packets(event_stream(spark, folder), numbered=False)
+    pipeline.run_handler(stream, run.handle, scratch_path(spark, "stream"))
+    run.finish()
+    return run.events().select(
+        "run_id",
+        "sequence",
+        "window_id",
+        "window_index",
+        "packet_count",
+        "rate",
+        "predicted",
+        "start_offset_seconds",
+    )

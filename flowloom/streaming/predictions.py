@@ -26,7 +26,7 @@ from flowloom.streaming.pipeline import check_stale
 
 _PROGRESS = (
     "capture_id string, capture_origin double, open_index bigint, open_batch bigint, "
-    "last_packet bigint, last_seconds double, refused_packet_number bigint"
+    "last_packet bigint, last_seconds double, refused_packet_number bigint, last_sequence bigint"
 )
 _CARRY = (
     "capture_id string, packet_number bigint, timestamp_seconds double, source_address string, "
@@ -94,9 +94,10 @@ class PredictionRun:
             .withColumn("from_index", F.coalesce("open_index", F.lit(0)))
         )
         self._write(self._regressions(joined), "faults", batch_id)
-        refused = self._close(joined, batch_id, batch_id - 1, flush=False)
+        refused, numbered = self._close(joined, batch_id, batch_id - 1, flush=False)
         moved = F.col("open_index").isNull() | (F.col("next_index") > F.col("open_index"))
-        progress = joined.drop("refused_packet_number").join(refused, "capture_id", "left").select(
+        told = joined.drop("refused_packet_number").join(refused, "capture_id", "left")
+        progress = told.join(numbered, "capture_id", "left").select(
             "capture_id",
             F.col("origin").alias("capture_origin"),
             F.col("next_index").alias("open_index"),
@@ -106,6 +107,7 @@ class PredictionRun:
             F.coalesce("end_packet", "last_packet").alias("last_packet"),
             F.col("end_seconds").alias("last_seconds"),
             "refused_packet_number",
+            F.coalesce("numbered", "last_sequence").alias("last_sequence"),
         )
         self._write(progress, "progress", batch_id)
         self._last_batch = batch_id
@@ -145,22 +147,26 @@ class PredictionRun:
             F.concat_ws("..", "first_packet", "end_packet").alias("detail"),
         )
 
-    def _close(self, joined: DataFrame, batch_id: int, state: int, *, flush: bool) -> DataFrame:
+    def _close(self, joined: DataFrame, batch_id: int, state: int, *, flush: bool) -> tuple[DataFrame, DataFrame]:
         """Emit the windows from ``from_index`` up to ``next_index`` of each capture.
 
-        Returns the captures refused for holding too many flows.
+        Returns the captures refused for holding too many flows, and the last
+        event number of the captures that had events.
         """
+        none = self.spark.createDataFrame([], "capture_id string, numbered bigint")
         refused_before = joined.where(F.col("refused_packet_number").isNotNull()).select(
             "capture_id", "refused_packet_number"
         )
         due = joined.where(
             (F.col("next_index") > F.col("from_index")) & F.col("refused_packet_number").isNull()
-        ).select("capture_id", "origin", "from_index", "next_index", "open_batch")
+        ).select(
+            "capture_id", "origin", "from_index", "next_index", "open_batch", "last_sequence"
+        )
         carried = self._read("flows", state, _CARRY)
         earliest = due.agg(F.min(F.coalesce("open_batch", F.lit(batch_id)))).first()[0]
         if earliest is None:
             self._write(carried, "flows", batch_id)
-            return refused_before
+            return refused_before, none
         stored = (
             self.spark.read.schema(_CARRY + ", batch_id bigint")
             .parquet(f"{self.folder.rstrip('/')}/packets")
@@ -168,7 +174,7 @@ class PredictionRun:
             .drop("batch_id")
         )
         span = due.select("capture_id", F.col("origin").alias("capture_origin"),
-                          "from_index", "next_index")
+                          "from_index", "next_index", "last_sequence")
         pending = (
             stored.join(span, "capture_id")
             .withColumn("_at", self._index("timestamp_seconds"))
@@ -198,11 +204,11 @@ class PredictionRun:
                 .drop("_cut", "capture_origin")
             )
             refused = refused.unionByName(fresh.select("capture_id", "refused_packet_number"))
-        self._emit(admitted.where(~F.col("carried")), span, batch_id)
+        numbered = self._emit(admitted.where(~F.col("carried")), span, batch_id)
         if not flush:
             kept = carried.join(due.select("capture_id"), "capture_id", "left_anti")
             self._write(kept.unionByName(self._carry(assigned, span)), "flows", batch_id)
-        return refused
+        return refused, numbered
 
     def _carry(self, assigned: DataFrame, span: DataFrame) -> DataFrame:
         """Live flows as their last packet, written in the session's direction."""
@@ -229,7 +235,7 @@ class PredictionRun:
             F.lit(0).cast("bigint").alias("size"),
         )
 
-    def _emit(self, packets: DataFrame, span: DataFrame, batch_id: int) -> None:
+    def _emit(self, packets: DataFrame, span: DataFrame, batch_id: int) -> DataFrame:
         origins = span.select("capture_id", "capture_origin")
         windowed = window_packets(packets.join(origins, "capture_id"), self.window_seconds)
         vectors = feature_vectors(
@@ -248,29 +254,21 @@ class PredictionRun:
             self.scorer(vectors).join(ends, ["capture_id", "flow_id"]), self.window_seconds
         )
         ordered = number_sorted(scored, ["capture_id"], ["window_index", "connection"], "_nth")
-        earlier = self._sequences(batch_id)
         events = (
-            ordered.join(earlier, "capture_id", "left")
+            ordered.join(span.select("capture_id", "last_sequence"), "capture_id")
             .withColumn("run_id", F.col("capture_id"))
             .withColumn(
-                "sequence", (F.coalesce("_last", F.lit(0)) + F.col("_nth")).cast("bigint")
+                "sequence", (F.coalesce("last_sequence", F.lit(0)) + F.col("_nth")).cast("bigint")
             )
-            .drop("_nth", "_last", "connection")
+            .drop("_nth", "last_sequence", "connection")
         )
         self._write(events, "events", batch_id)
-
-    def _sequences(self, batch_id: int) -> DataFrame:
-        """Last event number of each capture before a trigger."""
-        parts = [b for b in range(batch_id) if self._exists("events", b)]
-        if not parts:
-            return self.spark.createDataFrame([], "capture_id string, _last bigint")
-        stored = self.spark.read.parquet(*[self._part("events", b) for b in parts])
-        return stored.groupBy("capture_id").agg(F.max("sequence").alias("_last"))
-
-    def _exists(self, table: str, batch: int) -> bool:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self._part(table, batch)}/_SUCCESS")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return (
+            self.spark.read.schema("capture_id string, sequence bigint")
+            .parquet(self._part("events", batch_id))
+            .groupBy("capture_id")
+            .agg(F.max("sequence").alias("numbered"))
+        )
 
     def events(self) -> DataFrame:
         """All prediction events so far."""

@@ -16,6 +16,13 @@ def connection_counts(assigned: DataFrame) -> DataFrame:
     return capture_labels(counted, "capture_id")
 
 
+def raw_connection_counts(connections: DataFrame) -> DataFrame:
+    """Packets per nested connection row, with the capture's labels."""
+    return capture_labels(connections, "file_names").select(
+        "capture_id", *LABELS, F.size("timestamps").cast("bigint").alias("packets")
+    )
+
+
 def dataset_summary(connections: DataFrame) -> DataFrame:
     """Connections, packets, captures and packets-per-connection range and median.
 

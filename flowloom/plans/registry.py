@@ -21,4 +21,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """The query the smoke check runs."""
-    return queries()["window_summary"](spark, folder)
+    return queries()["category_statistics"](spark, folder)

@@ -384,3 +384,42 @@ def feature_summary_query(spark: SparkSession, folder: str) -> DataFrame:
         activity_timeout=ACTIVITY,
     )
     return summary.window_summary(capture_labels(rows, "capture_id"))
+
+
+@_register(
+    "category_statistics",
+    f"""WITH {WINDOWED_SQL}, {_HELD},
+gaps AS (
+  SELECT capture_id, flow_id, window_index, size, direction,
+    off - lag(off) OVER (PARTITION BY capture_id, flow_id, window_index ORDER BY packet_number)
+      AS gap FROM windowed),
+per_window AS (
+  SELECT capture_id, flow_id, window_index, {category_sql("capture_id")} AS category,
+    count(*) AS packet_count, max(gap) AS longest, sum(direction) AS outgoing,
+    ln(sum(size) / {WINDOW}::DOUBLE) AS rate
+  FROM gaps JOIN held USING (capture_id, flow_id, window_index)
+  GROUP BY capture_id, flow_id, window_index)
+SELECT category, count(*) AS windows, CAST(sum(packet_count) AS BIGINT) AS packets,
+  {float_sql("max(longest)")} AS longest_gap, {float_sql("avg(rate)")} AS mean_log_rate,
+  {float_sql("avg(" + _logged_sql("outgoing") + ")")} AS mean_log_outgoing
+FROM per_window GROUP BY 1""",
+)
+def category_statistics_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Flow statistics of all windows, summed up by traffic category."""
+    rows = features.flow_statistics(
+        windowed(spark, folder),
+        window_seconds=WINDOW,
+        minimum_packets=MINIMUM,
+        activity_timeout=ACTIVITY,
+    )
+    return (
+        capture_labels(rows, "capture_id")
+        .groupBy("category")
+        .agg(
+            F.count(F.lit(1)).alias("windows"),
+            F.sum("packet_count").alias("packets"),
+            as_float(F.max("flow_iat_max")).alias("longest_gap"),
+            as_float(F.avg("log_bytes_per_sec")).alias("mean_log_rate"),
+            as_float(F.avg("log_total_outgoing_packets")).alias("mean_log_outgoing"),
+        )
+    )

@@ -69,7 +69,7 @@ SENSOR_MESSAGE_VERSION = "sensor-message-1"
 
 # Rows of one ordered group that a single task may hold.  Ordered operators cut
 # every group into chunks of at most this many consecutive packet numbers.
-CHUNK_ROWS = 1_000_000
+CHUNK_ROWS = 4_000_000
 # Packets in one nested array row.
 SEGMENT_PACKETS = 65_536
 

@@ -10,6 +10,7 @@ from flowloom.functions.ordered import exact_quantiles
 from flowloom.functions.vectors import log_sum_exp, normal_cdf, softmax
 from flowloom.operators import density, evaluate, model
 from flowloom.operators.validate import (
+    ContractError,
     density_violations,
     geometry_violations,
     partition_violations,
@@ -17,7 +18,10 @@ from flowloom.operators.validate import (
     support_violations,
 )
 from flowloom.plans import pipelines
+from flowloom.plans.frozen import PROVENANCE, evaluation_report, load_model, save_model
 from flowloom.schemas import CATEGORIES
+from flowloom.session import scratch_path
+from flowloom.sinks.tables import write_report
 from pyspark.sql import functions as F
 
 D = 6
@@ -239,6 +243,19 @@ def test_calibrate_score_and_evaluate(spark, rows):
         pipelines.calibrate(train, train, LABELS, vector="v", dimension=D)
     scaler = model.fit_standardizer(train, "v", D)
     assert state_violations(frozen.statistics, scaler, maximum_support=100, dimension=D).count() == 0
+    folder = scratch_path(spark, "model")
+    hashes = {n: n[0] for n in PROVENANCE}
+    save_model(frozen, folder, hashes)
+    again = load_model(spark, folder, expected=hashes)
+    rescored = pipelines.score_rows(test, again, vector="v")
+    columns = ["row_id", "predicted", "relative_distance", "ood_score"]
+    assert rescored.select(columns).exceptAll(scored.select(columns)).count() == 0
+    with pytest.raises(ContractError):
+        load_model(spark, folder, expected=hashes | {"model_sha256": "other"})
+    report = evaluation_report(tables, schema_version="test-1", partition="test")
+    write_report(report, f"{folder}/report.json")
+    stored = spark.read.json(f"{folder}/report.json").first()
+    assert len(stored["results"]["confusion"]) == 9
     moved = frozen.statistics.withColumn("mean", F.transform("mean", lambda m: m + 1))
     assert support_violations(moved, frozen.statistics).count() == 3
 

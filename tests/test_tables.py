@@ -9,6 +9,7 @@ from flowloom.functions.labels import capture_labels
 from flowloom.operators import flows, splits, validate, windows
 from flowloom.operators.features import feature_vectors
 from flowloom.operators.history import LIVE_TRANSITIONS, fail_interrupted, lifecycle_violations
+from flowloom.operators.summary import dataset_summary, raw_connection_counts
 from flowloom.plans import pipelines
 from flowloom.schemas import APPLICATION_CATEGORY, APPLICATIONS, PARTITIONS, RAW_CONNECTIONS
 from flowloom.session import scratch_path
@@ -110,6 +111,9 @@ def test_raw_connections(spark):
         RAW_CONNECTIONS,
     )
     assert validate.raw_connection_violations(df).count() == 0
+    summary = dataset_summary(raw_connection_counts(df)).first()
+    assert (summary["connections"], summary["packets"], summary["captures"]) == (2, 4, 1)
+    assert summary["median_packets"] == 2.0
     rows = connection_packets(df).where("connection.proto = 6").orderBy("packet_number").collect()
     assert [(r["timestamp_seconds"], r["size"]) for r in rows] == [(100.0, 2), (100.0, 3), (102.0, 1)]
     assert {r["capture_origin"] for r in rows} == {99.0}
@@ -259,6 +263,14 @@ def test_live_lifecycle_and_restart(spark):
     assert changed.count() == 3 and changed.select("state").distinct().first()[0] == "failed"
 
 
+def test_published_rows_hold_no_addresses():
+    from flowloom.schemas import FEATURES, WINDOWS
+
+    for schema in (WINDOWS, FEATURES):
+        assert not {"src", "dst", "source_address", "connection", "raw"} & set(schema.names)
+    assert not {"timestamps", "sizes", "directions"} & set(FEATURES.names)
+
+
 def test_feature_input_rules(make_packets):
     packed = windows.window_packets(
         flows.assign_flows(make_packets([(i, (A, 1), (B, 2), 5) for i in range(4)])), 10.0

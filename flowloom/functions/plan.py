@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Use a value several times in an expression while working it out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def computed_once(value: Column) -> Column:
     """Keep a costly column from being copied into filters below its projection.
 

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Use a value several times in an expression while working it out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from flowloom.functions.plan import bind
 
 
 def softmax(logits: Column) -> Column:
@@ -24,15 +19,15 @@ def softmax(logits: Column) -> Column:
             lambda total: F.transform(powers, lambda power: power / total),
         )
 
-    return _bind(
+    return bind(
         F.array_max(logits),
-        lambda top: _bind(F.transform(logits, lambda z: F.exp(z - top)), share),
+        lambda top: bind(F.transform(logits, lambda z: F.exp(z - top)), share),
     )
 
 
 def log_sum_exp(logits: Column) -> Column:
     """Logarithm of the summed exponentials of an array."""
-    return _bind(
+    return bind(
         F.array_max(logits),
         lambda top: F.aggregate(
             logits,

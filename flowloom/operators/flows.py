@@ -97,7 +97,7 @@ def flow_table(assigned: DataFrame, *, segment_packets: int = SEGMENT_PACKETS) -
     which flows sort in first-seen order.
     """
     keys = ["capture_id", "flow_id", "connection"]
-    rows = F.array_sort(
+    rows = F.sort_array(
         F.collect_list(F.struct("packet_number", "timestamp_seconds", "size", "direction"))
     )
     segments = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels, flow_id, window_id
 from flowloom.functions.ordered import chunk_of, number_sorted
-from flowloom.functions.plan import never_null
+from flowloom.functions.plan import bind, computed_once, never_null
 from flowloom.schemas import MINIMUM_PACKETS, SEGMENT_PACKETS, WINDOW_SECONDS, WINDOWS
 
 WINDOW_KEY = ["capture_id", "flow_id", "window_index"]
@@ -105,7 +105,7 @@ def observation_windows(
         window_index=0,
         _chunk=0,
     )
-    rows = F.array_sort(
+    rows = F.sort_array(
         F.collect_list(F.struct("packet_number", "offset_seconds", "size", "direction"))
     )
     segments = packets.groupBy(*WINDOW_KEY, "_chunk").agg(rows.alias("rows"))
@@ -140,6 +140,92 @@ def observation_windows(
     )
 
 
+def connection_windows(
+    connections: DataFrame,
+    *,
+    window_seconds: float = WINDOW_SECONDS,
+    minimum_packets: int = MINIMUM_PACKETS,
+    policy: str = RELEASE_COMPATIBLE,
+    segment_packets: int = SEGMENT_PACKETS,
+) -> DataFrame:
+    """Retained windows of a nested connection table, without shuffling packets.
+
+    A connection is one row, so its packets are sorted and cut into windows
+    inside the row; only the capture origins are aggregated and joined.
+    """
+    check_window(window_seconds, minimum_packets)
+    width = F.lit(float(window_seconds))
+    labeled = capture_labels(connections, "file_names").where(F.size("timestamps") > 0)
+    origins = labeled.groupBy("capture_id").agg(
+        F.min(F.array_min("timestamps")).alias("capture_origin")
+    )
+    rows = F.sort_array(
+        F.arrays_zip(
+            F.transform("timestamps", lambda t: t - F.col("capture_origin")).alias("at"),
+            F.sequence(F.lit(0), F.size("timestamps") - 1).alias("position"),
+            F.col("sizes").alias("size"),
+            F.col("directions").alias("direction"),
+        )
+    )
+
+    def cut(packets: Column, indexes: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(packets) - 1),
+            lambda i: (i == 0) | (F.get(indexes, i) != F.get(indexes, i - 1)),
+        )
+        return bind(
+            starts,
+            lambda edges: F.transform(
+                edges,
+                lambda start, k: F.struct(
+                    F.get(indexes, start).alias("window_index"),
+                    F.slice(
+                        packets,
+                        start + 1,
+                        F.coalesce(F.get(edges, k + 1), F.size(packets)) - start,
+                    ).alias("rows"),
+                ),
+            ),
+        )
+
+    pieces = bind(
+        rows,
+        lambda packets: bind(
+            F.transform(packets, lambda p: F.floor(p["at"] / width).cast("bigint")),
+            lambda indexes: cut(packets, indexes),
+        ),
+    )
+    kept = F.filter(pieces, lambda w: retained(F.size(w["rows"]), minimum_packets, policy))
+    # One output row per segment of a window, again inside the row.
+    segment_starts = F.sequence(F.lit(0), F.size("w.rows") - 1, F.lit(segment_packets))
+    found = (
+        labeled.join(origins, "capture_id")
+        .withColumn("flow_id", flow_id("capture_id", "connection"))
+        .withColumn("_windows", computed_once(kept))
+        .select(
+            "capture_id",
+            "flow_id",
+            "vpn_status",
+            "application",
+            "category",
+            F.explode("_windows").alias("w"),
+        )
+        .withColumn("window_index", F.col("w.window_index"))
+        .withColumn("packet_count", F.size("w.rows").cast("bigint"))
+        .select("*", F.posexplode(segment_starts).alias("segment", "_from"))
+        .withColumn("_rows", F.slice("w.rows", F.col("_from") + 1, F.lit(segment_packets)))
+    )
+    start = F.col("window_index") * width
+    columns = {
+        "timestamps": F.transform("_rows", lambda p: p["at"] - start),
+        "sizes": F.col("_rows.size"),
+        "directions": F.col("_rows.direction"),
+        "segment": F.col("segment").cast("bigint"),
+    }
+    bounded = with_bounds(found, window_seconds)
+    return bounded.select(*[columns.get(n, F.col(n)).alias(n) for n in WINDOWS.names])
+
+
 def packets_of_windows(windows: DataFrame) -> DataFrame:
     """Explode stored windows back into packets, order kept.
 

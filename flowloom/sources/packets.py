@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels
 from flowloom.functions.ordered import number_rows
+from flowloom.functions.plan import computed_once
 from flowloom.schemas import APPLICATIONS, RAW_CONNECTIONS
 
 CAPTURES_IN_EVENTS = 40
@@ -92,11 +93,12 @@ def connection_packets(connections: DataFrame) -> DataFrame:
     nonempty = labeled.where(F.size("timestamps") > 0)
     return (
         nonempty.join(origins, "capture_id")
+        .withColumn("_packets", computed_once(F.sort_array(rows)))
         .select(
             "capture_id",
             "capture_origin",
             "connection",
-            F.posexplode(F.array_sort(rows)).alias("packet_number", "p"),
+            F.posexplode("_packets").alias("packet_number", "p"),
         )
         .select(
             "capture_id",

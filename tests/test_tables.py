@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 
 import pytest
@@ -129,6 +130,29 @@ def test_raw_connections(spark):
     }
 
 
+def test_connection_windows_equal_the_packet_path(spark):
+    source = random.Random(8)
+    rows = []
+    for c in range(3):
+        for k in range(4):
+            n = source.randint(1, 120)
+            times = [1e9 + source.choice([0, 1, 40.96, 81.92]) + round(source.random() * 60, 2) for _ in range(n)]
+            rows.append((("a", k, "b", 2, 6), times, [source.randint(0, 99) for _ in range(n)],
+                         [source.randint(0, 1) for _ in range(n)], f"vpn_ssh_{c}.pcap"))
+    df = spark.createDataFrame(rows, RAW_CONNECTIONS)
+    direct = windows.connection_windows(df, minimum_packets=5, segment_packets=16)
+    packets = connection_packets(df)
+    whole = windows.connection_windows(df, minimum_packets=5)
+    shuffled = windows.observation_windows(packets, minimum_packets=5)
+    assert whole.exceptAll(shuffled).count() == 0 and whole.count() == shuffled.count() > 10
+    assert direct.select(F.max(F.size("sizes"))).first()[0] == 16
+    sums = [
+        {tuple(r) for r in w.groupBy("window_id").agg(F.sum(F.size("sizes")), F.max("packet_count")).collect()}
+        for w in (direct, whole)
+    ]
+    assert sums[0] == sums[1]
+
+
 def test_flow_rows_become_raw_connections(make_packets):
     assigned = flows.assign_flows(make_packets([(1, (A, 1), (B, 2), 5), (2, (B, 2), (A, 1), 6)]))
     raw = flows.raw_connections(flows.flow_table(assigned))

@@ -217,3 +217,48 @@ def test_run_summary_from_progress(spark):
     query = pipeline.run_to_table(stream, path, checkpoint)
     row = run_summary(pipeline.progress_log(query)).first()
     assert row["packets_processed"] == 40 and row["packet_rate_per_second"] > 0
+
+
+def test_silent_flows_close_when_event_time_passes(spark):
+    name = "vpn_ssh_capture0.pcap"
+    a, b, s = ("10.0.0.1", 1), ("10.0.0.2", 1), ("10.0.1.1", 2)
+    parts = [
+        [(name, 1, 1000.0, *a, *s, 6, 50), (name, 2, 1001.0, *b, *s, 6, 60)],
+        [(name, 3, 1100.0, *b, *s, 6, 70)],
+        [(name, 4, 1200.0, *b, *s, 6, 80)],
+        [(name, 5, 1300.0, *b, *s, 6, 90)],
+    ]
+    source, checkpoint = scratch_path(spark, "source"), scratch_path(spark, "checkpoint")
+    path = scratch_path(spark, "windows")
+    origins = spark.createDataFrame([(name, 1000.0)], "capture_id string, capture_origin double")
+    for part in parts:
+        spark.createDataFrame(part, PACKETS).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(PACKETS).parquet(source).join(origins, "capture_id")
+        pipeline.run_to_table(
+            pipeline.stream_windows(stream, window_seconds=SECONDS, silent_after="1 second"),
+            path,
+            checkpoint,
+        )
+    closed = spark.read.parquet(path).collect()
+    silent = [r for r in closed if r["connection"]["src"] == a[0]]
+    assert [(r["window_index"], r["packet_count"], r["bytes"]) for r in silent] == [(0, 1, 50)]
+    every = spark.read.parquet(path).unionByName(pipeline.finish_windows(spark, checkpoint))
+    assert sorted((r["window_index"], r["bytes"]) for r in every.collect()) == [
+        (0, 50), (0, 60), (10, 70), (20, 80), (30, 90),
+    ]
+
+
+def test_message_stream_feeds_packets(spark):
+    from flowloom.sources.messages import packet_message, packet_messages, stream_lines
+
+    rows = spark.createDataFrame(traffic(1, 30), PACKETS)
+    source, path = scratch_path(spark, "lines"), scratch_path(spark, "packets")
+    text = rows.select(packet_message().alias("value"))
+    broken = spark.createDataFrame([("not json",)], "value string")
+    text.unionByName(broken).write.text(source)
+    pipeline.run_to_table(
+        packet_messages(stream_lines(spark, source)), path, scratch_path(spark, "checkpoint")
+    )
+    got = spark.read.parquet(path)
+    assert got.count() == 30
+    assert got.exceptAll(rows.select(*got.columns)).count() == 0

@@ -29,8 +29,33 @@ class ModelError(ValueError):
     """Raised when a model step cannot be done on the given rows."""
 
 
-def _element_aggregates(vector: str, dimension: int, aggregate) -> Column:
-    return F.array(*[aggregate(F.col(vector)[i].cast("double")) for i in range(dimension)])
+def _element_statistics(
+    rows: DataFrame, vector: str, dimension: int, label: Column
+) -> DataFrame:
+    """Rows, mean and population variance of every element, per label.
+
+    Vectors are unfolded into elements; partial sums per label and element are
+    combined map-side, so a task sends one row per label and element.  A vector
+    of another length stops the job.
+    """
+    cells = rows.select(label.alias("label"), F.posexplode(vector).alias("i", "x")).groupBy(
+        "label", "i"
+    )
+    x = F.col("x").cast("double")
+    elements = cells.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance")
+    )
+    # one entry per element of the vector
+    gathered = F.sort_array(F.collect_list(F.struct("i", "mean", "variance")))
+    fits = (F.size("c") == dimension) & (F.col("fewest") == F.col("n"))
+    means = F.when(fits, F.col("c.mean")).otherwise(
+        F.raise_error(F.lit(f"vectors must have {dimension} elements"))
+    )
+    return (
+        elements.groupBy("label")
+        .agg(F.max("n").alias("n"), F.min("n").alias("fewest"), gathered.alias("c"))
+        .select("label", "n", means.alias("mean"), F.col("c.variance").alias("variance"))
+    )
 
 
 def fit_standardizer(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
@@ -39,11 +64,7 @@ def fit_standardizer(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
     An element without spread beyond rounding gets scale 1.
     """
     epsilon = 2.0**-52
-    stats = rows.agg(
-        F.count(F.lit(1)).alias("n"),
-        _element_aggregates(vector, dimension, F.avg).alias("mean"),
-        _element_aggregates(vector, dimension, F.var_pop).alias("variance"),
-    )
+    stats = _element_statistics(rows, vector, dimension, F.lit(0))
     n = F.col("n").cast("double")
     return stats.select(
         "n",
@@ -209,11 +230,7 @@ def select_support(
 
 def class_statistics(rows: DataFrame, vector: str, dimension: int, label: str = "label") -> DataFrame:
     """Rows, mean and population variance of every class, element by element."""
-    return rows.groupBy(F.col(label).alias("label")).agg(
-        F.count(F.lit(1)).alias("n"),
-        _element_aggregates(vector, dimension, F.avg).alias("mean"),
-        _element_aggregates(vector, dimension, F.var_pop).alias("variance"),
-    )
+    return _element_statistics(rows, vector, dimension, F.col(label))
 
 
 def _matrix(vectors: pa.Array, dimension: int) -> np.ndarray:

@@ -25,7 +25,7 @@ from flowloom.plans.settings import (
     table,
     windowed,
 )
-from flowloom.schemas import APPLICATION_CATEGORY, APPLICATIONS
+from flowloom.schemas import APPLICATION_CATEGORY, APPLICATIONS, SEGMENT_PACKETS
 from flowloom.sources.frames import decode_frames
 from flowloom.sources.messages import dead_letters, packet_message, packet_messages
 from flowloom.sources.packets import capture_name, event_packets
@@ -208,13 +208,18 @@ def flow_assign_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(
     "flow_table",
-    f"""WITH {ASSIGNED_SQL}
-SELECT capture_id, flow_id, min(packet_number) AS flow_order, count(*) AS packet_count,
-  0::BIGINT AS segment,
+    f"""WITH {ASSIGNED_SQL},
+parts AS (
+SELECT capture_id, flow_id, packet_number // {SEGMENT_PACKETS} AS chunk,
+  min(packet_number) AS first_packet, count(*) AS n,
   string_agg(CAST(floor(sec * 1000) AS BIGINT)::VARCHAR, ',' ORDER BY packet_number) AS timestamps,
   string_agg(size::VARCHAR, ',' ORDER BY packet_number) AS sizes,
   string_agg(direction::VARCHAR, ',' ORDER BY packet_number) AS directions
-FROM assigned GROUP BY 1, 2""",
+FROM assigned GROUP BY 1, 2, 3)
+SELECT capture_id, flow_id, min(first_packet) OVER f AS flow_order,
+  CAST(sum(n) OVER f AS BIGINT) AS packet_count, row_number() OVER (PARTITION BY capture_id,
+    flow_id ORDER BY chunk) - 1 AS segment, timestamps, sizes, directions
+FROM parts WINDOW f AS (PARTITION BY capture_id, flow_id)""",
 )
 def flow_table_query(spark: SparkSession, folder: str) -> DataFrame:
     return flows.flow_table(assigned(spark, folder)).select(
@@ -222,8 +227,7 @@ def flow_table_query(spark: SparkSession, folder: str) -> DataFrame:
         "flow_id",
         "flow_order",
         "packet_count",
-        # packet numbers are event ids here, so segments count from the flow's first
-        F.col("segment"),
+        "segment",
         _text(F.transform("timestamps", lambda t: F.floor(t * 1000))).alias("timestamps"),
         _text(F.col("sizes")).alias("sizes"),
         _text(F.col("directions")).alias("directions"),
@@ -328,15 +332,21 @@ def window_index_query(spark: SparkSession, folder: str) -> DataFrame:
 def _windows_sql(operator: str, minimum: int = MINIMUM) -> str:
     return f"""WITH {WINDOWED_SQL},
 held AS (
-  SELECT capture_id, flow_id, window_index, count(*) AS packet_count,
-    window_index * {WINDOW}::DOUBLE AS start_offset_seconds,
-    (window_index + 1) * {WINDOW}::DOUBLE AS end_offset_seconds,
+  SELECT capture_id, flow_id, window_index, packet_number // {SEGMENT_PACKETS} AS chunk,
+    count(*) AS n,
     string_agg(CAST(floor(off * 1000) AS BIGINT)::VARCHAR, ',' ORDER BY packet_number) AS offsets,
     string_agg(size::VARCHAR, ',' ORDER BY packet_number) AS sizes,
     string_agg(direction::VARCHAR, ',' ORDER BY packet_number) AS directions
-  FROM windowed GROUP BY 1, 2, 3 HAVING count(*) {operator} {minimum})
-SELECT capture_id || ':' || flow_id || ':' || window_index AS window_id, held.*,
-  {labels_sql("capture_id")} FROM held"""
+  FROM windowed GROUP BY 1, 2, 3, 4),
+sized AS (
+  SELECT capture_id, flow_id, window_index, offsets, sizes, directions,
+    CAST(sum(n) OVER w AS BIGINT) AS packet_count, row_number() OVER (PARTITION BY capture_id,
+      flow_id, window_index ORDER BY chunk) - 1 AS segment
+  FROM held WINDOW w AS (PARTITION BY capture_id, flow_id, window_index))
+SELECT capture_id || ':' || flow_id || ':' || window_index AS window_id, sized.*,
+  window_index * {WINDOW}::DOUBLE AS start_offset_seconds,
+  (window_index + 1) * {WINDOW}::DOUBLE AS end_offset_seconds,
+  {labels_sql("capture_id")} FROM sized WHERE packet_count {operator} {minimum}"""
 
 
 def _windows(spark: SparkSession, folder: str, policy: str) -> DataFrame:
@@ -345,7 +355,6 @@ def _windows(spark: SparkSession, folder: str, policy: str) -> DataFrame:
         window_seconds=WINDOW,
         minimum_packets=MINIMUM,
         policy=policy,
-        segment_packets=2**62,
     )
     return found.withColumns(
         {
@@ -353,7 +362,7 @@ def _windows(spark: SparkSession, folder: str, policy: str) -> DataFrame:
             "sizes": _text(F.col("sizes")),
             "directions": _text(F.col("directions")),
         }
-    ).drop("timestamps", "segment")
+    ).drop("timestamps")
 
 
 @_register("windows_release", _windows_sql(">"))

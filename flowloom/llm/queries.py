@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.llm import language, toxicity
 from flowloom.llm.common import fold, table
 from flowloom.llm.decontaminate import contamination
 from flowloom.llm.exact_dedup import exact_duplicates
@@ -32,6 +33,14 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents."""
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs, model).withColumn("held_out", held_out)
+
+
 def packed_pieces(docs: DataFrame) -> DataFrame:
     """Packed pieces with a checksum in place of their ids."""
     return pack(docs).select(
@@ -68,12 +77,27 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = table(spark, folder, "documents")
+    labels = toxicity.toxic_labels(table(spark, folder, "labels"))
+    scores = toxicity.toxic_scores(docs, toxicity.fit(docs, labels))
+    return scores.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language": op4_language,
     "op5_packing": op5_packing,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -90,3 +90,34 @@ def partition_number() -> int:
 
     context = TaskContext.get()
     return context.partitionId() if context else 0
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal whole-number keys (nulls are equal).
+
+    For rows sorted by the keys these are the groups; one is held at a time.
+    """
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for key in keys:
+            column = batch.column(key)
+            value = column.fill_null(0).to_numpy(zero_copy_only=False)
+            empty = column.is_null().to_numpy(zero_copy_only=False)
+            change[1:] |= (value[1:] != value[:-1]) | (empty[1:] != empty[:-1])
+        first = tuple(batch.column(key)[0].as_py() for key in keys)
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        if held and first != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+        last = tuple(batch.column(key)[batch.num_rows - 1].as_py() for key in keys)
+    if held:
+        yield pa.Table.from_batches(held)

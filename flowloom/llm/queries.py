@@ -6,16 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import language, toxicity
+from flowloom.llm.chat import repair
 from flowloom.llm.common import fold, table
 from flowloom.llm.decontaminate import contamination
 from flowloom.llm.exact_dedup import exact_duplicates
+from flowloom.llm.html_text import page_texts
 from flowloom.llm.near_dedup import near_duplicates
 from flowloom.llm.packing import pack
+from flowloom.llm.passages import passages
 from flowloom.llm.quality import quality_scores
 
 THRESHOLD = 0.3
 
 
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Visible text of all pages."""
+    return page_texts(table(spark, folder, "pages"))
+
+
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Quality scores of all documents."""
     scores = quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -59,6 +67,16 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_pieces(table(spark, folder, "documents"))
 
 
+def op6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 50 words that repeat across documents."""
+    return passages(table(spark, folder, "documents"))
+
+
+def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations with legal roles, rendered."""
+    return repair(table(spark, folder, "conversations"))
+
+
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark phrases in all documents."""
     found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -91,10 +109,13 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language": op4_language,
     "op5_packing": op5_packing,
+    "op6_passages": op6_passages,
+    "op7_chat": op7_chat,
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,

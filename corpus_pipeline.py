@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.llm import quality
-from flowloom.llm.common import stored, table
+from flowloom.llm.common import broadcast_if_small, stored, table
 from flowloom.llm.decontaminate import contamination
 from flowloom.llm.exact_dedup import exact_duplicates
 from flowloom.llm.near_dedup import near_duplicates
@@ -21,7 +21,8 @@ from flowloom.llm.queries import THRESHOLD, packed_pieces
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """The documents whose id is not listed, with their columns as they are."""
-    ids = dropped.select(F.col("doc_id").alias("dropped_id"))
+    ids = stored(dropped.select(F.col("doc_id").alias("dropped_id")), "dropped")
+    ids = broadcast_if_small(ids)
     return docs.join(ids, docs["doc_id"] == ids["dropped_id"], "left_anti")
 
 

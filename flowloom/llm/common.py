@@ -29,6 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids (16 bytes each) that are broadcast at most: about 64 MB.
+MOST_BROADCAST_IDS = 4_000_000
+
+
+def broadcast_if_small(ids: DataFrame, most: int = MOST_BROADCAST_IDS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has at most ``most`` rows.
+
+    Beyond that the join shuffles, as it would without this function.
+    """
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` alone, null text as empty; other columns cannot clash."""
     return docs.select(

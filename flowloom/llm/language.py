@@ -189,11 +189,9 @@ def fit(labelled: DataFrame, per_language: int = 400, crop: int = 600, **shape)
     drawn = rows.where(hash_share(F.col("doc_id"), 1) < shares[F.col("lang")])
     cut = drawn.select("doc_id", "lang", F.substring(F.col("text"), at + 1, F.lit(crop)).alias("part"))
     languages = [r["lang"] for r in counts]
-    crops = sorted(
-        (r.doc_id, r.part.encode(), languages.index(r.lang)) for r in cut.toLocalIterator()
-    )
+    crops = sorted((r.part.encode(), languages.index(r.lang)) for r in cut.toLocalIterator())
     model = ByteTagger(languages, **shape)
-    model.train([c[1:] for c in crops])
+    model.train(crops)
     return model
 
 

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import byte_rows, slices, stored, texts
+from flowloom.llm.common import broadcast_if_small, byte_rows, slices, stored, texts
 from flowloom.llm.components import components
 
 SHINGLE = 5
@@ -316,14 +316,16 @@ def near_links(
     crowded = components(
         members.where(F.col("n") > crowd).select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     )
-    needed = (
+    needed = stored(
         likely.select(F.col("a").alias("doc_id"))
         .unionByName(likely.select(F.col("b").alias("doc_id")))
         .unionByName(crowded.select(F.col("node").alias("doc_id")))
-        .distinct()
+        .distinct(),
+        "needed",
     )
+    chosen = texts(docs).join(broadcast_if_small(needed), "doc_id")
     sets = stored(
-        shingle_sets(texts(docs).join(needed, "doc_id").select("doc_id", "text")).distinct(),
+        shingle_sets(chosen.select("doc_id", "text")).distinct(),
         "shingles",
     )
     sets_a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))

@@ -289,10 +289,11 @@ def keep_good(docs: DataFrame, model: KernelRidge, threshold: float = 0.3) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_of"):
-            rows = [text_statistics(t) for t in byte_rows(part.column("text_of"))]
+        for part in slices(batches, spare):
+            rows = [text_statistics(t) for t in byte_rows(part.column(spare))]
             keep = model.scores(np.array(rows, np.float64)) >= threshold
-            yield part.filter(pa.array(keep)).drop_columns(["text_of"])
+            yield part.filter(pa.array(keep)).drop_columns([spare])
 
-    judged = docs.withColumn("text_of", F.coalesce(F.col("text"), F.lit("")))
+    spare = max(docs.columns, key=len) + "_text"  # a name no column has
+    judged = docs.withColumn(spare, F.coalesce(F.col("text"), F.lit("")))
     return judged.mapInArrow(run, docs.schema)

@@ -57,15 +57,47 @@ _ARROW = pa.schema(
 #: Characters whose normal form, lower case and class are beyond doubt; texts
 #: with others are tokenised as a whole by the library.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-¬®-±´¶-¸»¿-ÖØ-öø-ÿ×÷]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-_CACHED_WORDS = 400_000
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+| ")
+_CACHED = 400_000
+
+
+class _Known:
+    """Ids of the strings met so far, numbered in order of arrival."""
+
+    def __init__(self):
+        self.number = defaultdict(itertools.count().__next__)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        """Numbers of strings; new ones are still to be added."""
+        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+
+    def fresh(self) -> list[str]:
+        """Numbered strings whose ids are not known yet."""
+        return list(itertools.islice(self.number, len(self.starts), None))
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Ids of the fresh strings, one after another."""
+        ends = np.cumsum(sizes)
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, flat])
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of numbered strings in a row, and how many each has."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        places = np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)
+        return self.flat[places], sizes
 
 
 class WordTokenizer:
     """Ids of whole texts; the ids of each distinct word are worked out once.
 
-    The vocabulary splits a text into words before it merges letters, so a
-    text's ids are its words' ids one after another.
+    The vocabulary splits a text at blanks and further into parts before it
+    merges letters, so a text's ids are its parts' ids one after another.
     """
 
     _loaded: dict[str, WordTokenizer] = {}
@@ -75,18 +107,18 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as source:
-            parts = json.load(source)
+            shape = json.load(source)
         self._whole = Tokenizer.from_file(path)
-        parts["normalizer"] = None
-        parts["added_tokens"] = []
-        parts["pre_tokenizer"] = {
+        shape["normalizer"] = None
+        shape["added_tokens"] = []
+        shape["pre_tokenizer"] = {
             "type": "ByteLevel",
             "add_prefix_space": False,
             "trim_offsets": True,
             "use_regex": False,
         }
-        self._words = Tokenizer.from_str(json.dumps(parts))
-        self._forget()
+        self._merges = Tokenizer.from_str(json.dumps(shape))
+        self._words, self._parts = _Known(), _Known()
 
     @classmethod
     def of(cls, path: str | None) -> WordTokenizer:
@@ -99,43 +131,36 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _forget(self) -> None:
-        self._number = defaultdict(itertools.count().__next__)
-        self._starts = np.zeros(0, np.int64)
-        self._sizes = np.zeros(0, np.int64)
-        self._pool = np.zeros(0, np.uint32)
-
     def _learn(self) -> None:
-        known = len(self._starts)
-        fresh = list(itertools.islice(self._number, known, None))
+        """Work out the words not met before."""
+        fresh = self._words.fresh()
         if not fresh:
             return
-        coded = [e.ids for e in self._words.encode_batch(fresh, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        starts = len(self._pool) + np.cumsum(sizes) - sizes
-        flat = np.fromiter(itertools.chain.from_iterable(coded), np.uint32, int(sizes.sum()))
-        self._pool = np.concatenate([self._pool, flat])
-        self._starts = np.concatenate([self._starts, starts])
-        self._sizes = np.concatenate([self._sizes, sizes])
+        found = _PARTS.findall(" ".join(fresh))
+        gap = np.fromiter((p == " " for p in found), bool, len(found))
+        parts = self._parts.numbers([p for p in found if p != " "])
+        new = self._parts.fresh()
+        if new:
+            coded = self._merges.encode(new, is_pretokenized=True, add_special_tokens=False)
+            owner = np.array(coded.word_ids, np.int64)
+            self._parts.add(np.array(coded.ids, np.uint32), np.bincount(owner, minlength=len(new)))
+        flat, sizes = self._parts.ids(parts)
+        word = np.cumsum(gap)[~gap]
+        counts = np.bincount(word, weights=sizes, minlength=len(fresh)).astype(np.int64)
+        self._words.add(flat, counts)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit arrays."""
-        if len(self._number) > _CACHED_WORDS:
-            self._forget()
+        if len(self._words.number) > _CACHED or len(self._parts.number) > _CACHED:
+            self._words, self._parts = _Known(), _Known()
         plain = [i for i, t in enumerate(batch) if "<|" not in t and _PLAIN.fullmatch(t)]
-        words = [_PARTS.findall(batch[i].lower()) for i in plain]
+        words = [batch[i].lower().split() for i in plain]
         counts = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = np.fromiter(
-            map(self._number.__getitem__, itertools.chain.from_iterable(words)),
-            np.int64,
-            int(counts.sum()),
-        )
+        numbers = self._words.numbers(list(itertools.chain.from_iterable(words)))
         self._learn()
-        sizes, starts = self._sizes[numbers], self._starts[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self._pool[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        flat, sizes = self._words.ids(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
         out: list = [None] * len(batch)
         for n, i in enumerate(plain):
             out[i] = flat[bounds[n] : bounds[n + 1]]

@@ -143,7 +143,7 @@ def test_toxicity_learns_words_and_beginnings_of_words():
     model.train(docs[:400], steps=200)
     logit = toxicity.Scorer(model).highest([b" ".join(w) for w, _ in docs[400:]])
     label = np.array([k for _, k in docs[400:]])
-    assert np.mean([[t > c for c in logit[label == 0]] for t in logit[label == 1]]) > 0.97
+    assert np.mean([[t > c for c in logit[label == 0]] for t in logit[label == 1]]) > 0.9
 
 
 def test_awkward_rows(spark):

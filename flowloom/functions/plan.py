@@ -23,12 +23,27 @@ def computed_once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
-def never_null(df: DataFrame, **defaults: object) -> DataFrame:
-    """Declare key columns free of nulls, which they are by contract.
+def with_keys(df: DataFrame, *names: str) -> DataFrame:
+    """The rows whose key columns are all present.
 
-    Joins then add no null filters below themselves, so two branches of a plan
-    that start with the same aggregation stay equal and share its shuffle.
+    A row without a key belongs to no group; the checks in ``operators.validate``
+    report such rows.  Knowing the keys to be present, joins add no null filters
+    below themselves, so two branches of a plan that start with the same
+    aggregation stay equal and share its shuffle.
     """
-    return df.withColumns(
-        {name: F.coalesce(F.col(name), F.lit(value)) for name, value in defaults.items()}
-    )
+    present = F.lit(True)
+    for name in names:
+        present = present & F.col(name).isNotNull()
+    return df.where(present)
+
+
+#: Rows of a state table that is broadcast at most.
+MOST_STATE_ROWS = 50_000
+
+
+def broadcast_if_small(state: DataFrame, most: int = MOST_STATE_ROWS) -> DataFrame:
+    """A state table, marked for broadcast if it has at most ``most`` rows.
+
+    Beyond that the join shuffles both sides, as it would without this function.
+    """
+    return F.broadcast(state) if state.limit(most + 1).count() <= most else state

@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowloom.functions.plan import broadcast_if_small
 from flowloom.functions.vectors import normal_cdf
+from flowloom.session import cut_lineage
 
 # Series order: a sample lies at most half a bandwidth from its cell centre, so
 # the first dropped term is below 1e-13 of one sample.
@@ -165,8 +167,11 @@ def with_ood_score(
     """Density distribution function of the row's class at the row's score.
 
     Every row meets exactly one block row, by an equi join on class and block.
-    The score is null where the class has no usable density.
+    Classes and blocks are few: they are broadcast after a check of their
+    number, so the scored rows stay where they are.  The score is null where the
+    class has no usable density; :func:`unscored_violations` names such rows.
     """
+    blocks = cut_lineage(blocks)
     frame = blocks.groupBy("label").agg(
         F.first("mean").alias("_mean"),
         F.first("bandwidth").alias("_bandwidth"),
@@ -176,7 +181,7 @@ def with_ood_score(
     scaled = (F.col(score) - F.col("_mean")) / F.col("_bandwidth")
     # Scores beyond the outermost blocks are all-below or all-above already.
     placed = (
-        rows.join(frame.withColumnRenamed("label", label), label, "left")
+        rows.join(broadcast_if_small(frame.withColumnRenamed("label", label)), label, "left")
         .withColumn("_z", scaled)
         .withColumn(
             "_block",
@@ -199,7 +204,7 @@ def with_ood_score(
         .otherwise(_series(F.col("_z") - (c["cell"].cast("double") + F.lit(0.5)), c["sums"])),
     )
     return (
-        placed.join(stored, [label, "_block"], "left")
+        placed.join(broadcast_if_small(stored), [label, "_block"], "left")
         .withColumn(
             name,
             F.when(
@@ -209,3 +214,12 @@ def with_ood_score(
         )
         .drop("_mean", "_bandwidth", "_lowest", "_highest", "_z", "_block", "n", "below", "cells")
     )
+
+
+def unscored_violations(rows: DataFrame, key: str, *, name: str = "ood_score") -> DataFrame:
+    """Rows without a score, because their class has no usable density."""
+    return rows.where(F.col(name).isNull()).select(
+        F.lit("class_without_density").alias("rule"),
+        F.col(key).cast("string").alias("key"),
+        F.lit("").alias("detail"),
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels, window_id
 from flowloom.functions.ordered import chunk_of
-from flowloom.functions.plan import never_null
+from flowloom.functions.plan import with_keys
 from flowloom.operators.wavelet import wavelet_features
 from flowloom.operators.windows import RELEASE_COMPATIBLE, WINDOW_KEY, check_window, retained
 from flowloom.schemas import (
@@ -59,12 +59,8 @@ def in_chunks(packets: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Window packets shuffled by window and bounded packet-number chunk."""
     if "_chunk" in packets.columns:
         return packets
-    chunked = never_null(
-        packets.withColumn("_chunk", chunk_of("packet_number", chunk_rows)),
-        capture_id="",
-        flow_id="",
-        window_index=0,
-        _chunk=0,
+    chunked = with_keys(
+        packets.withColumn("_chunk", chunk_of("packet_number", chunk_rows)), *WINDOW_KEY, "_chunk"
     )
     return chunked.repartition(*WINDOW_KEY, "_chunk")
 

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import flow_id
 from flowloom.functions.ordered import chunk_of, number_rows
-from flowloom.functions.plan import never_null
-from flowloom.schemas import CHUNK_ROWS, SEGMENT_PACKETS
+from flowloom.schemas import CHUNK_ROWS
 from flowloom.session import cut_lineage
 
 FLOW_KEY = ["capture_id", "flow_key"]
@@ -88,50 +87,29 @@ def assign_flows(packets: DataFrame) -> DataFrame:
     )
 
 
-def flow_table(assigned: DataFrame, *, segment_packets: int = SEGMENT_PACKETS) -> DataFrame:
-    """Flows as packet arrays in arrival order, cut into bounded segments.
+def flow_table(assigned: DataFrame) -> DataFrame:
+    """Flows, one row each, with all their packets as arrays in arrival order.
 
-    A flow of ordinary size is one row (segment 0).  Segments of a flow follow
-    consecutive packet-number ranges, so no row holds more than
-    ``segment_packets`` packets.  ``flow_order`` is the first packet number, by
-    which flows sort in first-seen order.
+    ``flow_order`` is the first packet number, by which flows sort in first-seen
+    order.  A flow's arrays are built in one task; :func:`flow_directory` has the
+    flows of any size without them, :func:`assign_flows` their packets.
     """
-    keys = ["capture_id", "flow_id", "connection"]
     rows = F.sort_array(
         F.collect_list(F.struct("packet_number", "timestamp_seconds", "size", "direction"))
     )
-    segments = (
-        never_null(
-            assigned.withColumn("_chunk", chunk_of("packet_number", segment_packets)),
-            capture_id="",
-            flow_id="",
-            _chunk=0,
-        )
-        .groupBy(*keys, "_chunk")
+    return (
+        assigned.groupBy("capture_id", "flow_id", "connection")
         .agg(rows.alias("rows"))
-    )
-    flow = Window.partitionBy(*keys)
-    # Counted from the collected segments: the packets are shuffled once.
-    numbered = segments.select(
-        *keys,
-        "_chunk",
-        F.size("rows").alias("_held"),
-        F.element_at("rows", 1)["packet_number"].alias("_first"),
-    ).select(
-        *keys,
-        "_chunk",
-        F.min("_first").over(flow).alias("flow_order"),
-        F.sum("_held").over(flow).alias("packet_count"),
-        (F.row_number().over(flow.orderBy("_chunk")) - 1).cast("bigint").alias("segment"),
-    )
-    return segments.join(numbered, [*keys, "_chunk"]).select(
-        *keys,
-        "flow_order",
-        "packet_count",
-        "segment",
-        F.col("rows.timestamp_seconds").alias("timestamps"),
-        F.col("rows.size").alias("sizes"),
-        F.col("rows.direction").alias("directions"),
+        .select(
+            "capture_id",
+            "flow_id",
+            "connection",
+            F.element_at("rows", 1)["packet_number"].alias("flow_order"),
+            F.size("rows").cast("bigint").alias("packet_count"),
+            F.col("rows.timestamp_seconds").alias("timestamps"),
+            F.col("rows.size").alias("sizes"),
+            F.col("rows.direction").alias("directions"),
+        )
     )
 
 

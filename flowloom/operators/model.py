@@ -247,14 +247,18 @@ class ClassState:
     precisions: np.ndarray
 
 
-def class_state(statistics: DataFrame, labels: Sequence) -> ClassState:
+def class_state(
+    statistics: DataFrame, labels: Sequence, *, maximum_classes: int = MAXIMUM_CLASSES
+) -> ClassState:
     """Driver-side class state, bounded by the class list; every label is required.
 
+    More than ``maximum_classes`` labels are refused: the state travels to every task.
+
     Variances at or below ``D * eps(float32) * max`` of their class count as
     zero and get precision zero, as in a pseudo-inverse.
     """
-    if not 2 <= len(labels) <= MAXIMUM_CLASSES:
-        raise ModelError("class count must be at least two and bounded")
+    if not 2 <= len(labels) <= maximum_classes:
+        raise ModelError(f"{len(labels)} classes given, 2 to {maximum_classes} are allowed")
     found = {
         r["label"]: r for r in statistics.where(F.col("label").isin(*labels)).collect()
     }
@@ -331,45 +335,64 @@ def class_covariance(
 ) -> DataFrame:
     """Full population covariance cells per class and globally (label ``*``).
 
-    Each task adds up residual products of its rows around the class mean; only
-    those sums are shuffled.  Returns ``label, n, i, j, covariance``.
+    The class means (one row per class) go to the tasks; a task adds up products
+    around them in one pass over its vectors and sends one matrix per class, so
+    no vector is shuffled and no class is hot.  The global matrix follows from
+    the class matrices and means.  Returns ``label, n, i, j, covariance``.
     """
-    both = rows.select(
-        F.explode(F.array(F.col(label).cast("string"), F.lit(GLOBAL_LABEL))).alias("label"),
+    named = rows.select(
+        F.col(label).cast("string").alias("label"),
         F.transform(F.col(vector), lambda v: v.cast("double")).alias("x"),
     )
-    means = class_statistics(both, "x", dimension).select("label", "mean")
+    found = class_statistics(named, "x", dimension).select("label", "n", "mean").collect()
+    means = {r["label"]: np.asarray(r["mean"], dtype=np.float64) for r in found}
+    counts = {r["label"]: r["n"] for r in found}
+    total = max(sum(counts.values()), 1)
+    middle = sum((counts[k] * m for k, m in means.items()), np.zeros(dimension)) / total
+    kind = "label string, n bigint, cells array<double>"
+
+    def table(sums: dict[str, list]) -> dict:
+        return {
+            "label": pa.array(list(sums), pa.string()),
+            "n": pa.array([held[0] for held in sums.values()], pa.int64()),
+            "cells": pa.array(
+                [held[1].reshape(-1) for held in sums.values()], pa.list_(pa.float64())
+            ),
+        }
 
     def products(batches):
         sums: dict[str, list] = {}
         for batch in batches:
             names = np.asarray(batch.column("label").to_pylist(), dtype=object)
             x = np.asarray(batch.column("x").flatten()).reshape(-1, dimension)
-            m = np.asarray(batch.column("mean").flatten()).reshape(-1, dimension)
-            residuals = x - m
             for name in set(names.tolist()):
-                own = residuals[names == name]
+                residuals = x[names == name] - means[name]
                 held = sums.setdefault(name, [0, np.zeros((dimension, dimension))])
-                held[0] += len(own)
-                held[1] += own.T @ own
+                held[0] += len(residuals)
+                held[1] += residuals.T @ residuals
         if sums:
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "label": pa.array(list(sums), pa.string()),
-                    "n": pa.array([held[0] for held in sums.values()], pa.int64()),
-                    "cells": pa.array(
-                        [held[1].reshape(-1) for held in sums.values()], pa.list_(pa.float64())
-                    ),
-                }
-            )
-
-    partial = (
-        both.join(means, "label")
-        .select("label", "x", "mean")
-        .mapInArrow(products, "label string, n bigint, cells array<double>")
+            yield pa.RecordBatch.from_pydict(table(sums))
+
+    def added(parts: pa.Table) -> pa.Table:
+        cells = np.sum([np.asarray(c) for c in parts.column("cells").to_pylist()], axis=0)
+        name, n = parts.column("label")[0].as_py(), sum(parts.column("n").to_pylist())
+        return pa.table(table({name: [n, cells]}))
+
+    own = named.mapInArrow(products, kind).groupBy("label").applyInArrow(added, kind)
+    shift = [(name, (mean - middle).tolist()) for name, mean in means.items()]
+    spark = rows.sparkSession
+    shifts = spark.createDataFrame(shift, "label string, shift array<double>")
+    between = F.flatten(
+        F.transform("shift", lambda a: F.transform("shift", lambda b: a * b * F.col("n")))
+    )
+    moved = own.join(F.broadcast(shifts), "label").select(  # one row per class
+        F.lit(GLOBAL_LABEL).alias("label"),
+        "n",
+        F.zip_with("cells", between, lambda c, d: c + d).alias("cells"),
     )
     return (
-        partial.select("label", "n", F.posexplode("cells").alias("cell", "product"))
+        own.unionByName(moved)
+        .select("label", "n", F.posexplode("cells").alias("cell", "product"))
         .groupBy("label", "cell")
         .agg(F.sum("n").alias("n"), F.sum("product").alias("product"))
         .select(
@@ -383,24 +406,38 @@ def class_covariance(
 
 
 def read_geometry(
-    statistics: DataFrame, covariance: DataFrame, labels: Sequence, dimension: int
+    statistics: DataFrame,
+    covariance: DataFrame,
+    labels: Sequence,
+    dimension: int,
+    *,
+    maximum_classes: int = MAXIMUM_CLASSES,
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Means and pseudo-inverse covariances of every class and of all rows.
 
     Driver-side state of ``(classes + 1) * D * D`` doubles, bounded by the class
     list.  Eigenvalues at or below ``D * eps(float32) * max`` count as zero.
     """
-    if len(labels) > MAXIMUM_CLASSES:
-        raise ModelError("too many classes for a broadcast geometry")
+    if len(labels) > maximum_classes:
+        raise ModelError(f"{len(labels)} classes given, at most {maximum_classes} are allowed")
     wanted = [str(v) for v in labels] + [GLOBAL_LABEL]
     means = {
         str(r["label"]): np.asarray(r["mean"], dtype=np.float64)
         for r in statistics.where(F.col("label").cast("string").isin(*wanted)).collect()
     }
-    matrices = {name: np.zeros((dimension, dimension)) for name in wanted}
-    counts: dict[str, int] = {}
-    for r in covariance.where(F.col("label").isin(*wanted)).collect():
-        matrices[r["label"]][r["i"], r["j"]] = r["covariance"]
+    # One row per class: its cells in order as one array.
+    packed = (
+        covariance.where(F.col("label").isin(*wanted))
+        .groupBy("label")
+        .agg(
+            F.max("n").alias("n"),
+            F.sort_array(F.collect_list(F.struct("i", "j", "covariance"))).alias("cells"),
+        )
+        .select("label", "n", F.col("cells.covariance").alias("cells"))
+    )
+    matrices, counts = {}, {}
+    for r in packed.toLocalIterator():
+        matrices[r["label"]] = np.asarray(r["cells"]).reshape(dimension, dimension)
         counts[r["label"]] = r["n"]
     geometry = {}
     for name in wanted:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -262,11 +263,12 @@ def search_split(
     groups: DataFrame,
     *,
     seeds: int = 64,
-    rounds: int = 2,
+    rounds: int | None = None,
     minimum_category_windows: int = MINIMUM_CATEGORY_WINDOWS,
 ) -> DataFrame:
     """Best covered assignment over seeds, improved by single-capture moves.
 
+    Moves go on until none lowers the objective; ``rounds`` stops sooner.
     Deterministic for the groups and counts given.  It reports the objective it
     reached and never claims the optimum; :class:`SplitError` when no seed gives
     full coverage.  A move is graded from the incumbent's cell totals, so a
@@ -283,24 +285,105 @@ def search_split(
     if best is None:
         raise SplitError(f"no candidate of {seeds} seeds meets the coverage constraints")
     current = candidate_splits(groups, seeds=1, first_seed=best).drop("seed")
-    for _ in range(rounds):
-        move = _best_move(current, minimum_category_windows)
-        if move is None:
+    for done in itertools.count():
+        moved = {} if done == rounds else _improving_moves(current, minimum_category_windows)
+        if not moved:
             break
-        current = current.withColumn(
-            "partition",
-            F.when(F.col("capture_id") == move["capture_id"], F.lit(move["target"])).otherwise(
-                F.col("partition")
-            ),
-        )
+        if done % 8 == 7:
+            current = cut_lineage(current)
+        target = F.element_at(_texts(moved), F.col("capture_id"))
+        current = current.withColumn("partition", F.coalesce(target, F.col("partition")))
     return current
 
 
-def _best_move(current: DataFrame, minimum_category_windows: int):
-    """The single move that lowers the objective most while keeping coverage."""
+def _texts(found: Mapping[str, str]) -> Column:
+    return F.create_map(*[F.lit(v) for pair in found.items() for v in pair])
+
+
+class _Holdings:
+    """Captures and windows of each label group and partition."""
+
+    def __init__(self, cells: list):
+        self.held = {(r["kind"], r["value"], r["partition"]): [r["captures"], r["windows"]] for r in cells}
+        self.whole: dict[tuple[str, str], list[int]] = {}
+        for (kind, value, _), amounts in self.held.items():
+            total = self.whole.setdefault((kind, value), [0, 0])
+            total[0] += amounts[0]
+            total[1] += amounts[1]
+
+    @staticmethod
+    def _values(move) -> dict[str, str]:
+        return {
+            "all": "all",
+            "category": move["category"],
+            "vpn_status": move["vpn_status"],
+            "application": move["application"],
+            "category_vpn": f"{move['category']}/{move['vpn_status']}",
+        }
+
+    def at(self, kind: str, value: str, partition: str) -> list[int]:
+        return self.held.get((kind, value, partition), [0, 0])
+
+    def gain(self, move) -> float:
+        """Change of the objective by a move."""
+        values, change = self._values(move), 0.0
+        for (kind, name), importance in _IMPORTANCE.items():
+            measure = 0 if name == "captures" else 1
+            size = 1 if measure == 0 else move["windows"]
+            total = self.whole[kind, values[kind]][measure]
+            for partition, sign in ((move["partition"], -1), (move["target"], 1)):
+                held = self.at(kind, values[kind], partition)[measure]
+                wanted = total * SPLIT_FRACTIONS[partition]
+                moved = abs(held + sign * size - wanted) - abs(held - wanted)
+                change += importance / total * moved
+        return change
+
+    def covered_after(self, move, minimum_category_windows: int) -> bool:
+        """Whether the move leaves every required cell filled."""
+        values, source = self._values(move), move["partition"]
+        category = self.at("category", values["category"], source)
+        needed = ["category", "vpn_status"]
+        needed += ["application"] if source in ("train", "test") else []
+        needed += ["category_vpn"] if source == "train" else []
+        return category[1] - move["windows"] >= minimum_category_windows and all(
+            self.at(kind, values[kind], source)[0] > 1 for kind in needed
+        )
+
+    def apply(self, move) -> None:
+        for kind, value in self._values(move).items():
+            for partition, sign in ((move["partition"], -1), (move["target"], 1)):
+                held = self.held.setdefault((kind, value, partition), [0, 0])
+                held[0] += sign
+                held[1] += sign * move["windows"]
+
+
+def _improving_moves(
+    current: DataFrame, minimum_category_windows: int, most: int = 256
+) -> dict[str, str]:
+    """Moves that lower the objective one after another, keeping coverage.
+
+    The best ``most`` single moves come from the table; each is graded again
+    after those before it, so only moves that still help are taken.  The result
+    is empty only when no single move helps.
+    """
+    cells = _cells(current, []).collect()  # label groups x partitions only
+    holdings = _Holdings(cells)
+    moved: dict[str, str] = {}
+    for move in _best_moves(current, cells, minimum_category_windows, most):
+        if move["capture_id"] in moved or holdings.gain(move) >= -1e-9:
+            continue
+        if holdings.covered_after(move, minimum_category_windows):
+            holdings.apply(move)
+            moved[move["capture_id"]] = move["target"]
+    return moved
+
+
+def _best_moves(
+    current: DataFrame, cells: list, minimum_category_windows: int, most: int
+) -> list:
+    """The single moves that lower the objective most while keeping coverage."""
     totals = {
-        (r["kind"], r["value"], r["partition"]): (r["captures"], r["windows"])
-        for r in _cells(current, []).collect()  # label groups x partitions only
+        (r["kind"], r["value"], r["partition"]): (r["captures"], r["windows"]) for r in cells
     }
     group_total: dict[tuple[str, str], list[int]] = {}
     for (kind, value, _), (captures, windows) in totals.items():
@@ -362,18 +445,14 @@ def _best_move(current: DataFrame, minimum_category_windows: int):
             )
         )
     )
-    best = (
+    return (
         moves.where(keeps)
         .withColumn("gain", gain)
         .where(F.col("gain") < -1e-9)
-        .agg(
-            F.min_by(
-                F.struct("capture_id", "target"), F.struct("gain", "capture_id", "target")
-            ).alias("move")
-        )
-        .first()["move"]
+        .orderBy("gain", "capture_id", "target")
+        .limit(most)
+        .collect()
     )
-    return best
 
 
 def join_partitions(rows: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -95,12 +95,7 @@ def raw_connection_violations(connections: DataFrame) -> DataFrame:
     return broken_rules(labeled, key, rules).unionByName(duplicates)
 
 
-def packet_violations(packets: DataFrame, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Packets: field ranges, positive sizes, finite nondecreasing timestamps.
-
-    The timestamp is compared with the one before it in the capture; the
-    comparison runs in bounded chunks, so a hot capture spreads over tasks.
-    """
+def _packet_rules(packets: DataFrame, chunk_rows: int) -> tuple[DataFrame, dict[str, Column]]:
     at = F.col("timestamp_seconds")
     ordered = previous_value(
         packets,
@@ -119,14 +114,44 @@ def packet_violations(packets: DataFrame, *, chunk_rows: int = CHUNK_ROWS) -> Da
         "timestamp_not_finite": _not_finite(at),
         "timestamp_regression": at < F.col("_before"),
     }
+    return ordered, rules
+
+
+def packet_violations(packets: DataFrame, *, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Packets: field ranges, positive sizes, finite nondecreasing timestamps.
+
+    The timestamp is compared with the one before it in the capture; the
+    comparison runs in bounded chunks, so a hot capture spreads over tasks.
+    Packets without a capture or number are reported by a rule of their own.
+    """
+    placed = F.col("capture_id").isNotNull() & F.col("packet_number").isNotNull()
     key = F.concat_ws(":", F.col("capture_id"), F.col("packet_number").cast("string"))
-    return broken_rules(ordered, key, rules)
+    lost = broken_rules(packets.where(~placed), key, {"packet_key_missing": F.lit(True)})
+    ordered, rules = _packet_rules(packets.where(placed), chunk_rows)
+    return broken_rules(ordered, key, rules).unionByName(lost)
+
+
+def sound_packets(
+    packets: DataFrame, *, chunk_rows: int = CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Packets that break no rule, and the violations of the others.
+
+    Run it before windows and features: no bad packet is repaired, moved or
+    dropped without a violation row.
+    """
+    placed = packets.where(F.col("capture_id").isNotNull() & F.col("packet_number").isNotNull())
+    ordered, rules = _packet_rules(placed, chunk_rows)
+    broken = F.lit(False)
+    for condition in rules.values():
+        broken = broken | F.coalesce(condition, F.lit(False))
+    sound = ordered.where(~broken).select(*packets.columns)
+    return sound, packet_violations(packets, chunk_rows=chunk_rows)
 
 
 def feature_input_violations(
     packets: DataFrame, window_seconds: float, *, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Window packets: offsets inside the window and in order, sizes, directions."""
+    """Window packets: keys, offsets inside the window and in order, sizes, directions."""
     at = F.col("offset_seconds")
     ordered = previous_value(
         packets, WINDOW_KEY, "packet_number", "offset_seconds", "_before", chunk_rows=chunk_rows
@@ -140,6 +165,14 @@ def feature_input_violations(
     }
     key = F.concat_ws(":", F.col("capture_id"), F.col("flow_id"), F.col("window_index"))
     rows = broken_rules(ordered, key, rules, F.col("packet_number"))
+    unplaced = F.lit(False)
+    for name in (*WINDOW_KEY, "packet_number"):
+        unplaced = unplaced | F.col(name).isNull()
+    rows = rows.unionByName(
+        broken_rules(
+            packets.where(unplaced), key, {"window_key_missing": F.lit(True)}, F.col("packet_number")
+        )
+    )
     silent = (
         packets.groupBy(*WINDOW_KEY)
         .agg(F.sum("size").alias("bytes"))
@@ -154,24 +187,17 @@ def feature_input_violations(
 
 
 def window_violations(windows: DataFrame) -> DataFrame:
-    """Stored windows: array lengths agree and segments add up to packet_count."""
+    """Stored windows: array lengths agree with each other and with packet_count."""
     lengths = [F.size(n) for n in ("timestamps", "sizes", "directions")]
-    rows = broken_rules(
+    return broken_rules(
         windows,
         F.col("window_id"),
-        {"array_length": (lengths[0] != lengths[1]) | (lengths[0] != lengths[2])},
-    )
-    totals = (
-        windows.groupBy("window_id")
-        .agg(F.sum(F.size("timestamps")).alias("held"), F.max("packet_count").alias("stated"))
-        .where(F.col("held") != F.col("stated"))
-        .select(
-            F.lit("packet_count").alias("rule"),
-            F.col("window_id").alias("key"),
-            F.concat_ws("<>", F.col("held"), F.col("stated")).alias("detail"),
-        )
+        {
+            "array_length": (lengths[0] != lengths[1]) | (lengths[0] != lengths[2]),
+            "packet_count": lengths[0] != F.col("packet_count"),
+        },
+        F.concat_ws("<>", lengths[0], F.col("packet_count")),
     )
-    return rows.unionByName(totals)
 
 
 def feature_violations(features: DataFrame) -> DataFrame:

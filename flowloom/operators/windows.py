@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from math import isfinite
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels, flow_id, window_id
-from flowloom.functions.ordered import chunk_of, number_sorted
-from flowloom.functions.plan import bind, computed_once, never_null
-from flowloom.schemas import MINIMUM_PACKETS, SEGMENT_PACKETS, WINDOW_SECONDS, WINDOWS
+from flowloom.functions.ordered import number_rows, number_sorted
+from flowloom.functions.plan import bind, computed_once, with_keys
+from flowloom.schemas import MINIMUM_PACKETS, WINDOW_SECONDS, WINDOWS
 
 WINDOW_KEY = ["capture_id", "flow_id", "window_index"]
+WINDOW_LABELS = ("vpn_status", "application", "category")
+PACKET_ARRAYS = ("timestamps", "sizes", "directions")
+# Names of the threshold policies.
 RELEASE_COMPATIBLE = "release-compatible"
 PAPER_LITERAL = "paper-literal"
 
@@ -20,9 +23,9 @@ PAPER_LITERAL = "paper-literal"
 def check_window(window_seconds: float, minimum_packets: int = 1) -> None:
     """Reject window parameters no window can have."""
     if not isfinite(window_seconds) or window_seconds <= 0:
-        raise ValueError("window_seconds must be finite and greater than zero")
+        raise ValueError(f"a window lasts a positive number of seconds, not {window_seconds}")
     if minimum_packets < 1:
-        raise ValueError("minimum_packets must be at least one")
+        raise ValueError(f"a window holds one packet or more, not {minimum_packets}")
 
 
 def retained(packet_count: Column, minimum_packets: int, policy: str) -> Column:
@@ -65,7 +68,7 @@ def window_counts(
 ) -> DataFrame:
     """Retained windows with their packet counts and connection."""
     return (
-        packets.groupBy(*WINDOW_KEY)
+        with_keys(packets, *WINDOW_KEY).groupBy(*WINDOW_KEY)
         .agg(F.count(F.lit(1)).alias("packet_count"), F.first("connection").alias("connection"))
         .where(retained(F.col("packet_count"), minimum_packets, policy))
     )
@@ -81,61 +84,91 @@ def with_bounds(windows: DataFrame, window_seconds: float = WINDOW_SECONDS) -> D
     )
 
 
+def window_table(
+    windowed: DataFrame,
+    *,
+    window_seconds: float = WINDOW_SECONDS,
+    minimum_packets: int = MINIMUM_PACKETS,
+    policy: str = RELEASE_COMPATIBLE,
+    labeled: bool = True,
+) -> DataFrame:
+    """One row per retained window: identity, bounds, labels and packet count.
+
+    Packets are counted before they are shuffled, so windows of any size fit.
+    """
+    counted = window_counts(windowed, minimum_packets=minimum_packets, policy=policy)
+    found = with_bounds(counted, window_seconds)
+    if labeled:
+        found = capture_labels(found, "capture_id")
+    return found.select(
+        *[
+            name
+            for name in WINDOWS.names
+            if name not in PACKET_ARRAYS and (labeled or name not in WINDOW_LABELS)
+        ]
+    )
+
+
+def window_packet_rows(windowed: DataFrame, retained_windows: DataFrame) -> DataFrame:
+    """One row per packet of the retained windows, keyed by window and position.
+
+    The form for windows of unbounded size: no row or task holds a whole window.
+    """
+    numbered = number_rows(
+        with_keys(windowed, *WINDOW_KEY, "packet_number").select(
+            *WINDOW_KEY, "packet_number", "offset_seconds", "size", "direction"
+        ),
+        WINDOW_KEY,
+        "packet_number",
+        "_number",
+    )
+    return numbered.join(retained_windows.select("window_id", *WINDOW_KEY), WINDOW_KEY).select(
+        "window_id",
+        (F.col("_number") - 1).alias("position"),
+        "packet_number",
+        "offset_seconds",
+        "size",
+        "direction",
+    )
+
+
 def observation_windows(
     assigned: DataFrame,
     *,
     window_seconds: float = WINDOW_SECONDS,
     minimum_packets: int = MINIMUM_PACKETS,
     policy: str = RELEASE_COMPATIBLE,
-    segment_packets: int = SEGMENT_PACKETS,
     labeled: bool = True,
 ) -> DataFrame:
-    """Retained windows with packet arrays, in rows of bounded size.
+    """Retained windows, one row each, with all their packets as arrays.
 
-    Packets are collected per window and packet-number range; an ordinary
-    window is one row with segment 0.
+    A window's arrays are built in one task; :func:`window_table` with
+    :func:`window_packet_rows` is the form without that limit.
     """
     check_window(window_seconds, minimum_packets)
-    packets = never_null(
-        window_packets(assigned, window_seconds).withColumn(
-            "_chunk", chunk_of("packet_number", segment_packets)
-        ),
-        capture_id="",
-        flow_id="",
-        window_index=0,
-        _chunk=0,
-    )
     rows = F.sort_array(
         F.collect_list(F.struct("packet_number", "offset_seconds", "size", "direction"))
     )
-    segments = packets.groupBy(*WINDOW_KEY, "_chunk").agg(rows.alias("rows"))
-    # Counted from the collected segments: the packets are shuffled once.
-    pieces = segments.select(*WINDOW_KEY, "_chunk", F.size("rows").alias("packets"))
-    whole = Window.partitionBy(*WINDOW_KEY)
-    kept = (
-        pieces.select(
-            *WINDOW_KEY,
-            "_chunk",
-            F.sum("packets").over(whole).alias("packet_count"),
-            (F.row_number().over(whole.orderBy("_chunk")) - 1).alias("segment"),
-        )
+    held = (
+        with_keys(window_packets(assigned, window_seconds), *WINDOW_KEY)
+        .groupBy(*WINDOW_KEY)
+        .agg(rows.alias("rows"))
+        .withColumn("packet_count", F.size("rows").cast("bigint"))
         .where(retained(F.col("packet_count"), minimum_packets, policy))
     )
-    found = with_bounds(segments.join(kept, [*WINDOW_KEY, "_chunk"]), window_seconds)
+    found = with_bounds(held, window_seconds)
     if labeled:
         found = capture_labels(found, "capture_id")
     columns = {
         "timestamps": F.col("rows.offset_seconds"),
         "sizes": F.col("rows.size"),
         "directions": F.col("rows.direction"),
-        "segment": F.col("segment").cast("bigint"),
     }
-    labels = ("vpn_status", "application", "category")
     return found.select(
         *[
             columns.get(name, F.col(name)).alias(name)
             for name in WINDOWS.names
-            if labeled or name not in labels
+            if labeled or name not in WINDOW_LABELS
         ]
     )
 
@@ -146,7 +179,6 @@ def connection_windows(
     window_seconds: float = WINDOW_SECONDS,
     minimum_packets: int = MINIMUM_PACKETS,
     policy: str = RELEASE_COMPATIBLE,
-    segment_packets: int = SEGMENT_PACKETS,
 ) -> DataFrame:
     """Retained windows of a nested connection table, without shuffling packets.
 
@@ -196,8 +228,6 @@ def connection_windows(
         ),
     )
     kept = F.filter(pieces, lambda w: retained(F.size(w["rows"]), minimum_packets, policy))
-    # One output row per segment of a window, again inside the row.
-    segment_starts = F.sequence(F.lit(0), F.size("w.rows") - 1, F.lit(segment_packets))
     found = (
         labeled.join(origins, "capture_id")
         .withColumn("flow_id", flow_id("capture_id", "connection"))
@@ -212,15 +242,13 @@ def connection_windows(
         )
         .withColumn("window_index", F.col("w.window_index"))
         .withColumn("packet_count", F.size("w.rows").cast("bigint"))
-        .select("*", F.posexplode(segment_starts).alias("segment", "_from"))
-        .withColumn("_rows", F.slice("w.rows", F.col("_from") + 1, F.lit(segment_packets)))
+        .withColumn("_rows", F.col("w.rows"))
     )
     start = F.col("window_index") * width
     columns = {
         "timestamps": F.transform("_rows", lambda p: p["at"] - start),
         "sizes": F.col("_rows.size"),
         "directions": F.col("_rows.direction"),
-        "segment": F.col("segment").cast("bigint"),
     }
     bounded = with_bounds(found, window_seconds)
     return bounded.select(*[columns.get(n, F.col(n)).alias(n) for n in WINDOWS.names])
@@ -229,31 +257,25 @@ def connection_windows(
 def packets_of_windows(windows: DataFrame) -> DataFrame:
     """Explode stored windows back into packets, order kept.
 
-    ``packet_number`` restarts in each window; the segment number leads it.
+    ``packet_number`` is the position in the window.
     """
     packed = F.arrays_zip("timestamps", "sizes", "directions")
     return windows.select(
         "capture_id",
         "flow_id",
         "window_index",
-        "segment",
         F.posexplode(packed).alias("position", "p"),
     ).select(
         "capture_id",
         "flow_id",
         "window_index",
-        (F.col("segment") * F.lit(SEGMENT_PACKETS) + F.col("position")).alias("packet_number"),
+        F.col("position").cast("bigint").alias("packet_number"),
         F.col("p.timestamps").alias("offset_seconds"),
         F.col("p.sizes").alias("size"),
         F.col("p.directions").alias("direction"),
     )
 
 
-def offline_order(windows: DataFrame) -> DataFrame:
-    """Windows by capture, connection tuple, then window index."""
-    return windows.orderBy("capture_id", "connection", "window_index")
-
-
 def runtime_order(windows: DataFrame, name: str = "emit_position") -> DataFrame:
     """Position at which a live run emits each window.
 

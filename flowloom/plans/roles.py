@@ -215,7 +215,7 @@ def customer_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register("split_assign")
 def split_assign_query(spark: SparkSession, folder: str) -> DataFrame:
-    return splits.search_split(customer_groups(spark, folder), seeds=16, rounds=2)
+    return splits.search_split(customer_groups(spark, folder), seeds=16)
 
 
 @_register(

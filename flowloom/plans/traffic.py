@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels, reverse_connection, window_id
 from flowloom.functions.ordered import number_sorted
-from flowloom.operators import flows, history, summary, validate, windows
+from flowloom.operators import features, flows, history, summary, validate, windows
 from flowloom.plans.settings import (
     ASSIGNED_SQL,
     CAPTURE_SQL,
+    ACTIVITY,
+    BIN,
     MAX_FLOWS,
     MINIMUM,
     PACKETS_SQL,
@@ -25,7 +27,7 @@ from flowloom.plans.settings import (
     table,
     windowed,
 )
-from flowloom.schemas import APPLICATION_CATEGORY, APPLICATIONS, SEGMENT_PACKETS
+from flowloom.schemas import APPLICATION_CATEGORY, APPLICATIONS
 from flowloom.sources.frames import decode_frames
 from flowloom.sources.messages import dead_letters, packet_message, packet_messages
 from flowloom.sources.packets import capture_name, event_packets
@@ -120,9 +122,7 @@ def packet_number_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@_register(
-    "packet_violations",
-    f"""WITH {PACKETS_SQL},
+_BROKEN_SQL = f"""{PACKETS_SQL},
 broken AS (
   SELECT capture_id, packet_number,
     CASE WHEN packet_number % 101 = 7 THEN sec - 86400.0 ELSE sec END AS sec,
@@ -141,16 +141,26 @@ fired AS (
     CASE WHEN proto NOT BETWEEN 0 AND 255 THEN 'protocol_range' END,
     CASE WHEN size <= 0 THEN 'size_not_positive' END,
     CASE WHEN sec < before THEN 'timestamp_regression' END], lambda r: r IS NOT NULL)) AS rule
-  FROM ordered)
+  FROM ordered)"""
+
+
+@_register(
+    "packet_violations",
+    f"""WITH {_BROKEN_SQL}
 SELECT rule, capture_id || ':' || packet_number AS key, '' AS detail FROM fired""",
 )
 def packet_violation_query(spark: SparkSession, folder: str) -> DataFrame:
+    return validate.packet_violations(_broken(spark, folder))
+
+
+def _broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Event packets with faults of every kind, at fixed places."""
     n = F.col("packet_number")
 
     def when(divisor: int, rest: int, value: Column, column: str) -> Column:
         return F.when(F.pmod(n, F.lit(divisor)) == rest, value).otherwise(F.col(column))
 
-    broken = packets(spark, folder).withColumns(
+    return packets(spark, folder).withColumns(
         {
             "timestamp_seconds": when(
                 101, 7, F.col("timestamp_seconds") - 86_400.0, "timestamp_seconds"
@@ -161,7 +171,55 @@ def packet_violation_query(spark: SparkSession, folder: str) -> DataFrame:
             "source_address": when(79, 1, F.lit(None).cast("string"), "source_address"),
         }
     )
-    return validate.packet_violations(broken)
+
+
+@_register(
+    "invalid_packets",
+    f"""WITH {_BROKEN_SQL.replace("packets AS (", "all_packets AS (").replace("FROM packets)", "FROM all_packets)")},
+packets AS (
+  SELECT b.capture_id, b.packet_number, b.sec, b.src, b.sport, b.dst, b.dport, b.proto, b.size
+  FROM broken b ANTI JOIN fired f
+    ON b.capture_id = f.capture_id AND b.packet_number = f.packet_number),
+{WINDOWED_SQL[WINDOWED_SQL.index("oriented AS"):]},
+held AS (
+  SELECT capture_id, flow_id, window_index, count(*) AS n FROM windowed GROUP BY 1, 2, 3
+  HAVING count(*) > {MINIMUM})
+SELECT 'violation' AS kind, rule AS name, count(*) AS n FROM fired GROUP BY 2
+UNION ALL SELECT 'windows', name, (SELECT count(*) FROM held)
+  FROM (VALUES ('table'), ('arrays'), ('features')) t(name)
+UNION ALL SELECT 'packets', name, (SELECT CAST(sum(n) AS BIGINT) FROM held)
+  FROM (VALUES ('table'), ('arrays'), ('features')) t(name)""",
+)
+def invalid_packet_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Bad packets give violations; the windows of the rest agree in every form."""
+    sound, violations = validate.sound_packets(_broken(spark, folder))
+    joined = flows.assign_flows(sound)
+    placed = windows.window_packets(joined, WINDOW)
+    forms = {
+        "table": windows.window_table(placed, window_seconds=WINDOW, minimum_packets=MINIMUM),
+        "arrays": windows.observation_windows(
+            joined, window_seconds=WINDOW, minimum_packets=MINIMUM
+        ),
+        "features": features.feature_vectors(
+            placed,
+            window_seconds=WINDOW,
+            bin_seconds=BIN,
+            activity_timeout=ACTIVITY,
+            minimum_packets=MINIMUM,
+        ),
+    }
+    found = violations.groupBy(F.col("rule").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    found = found.select(F.lit("violation").alias("kind"), "name", "n")
+    for name, form in forms.items():
+        sums = form.agg(
+            F.count(F.lit(1)).alias("windows"),
+            F.coalesce(F.sum("packet_count"), F.lit(0)).alias("packets"),
+        )
+        for kind in ("windows", "packets"):
+            found = found.unionByName(
+                sums.select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(kind).alias("n"))
+            )
+    return found
 
 
 @_register(
@@ -208,18 +266,12 @@ def flow_assign_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(
     "flow_table",
-    f"""WITH {ASSIGNED_SQL},
-parts AS (
-SELECT capture_id, flow_id, packet_number // {SEGMENT_PACKETS} AS chunk,
-  min(packet_number) AS first_packet, count(*) AS n,
+    f"""WITH {ASSIGNED_SQL}
+SELECT capture_id, flow_id, min(packet_number) AS flow_order, count(*) AS packet_count,
   string_agg(CAST(floor(sec * 1000) AS BIGINT)::VARCHAR, ',' ORDER BY packet_number) AS timestamps,
   string_agg(size::VARCHAR, ',' ORDER BY packet_number) AS sizes,
   string_agg(direction::VARCHAR, ',' ORDER BY packet_number) AS directions
-FROM assigned GROUP BY 1, 2, 3)
-SELECT capture_id, flow_id, min(first_packet) OVER f AS flow_order,
-  CAST(sum(n) OVER f AS BIGINT) AS packet_count, row_number() OVER (PARTITION BY capture_id,
-    flow_id ORDER BY chunk) - 1 AS segment, timestamps, sizes, directions
-FROM parts WINDOW f AS (PARTITION BY capture_id, flow_id)""",
+FROM assigned GROUP BY 1, 2""",
 )
 def flow_table_query(spark: SparkSession, folder: str) -> DataFrame:
     return flows.flow_table(assigned(spark, folder)).select(
@@ -227,7 +279,6 @@ def flow_table_query(spark: SparkSession, folder: str) -> DataFrame:
         "flow_id",
         "flow_order",
         "packet_count",
-        "segment",
         _text(F.transform("timestamps", lambda t: F.floor(t * 1000))).alias("timestamps"),
         _text(F.col("sizes")).alias("sizes"),
         _text(F.col("directions")).alias("directions"),
@@ -331,18 +382,12 @@ def window_index_query(spark: SparkSession, folder: str) -> DataFrame:
 
 def _windows_sql(operator: str, minimum: int = MINIMUM) -> str:
     return f"""WITH {WINDOWED_SQL},
-held AS (
-  SELECT capture_id, flow_id, window_index, packet_number // {SEGMENT_PACKETS} AS chunk,
-    count(*) AS n,
+sized AS (
+  SELECT capture_id, flow_id, window_index, count(*) AS packet_count,
     string_agg(CAST(floor(off * 1000) AS BIGINT)::VARCHAR, ',' ORDER BY packet_number) AS offsets,
     string_agg(size::VARCHAR, ',' ORDER BY packet_number) AS sizes,
     string_agg(direction::VARCHAR, ',' ORDER BY packet_number) AS directions
-  FROM windowed GROUP BY 1, 2, 3, 4),
-sized AS (
-  SELECT capture_id, flow_id, window_index, offsets, sizes, directions,
-    CAST(sum(n) OVER w AS BIGINT) AS packet_count, row_number() OVER (PARTITION BY capture_id,
-      flow_id, window_index ORDER BY chunk) - 1 AS segment
-  FROM held WINDOW w AS (PARTITION BY capture_id, flow_id, window_index))
+  FROM windowed GROUP BY 1, 2, 3)
 SELECT capture_id || ':' || flow_id || ':' || window_index AS window_id, sized.*,
   window_index * {WINDOW}::DOUBLE AS start_offset_seconds,
   (window_index + 1) * {WINDOW}::DOUBLE AS end_offset_seconds,
@@ -375,6 +420,23 @@ def windows_literal_query(spark: SparkSession, folder: str) -> DataFrame:
     return _windows(spark, folder, windows.PAPER_LITERAL)
 
 
+@_register(
+    "window_packets",
+    f"""WITH {WINDOWED_SQL},
+held AS (
+  SELECT *, count(*) OVER w AS n, row_number() OVER (w ORDER BY packet_number) - 1 AS position
+  FROM windowed WINDOW w AS (PARTITION BY capture_id, flow_id, window_index))
+SELECT capture_id || ':' || flow_id || ':' || window_index AS window_id, position,
+  packet_number, off AS offset_seconds, size, direction FROM held WHERE n > {MINIMUM}""",
+)
+def window_packets_query(spark: SparkSession, folder: str) -> DataFrame:
+    placed = windowed(spark, folder)
+    kept = windows.window_table(placed, window_seconds=WINDOW, minimum_packets=MINIMUM)
+    return windows.window_packet_rows(placed, kept).withColumn(
+        "direction", F.col("direction").cast("int")
+    )
+
+
 @_register(
     "window_emit_order",
     f"""WITH {WINDOWED_SQL},

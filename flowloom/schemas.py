@@ -60,7 +60,7 @@ LIVE_STALE_SECONDS = 120.0
 LIVE_MAX_FLOWS = 4096
 EVENT_RETENTION = 10_000
 
-# Versions written beside every published table.
+# Versions written beside every published table.
 WINDOW_TABLE_VERSION = "window-table-1"
 FEATURE_TABLE_VERSION = "feature-table-1"
 SPLIT_MANIFEST_VERSION = "capture-split-manifest-1"
@@ -70,16 +70,31 @@ SENSOR_MESSAGE_VERSION = "sensor-message-1"
 # Rows of one ordered group that a single task may hold.  Ordered operators cut
 # every group into chunks of at most this many consecutive packet numbers.
 CHUNK_ROWS = 4_000_000
-# Packets in one nested array row.
-SEGMENT_PACKETS = 65_536
 
-IAT_COLUMNS = tuple(
-    f"{scope}_iat_{stat}"
-    for scope in ("out", "in", "flow")
-    for stat in ("min", "max", "mean", "std_dev")
+# Names of the 129 features, in column order.
+IAT_COLUMNS = (
+    "out_iat_min",
+    "out_iat_max",
+    "out_iat_mean",
+    "out_iat_std_dev",
+    "in_iat_min",
+    "in_iat_max",
+    "in_iat_mean",
+    "in_iat_std_dev",
+    "flow_iat_min",
+    "flow_iat_max",
+    "flow_iat_mean",
+    "flow_iat_std_dev",
 )
-ACTIVE_IDLE_COLUMNS = tuple(
-    f"{scope}_{stat}" for scope in ("active", "idle") for stat in ("min", "max", "mean", "std_dev")
+ACTIVE_IDLE_COLUMNS = (
+    "active_min",
+    "active_max",
+    "active_mean",
+    "active_std_dev",
+    "idle_min",
+    "idle_max",
+    "idle_mean",
+    "idle_std_dev",
 )
 AGGREGATE_COLUMNS = (
     "log_bytes_per_sec",
@@ -137,8 +152,7 @@ RAW_CONNECTIONS = T.StructType(
     ]
 )
 
-# One row per (window, segment); a window whose packets fit one segment has one
-# row with segment 0.
+# One row per window.
 WINDOWS = T.StructType(
     [
         T.StructField("window_id", T.StringType(), False),
@@ -151,7 +165,6 @@ WINDOWS = T.StructType(
         T.StructField("application", T.StringType(), False),
         T.StructField("category", T.StringType(), False),
         T.StructField("packet_count", T.LongType(), False),
-        T.StructField("segment", T.LongType(), False),
         T.StructField("timestamps", T.ArrayType(T.DoubleType(), False), False),
         T.StructField("sizes", T.ArrayType(T.LongType(), False), False),
         T.StructField("directions", T.ArrayType(T.ByteType(), False), False),

@@ -106,7 +106,7 @@ def export_windows(
     require_schema(windows, WINDOWS, "windows")
     _publish(windows, path, WINDOWS)
     # Everything below reads the published table back, not the source again.
-    stored = spark.read.parquet(path).where(F.col("segment") == 0)
+    stored = spark.read.parquet(path)
     omitted = windows_per_capture(captures, stored).where("omitted").select("capture_id")
     counted = omitted.agg(
         F.count(F.lit(1)).alias("omitted_capture_count"), F.lit(1).alias("_one")
@@ -226,22 +226,30 @@ def write_report(report: DataFrame, path: str) -> None:
 def append_events(events: DataFrame, table: str, batch_id: int, order: str) -> None:
     """Append one batch of events, numbering each run on from the batches before.
 
-    The batch is stored under its own id and replaces itself when delivered
-    again; numbers continue from the batches with smaller ids only, so a second
-    delivery gives the same sequences.
+    The last number of every run is kept in a table of its own beside the events
+    (``<table>-last``), one part per batch, so no stored event is read again.  A
+    batch delivered twice replaces its own parts and gives the same sequences.
     """
     spark = events.sparkSession
+    states = f"{table.rstrip('/')}-last"
     numbered = number_rows(events, ["run_id"], order, "_nth")
-    if batch_id > 0 and _exists(spark, table):
-        stored = spark.read.parquet(table).where(F.col("batch_id") < batch_id)
-        last = stored.groupBy("run_id").agg(F.max("sequence").alias("_last"))
-        numbered = numbered.join(last, "run_id", "left")
-    else:
-        numbered = numbered.withColumn("_last", F.lit(0))
+    last = spark.createDataFrame([], "run_id string, _last bigint")
+    if batch_id > 0 and _exists(spark, states):
+        earlier = spark.read.parquet(states).where(F.col("batch_id") < batch_id)
+        newest = earlier.agg(F.max("batch_id")).first()[0]
+        if newest is not None:
+            last = earlier.where(F.col("batch_id") == newest).select("run_id", "_last")
+    part = f"{table.rstrip('/')}/batch_id={batch_id}"
     sequence = F.coalesce(F.col("_last"), F.lit(0)).cast("bigint") + F.col("_nth")
-    numbered.withColumn("sequence", sequence).drop("_nth", "_last").write.mode(
-        "overwrite"
-    ).parquet(f"{table.rstrip('/')}/batch_id={batch_id}")
+    numbered.join(last, "run_id", "left").withColumn("sequence", sequence).drop(
+        "_nth", "_last"
+    ).write.mode("overwrite").parquet(part)
+    reached = (
+        spark.read.parquet(part).groupBy("run_id").agg(F.max("sequence").alias("_now"))
+    )
+    last.join(reached, "run_id", "full").select(
+        "run_id", F.coalesce("_now", "_last").alias("_last")
+    ).write.mode("overwrite").parquet(f"{states}/batch_id={batch_id}")
 
 
 def require_sequences(events: DataFrame) -> None:

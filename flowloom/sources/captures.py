@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.labels import capture_labels
+from flowloom.operators.validate import packet_violations
+from flowloom.session import cut_lineage
 from flowloom.sources.frames import SIZE_RELEASE_COMPATIBLE, decode_ipv4
 
 # File magic numbers, header sizes and the raw-IP link type.
@@ -28,8 +30,11 @@ _MAGIC = {
 _FILE_HEADER, _RECORD_HEADER = 24, 16
 RAW_IP_LINK = 101
 
-# Bytes of one capture file that a single task reads.
+# Bytes of one capture file that are decoded together, bytes fetched at a time
+# while record headers are walked, and bytes of ranges for one task.
 RANGE_BYTES = 64 * 1024 * 1024
+PIECE_BYTES = 4 * 1024 * 1024
+TASK_BYTES = 256 * 1024 * 1024
 
 _INDEX = (
     "path string, start bigint, stop bigint, first_packet bigint, byte_order string, "
@@ -48,6 +53,20 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def _pieces(stream):
+    """A function that gives bytes at a place, fetched in large pieces."""
+    base, held = 0, b""
+
+    def at(place: int, size: int) -> bytes:
+        nonlocal base, held
+        if place < base or place + size > base + len(held):
+            stream.seek(place)
+            base, held = place, stream.read(max(size, PIECE_BYTES))
+        return held[place - base : place - base + size]
+
+    return at
+
+
 def _index_file(path: str, range_bytes: int):
     """Byte ranges of one file, or a single row naming its fault."""
 
@@ -56,7 +75,8 @@ def _index_file(path: str, range_bytes: int):
 
     with open_file(path) as stream:
         length = stream.size()
-        header = stream.read(_FILE_HEADER)
+        piece = _pieces(stream)
+        header = piece(0, _FILE_HEADER)
         if len(header) < _FILE_HEADER or header[:4] not in _MAGIC:
             yield fault("file_header")
             return
@@ -67,8 +87,7 @@ def _index_file(path: str, range_bytes: int):
         start = at = _FILE_HEADER
         first = number = 1
         while at < length:
-            stream.seek(at)
-            record = stream.read(_RECORD_HEADER)
+            record = piece(at, _RECORD_HEADER)
             size = struct.unpack(order + "I", record[8:12])[0] if len(record) == 16 else 0
             if len(record) < _RECORD_HEADER or at + _RECORD_HEADER + size > length:
                 yield fault("truncated_record", at, number)
@@ -133,17 +152,19 @@ def capture_records(index: DataFrame, *, records_per_batch: int = 8192) -> DataF
                 rows: list[tuple] = []
                 with open_file(row["path"]) as stream:
                     stream.seek(row["start"])
-                    number = row["first_packet"]
-                    while stream.tell() < row["stop"]:
-                        seconds, part, size, _ = struct.unpack(
-                            row["byte_order"] + "IIII", stream.read(_RECORD_HEADER)
-                        )
+                    held = stream.read(row["stop"] - row["start"])
+                    header = struct.Struct(row["byte_order"] + "IIII")
+                    number, place = row["first_packet"], 0
+                    while place < len(held):
+                        seconds, part, size, _ = header.unpack_from(held, place)
+                        place += _RECORD_HEADER
                         if row["ticks"] == 1_000_000:
                             at = seconds + part / 1e6
                         else:
                             # one correctly rounded division of the whole tick count
                             at = (seconds * row["ticks"] + part) / row["ticks"]
-                        rows.append((row["path"], number, at, stream.read(size)))
+                        rows.append((row["path"], number, at, held[place : place + size]))
+                        place += size
                         number += 1
                         if len(rows) == records_per_batch:
                             yield _batch(rows)
@@ -153,8 +174,9 @@ def capture_records(index: DataFrame, *, records_per_batch: int = 8192) -> DataF
 
     spark = index.sparkSession
     ranges = index.where(F.col("fault").isNull())
-    # One range per task: ranges are few and large, so spread them evenly.
-    parts = max(spark.sparkContext.defaultParallelism, 1)
+    # Tasks follow the bytes to be read, with some work for every core.
+    total = ranges.agg(F.sum(F.col("stop") - F.col("start"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     return ranges.repartition(parts, "path", "start").mapInArrow(read, _RECORDS)
 
 
@@ -181,14 +203,16 @@ def read_captures(
     """Packets of all capture files under a path, and the faults found.
 
     Packets carry ``capture_id`` (file name) and decode ``reason``.  Faults are
-    ``rule, key, detail`` rows of files and records that cannot be read.
+    ``rule, key, detail`` rows of files and records that cannot be read, of
+    packets whose time goes back, and of file names that occur in two folders.
+    The files are walked and decoded once; what follows reads the stored packets.
     """
-    index = index_captures(spark, path, range_bytes=range_bytes)
+    index = cut_lineage(index_captures(spark, path, range_bytes=range_bytes))
     decoded = decode_ipv4(capture_records(index), size_policy=size_policy)
     named = capture_labels(decoded, "path").drop(
         "label_fault", "vpn_status", "application", "category"
     )
-    packets = named.select(
+    packets = cut_lineage(named.select(
         "capture_id",
         "packet_number",
         "timestamp_seconds",
@@ -199,6 +223,22 @@ def read_captures(
         "protocol",
         "size",
         "reason",
+    ))
+    name = F.element_at(F.split("path", "/"), -1)
+    twice = (
+        index.select("path")
+        .distinct()
+        .groupBy(name.alias("key"))
+        .agg(F.count(F.lit(1)).alias("files"))
+        .where(F.col("files") > 1)
+        .select(
+            F.lit("capture_name_duplicate").alias("rule"),
+            "key",
+            F.concat(F.lit("files "), F.col("files")).alias("detail"),
+        )
+    )
+    order = packet_violations(valid_packets(packets)).where(
+        F.col("rule").isin("timestamp_regression", "timestamp_not_finite")
     )
     faults = (
         index.where(F.col("fault").isNotNull())
@@ -214,6 +254,8 @@ def read_captures(
                 F.concat(F.lit("packet "), F.col("packet_number")).alias("detail"),
             )
         )
+        .unionByName(order.select("rule", "key", "detail"))
+        .unionByName(twice)
     )
     return packets, faults
 

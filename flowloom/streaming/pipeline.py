@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from flowloom.operators.flows import with_flow_key
@@ -79,14 +79,20 @@ def _merge(parts: pd.DataFrame) -> pd.DataFrame:
 
 
 def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held: pd.DataFrame | None = None
+    """Merge the rows of many batches at once; what is held stays bounded."""
+    waiting: list[pd.DataFrame] = []
+    rows = 0
     for frame in frames:
-        held = _merge(frame if held is None else pd.concat([held, frame], ignore_index=True))
-        if len(held) >= _HELD_ROWS:
-            yield held
-            held = None
-    if held is not None:
-        yield held
+        waiting.append(frame)
+        rows += len(frame)
+        if rows >= 4 * _HELD_ROWS:
+            merged = _merge(pd.concat(waiting, ignore_index=True))
+            waiting, rows = [merged], len(merged)
+            if rows >= _HELD_ROWS:
+                yield merged
+                waiting, rows = [], 0
+    if waiting:
+        yield _merge(pd.concat(waiting, ignore_index=True))
 
 
 def combine_packets(packets: DataFrame, window_seconds: float) -> DataFrame:
@@ -364,17 +370,59 @@ def event_appender(table: str, order: str) -> EventHandler:
     return handle
 
 
-def progress_log(query: StreamingQuery) -> DataFrame:
-    """Progress of a finished query in the layout of ``run_summary``."""
-    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.active()
-    rows = []
-    for p in query.recentProgress:
+class ProgressRecorder(StreamingQueryListener):
+    """Keeps a small row for every trigger of the queries that run inside it.
+
+    A query's own ``recentProgress`` forgets all but its last triggers.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._rows = spark, []
+
+    def __enter__(self) -> ProgressRecorder:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self._settle()
+        self.spark.streams.removeListener(self)
+
+    def _settle(self) -> None:
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+
+    def onQueryStarted(self, event) -> None:
+        """Nothing to keep."""
+
+    def onQueryIdle(self, event) -> None:
+        """Nothing to keep."""
+
+    def onQueryTerminated(self, event) -> None:
+        """Nothing to keep."""
+
+    def onQueryProgress(self, event) -> None:
+        """Keep the trigger's figures."""
+        p = event.progress
         took = p.durationMs.get("triggerExecution", 0) / 1000.0
         started = pd.Timestamp(p.timestamp).timestamp()
-        rows.append((int(p.numInputRows), max(int(p.sink.numOutputRows), 0), took, False,
-                     started, started + took))
-    return spark.createDataFrame(
-        rows,
-        "packets bigint, events bigint, processing_seconds double, finalization boolean, "
-        "started_seconds double, ended_seconds double",
-    )
+        self._rows.append(
+            (p.batchId, int(p.numInputRows), int(p.sink.numOutputRows), took, started)
+        )
+
+    def log(self, events: DataFrame | None = None) -> DataFrame:
+        """Progress in the layout of ``run_summary``.
+
+        ``events`` (with ``batch_id``) counts the events of handlers that Spark
+        reports no output rows for.
+        """
+        self._settle()
+        rows = self.spark.createDataFrame(
+            [(b, n, max(o, 0), t, False, s, s + t) for b, n, o, t, s in self._rows],
+            "batch_id bigint, packets bigint, events bigint, processing_seconds double, "
+            "finalization boolean, started_seconds double, ended_seconds double",
+        )
+        if events is not None:
+            counted = events.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_stored"))
+            rows = rows.join(counted, "batch_id", "left").withColumn(
+                "events", F.coalesce("_stored", F.lit(0))
+            )
+        return rows.drop("batch_id", "_stored")

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,6 @@ class PredictionRun:
     stale_after_seconds: float | None = None
     max_tracked_flows: int | None = None
     feature_options: dict = field(default_factory=dict)
-    _last_batch: int = -1
 
     def __post_init__(self) -> None:
         check_stale(self.stale_after_seconds, self.window_seconds)
@@ -93,7 +93,8 @@ class PredictionRun:
             .withColumn("next_index", self._index("end_seconds", "origin"))
             .withColumn("from_index", F.coalesce("open_index", F.lit(0)))
         )
-        self._write(self._regressions(joined), "faults", batch_id)
+        faults = self._regressions(joined).unionByName(self._late(arrived, joined))
+        self._write(faults, "faults", batch_id)
         refused, numbered = self._close(joined, batch_id, batch_id - 1, flush=False)
         moved = F.col("open_index").isNull() | (F.col("next_index") > F.col("open_index"))
         told = joined.drop("refused_packet_number").join(refused, "capture_id", "left")
@@ -110,11 +111,14 @@ class PredictionRun:
             F.coalesce("numbered", "last_sequence").alias("last_sequence"),
         )
         self._write(progress, "progress", batch_id)
-        self._last_batch = batch_id
 
     def finish(self) -> None:
-        """Close the windows still open; for a completed run only, once."""
-        last = self._last_batch
+        """Close the windows still open; for a completed run only.
+
+        What is open is read from the stored state, so a process started after
+        the one that ran the triggers can close them too.
+        """
+        last = self._stored_batch()
         if last < 0:
             return
         joined = (
@@ -125,7 +129,30 @@ class PredictionRun:
             .withColumn("next_index", F.col("open_index") + 1)
         )
         self._close(cut_lineage(joined), last + 1, last, flush=True)
-        self._last_batch = -1
+
+    def _late(self, arrived: DataFrame, joined: DataFrame) -> DataFrame:
+        """Packets whose window was closed in an earlier trigger, one row each."""
+        opened = joined.where(F.col("open_index").isNotNull()).select(
+            "capture_id", F.col("origin").alias("capture_origin"), "open_index"
+        )
+        return (
+            arrived.join(opened, "capture_id")
+            .where(self._index("timestamp_seconds") < F.col("open_index"))
+            .select(
+                "capture_id",
+                F.lit("late_packet").alias("rule"),
+                F.col("packet_number").cast("string").alias("detail"),
+            )
+        )
+
+    def _stored_batch(self) -> int:
+        """The last trigger whose progress is stored, also by an earlier process."""
+        try:
+            parts = self.spark.read.parquet(f"{self.folder.rstrip('/')}/progress")
+        except AnalysisException:  # no trigger yet
+            return -1
+        found = parts.agg(F.max("batch_id")).first()[0]
+        return -1 if found is None else int(found)
 
     @staticmethod
     def _regressions(joined: DataFrame) -> DataFrame:

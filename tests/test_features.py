@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pytest
-from flowloom.operators import features, flows, wavelet, windows
+from flowloom.operators import features, flows, validate, wavelet, windows
 from flowloom.schemas import FEATURE_COLUMNS, FLOW_STATISTIC_COLUMNS, WINDOWS
 from pyspark.sql import functions as F
 
@@ -42,7 +42,7 @@ def test_packet_threshold(make_packets, count, policy, kept):
     if kept:
         row = got.first()
         assert row["sizes"] == [i + 1 for i in range(count)]
-        assert row["packet_count"] == count and row["segment"] == 0
+        assert row["packet_count"] == count
         assert [f.name for f in got.schema] == WINDOWS.names
 
 
@@ -53,12 +53,35 @@ def test_boundary_packet_is_in_the_later_window(make_packets):
     assert rows[2]["offset_seconds"] == 0.0
 
 
-def test_segments_hold_all_packets_of_a_large_window(make_packets):
-    assigned = flows.assign_flows(make_packets([(i * 0.01, A, S, i + 1) for i in range(50)]))
-    got = windows.observation_windows(assigned, segment_packets=8).orderBy("segment").collect()
-    assert len(got) > 5 and [r["segment"] for r in got] == list(range(len(got)))
-    assert [s for r in got for s in r["sizes"]] == [i + 1 for i in range(50)]
-    assert {r["packet_count"] for r in got} == {50}
+def test_a_window_is_one_row_wherever_its_packet_numbers_lie(make_packets):
+    packets = make_packets([(i * 0.01, A, S, i + 1) for i in range(50)], first=65_520)
+    assigned = flows.assign_flows(packets)
+    got = windows.observation_windows(assigned).collect()
+    assert len(got) == 1 and got[0]["packet_count"] == 50
+    assert got[0]["sizes"] == [i + 1 for i in range(50)]
+    placed = windows.window_packets(assigned)
+    table = windows.window_table(placed)
+    assert [r["packet_count"] for r in table.collect()] == [50]
+    rows = windows.window_packet_rows(placed, table).orderBy("position").collect()
+    assert [(r["position"], r["size"]) for r in rows] == [(i, i + 1) for i in range(50)]
+
+
+def test_a_packet_without_a_time_is_reported_and_moves_no_window(make_packets):
+    packets = make_packets([(i * 2.0, A, S, i + 1) for i in range(30)])
+    broken = packets.withColumn(
+        "timestamp_seconds", F.when(F.col("packet_number") == 25, None).otherwise(F.col("timestamp_seconds"))
+    )
+    placed = windows.window_packets(flows.assign_flows(broken))
+    counts = [r["packet_count"] for r in windows.window_table(placed, minimum_packets=1).orderBy("window_index").collect()]
+    arrays = windows.observation_windows(flows.assign_flows(broken), minimum_packets=1)
+    vectors = features.feature_vectors(placed, minimum_packets=1)
+    assert counts == [21, 8]
+    for form in (arrays, vectors):
+        assert [r["packet_count"] for r in form.orderBy("window_index").collect()] == counts
+    rules = {r["rule"] for r in validate.feature_input_violations(placed, 40.96).collect()}
+    assert "window_key_missing" in rules
+    sound, found = validate.sound_packets(broken)
+    assert sound.count() == 29 and [r["rule"] for r in found.collect()] == ["timestamp_not_finite"]
 
 
 def test_interarrival(make_packets):

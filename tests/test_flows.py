@@ -41,17 +41,15 @@ def test_flow_id_matches_the_hash_of_the_tuple(make_packets):
     assert flow_id is not None
 
 
-def test_flow_table_keeps_order_and_cuts_segments(make_packets):
+def test_flow_table_keeps_order_in_one_row(make_packets):
     assigned = flows.assign_flows(
-        make_packets([(i, A if i % 3 else S, S if i % 3 else A, 100 + i) for i in range(10)])
+        make_packets(
+            [(i, A if i % 3 else S, S if i % 3 else A, 100 + i) for i in range(10)], first=65_530
+        )
     )
     whole = flows.flow_table(assigned).collect()
     assert len(whole) == 1 and whole[0]["sizes"] == [100 + i for i in range(10)]
-    parts = flows.flow_table(assigned, segment_packets=4).orderBy("segment").collect()
-    assert [p["segment"] for p in parts] == list(range(len(parts)))
-    assert max(len(p["sizes"]) for p in parts) <= 4
-    assert [s for p in parts for s in p["sizes"]] == [100 + i for i in range(10)]
-    assert {p["packet_count"] for p in parts} == {10}
+    assert (whole[0]["flow_order"], whole[0]["packet_count"]) == (65_530, 10)
 
 
 def test_stale_flow_is_evicted_at_the_limit(make_packets):

@@ -214,8 +214,9 @@ def test_run_summary_from_progress(spark):
     source = scratch_path(spark, "source")
     spark.createDataFrame(traffic(1, 40), PACKETS).write.parquet(source)
     stream = spark.readStream.schema(PACKETS).parquet(source)
-    query = pipeline.run_to_table(stream, path, checkpoint)
-    row = run_summary(pipeline.progress_log(query)).first()
+    with pipeline.ProgressRecorder(spark) as recorder:
+        pipeline.run_to_table(stream, path, checkpoint)
+    row = run_summary(recorder.log()).first()
     assert row["packets_processed"] == 40 and row["packet_rate_per_second"] > 0
 
 

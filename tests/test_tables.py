@@ -140,7 +140,7 @@ def test_connection_windows_equal_the_packet_path(spark):
             rows.append((("a", k, "b", 2, 6), times, [source.randint(0, 99) for _ in range(n)],
                          [source.randint(0, 1) for _ in range(n)], f"vpn_ssh_{c}.pcap"))
     df = spark.createDataFrame(rows, RAW_CONNECTIONS)
-    direct = windows.connection_windows(df, minimum_packets=5, segment_packets=16)
+    direct = windows.connection_windows(df, minimum_packets=5)
     packets = connection_packets(df)
     whole = windows.connection_windows(df, minimum_packets=5)
     shuffled = windows.observation_windows(packets, minimum_packets=5)

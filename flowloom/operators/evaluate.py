@@ -83,7 +83,7 @@ def calibration_bins(
 ) -> DataFrame:
     """Rows, accuracy and mean confidence per equal-width confidence bin."""
     if bins < 2:
-        raise ValueError("ECE bin count must be at least two")
+        raise ValueError(f"calibration needs two bins or more, not {bins}")
     index = F.least(F.floor(F.col(confidence) * bins).cast("int"), F.lit(bins - 1))
     return df.groupBy(index.alias("bin")).agg(
         F.count(F.lit(1)).alias("rows"),

@@ -41,7 +41,7 @@ def check_bins(window_seconds: float, bin_seconds: float) -> None:
     """Window and bin lengths must give exactly the transform's sample count."""
     check_window(window_seconds)
     if not bin_seconds > 0 or abs(window_seconds / bin_seconds - SAMPLES_PER_WINDOW) > 1e-9:
-        raise ValueError(f"window and bin durations must produce {SAMPLES_PER_WINDOW} samples")
+        raise ValueError(f"a window has to hold exactly {SAMPLES_PER_WINDOW} bins")
 
 
 def _moments(value: Column, prefix: str) -> list[Column]:

@@ -137,7 +137,7 @@ def assign_sessions(
     ``connection``.
     """
     if stale_after_seconds is not None and not stale_after_seconds > 0.0:
-        raise ValueError("stale flow timeout must be positive")
+        raise ValueError(f"a flow goes stale after a positive time, not {stale_after_seconds}")
     keyed = with_flow_key(packets).withColumn("_chunk", chunk_of("packet_number", chunk_rows))
     stale = F.lit(float("inf") if stale_after_seconds is None else float(stale_after_seconds))
     inside = Window.partitionBy(*FLOW_KEY, "_chunk").orderBy("packet_number")
@@ -342,7 +342,7 @@ def capacity_refusals(
     refused_seconds, failure_code`` for captures that hit the limit.
     """
     if max_tracked_flows < 1:
-        raise ValueError("maximum tracked flows must be positive")
+        raise ValueError("at least one flow has to fit")
     opened, ends = _session_table(assigned)
     # One row per refused capture, read by every branch below.
     over = cut_lineage(
@@ -370,6 +370,7 @@ def capacity_refusals(
             "capture_id",
             F.col("first_packet").alias("refused_packet_number"),
             "refused_seconds",
+            # Fixed value: the stored failure code.
             F.lit("flow_capacity_exceeded").alias("failure_code"),
         )
     )

@@ -66,7 +66,7 @@ def get_session(sessions: DataFrame, run_id: str) -> DataFrame:
 def list_sessions(sessions: DataFrame, limit: int = 100) -> DataFrame:
     """Newest sessions first."""
     if limit < 1:
-        raise ValueError("history limit must be positive")
+        raise ValueError(f"a history shows one session or more, not {limit}")
     return sessions.orderBy(F.desc("created_seq")).limit(limit)
 
 
@@ -115,7 +115,7 @@ def retained_events(events: DataFrame, retention: int = EVENT_RETENTION) -> Data
     last sequence instead of a ranking of the run's events.
     """
     if retention < 1:
-        raise ValueError("event retention must be positive")
+        raise ValueError("one event or more has to be kept")
     last = events.groupBy("run_id").agg(F.max("sequence").alias("_last"))
     return (
         events.join(last, "run_id")
@@ -257,7 +257,7 @@ def prediction_payload(labels: tuple[str, ...]) -> Column:
 def replay_schedule(packets: DataFrame, time_scale: float | None = 1.0) -> DataFrame:
     """Source and scheduled offsets of each packet; no time scale means no delay."""
     if time_scale is not None and not 0.0 < time_scale < float("inf"):
-        raise ValueError("replay time scale must be finite and greater than zero")
+        raise ValueError("a replay runs at a positive, finite speed")
     origins = packets.groupBy("capture_id").agg(
         F.min_by("timestamp_seconds", "packet_number").alias("_origin")
     )

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flowloom.functions.ordered import number_sorted
 from flowloom.functions.vectors import argmax, log_sum_exp, softmax
 from flowloom.schemas import SUPPORT_PER_CLASS, SUPPORT_SEED
+from flowloom.session import cut_lineage
 
 # Classes a state table may hold before its broadcast is refused.
 MAXIMUM_CLASSES = 1024
@@ -181,27 +183,54 @@ def sample_episodes(
 ) -> DataFrame:
     """Seeded episodes: ``n`` support rows per class and ``m`` other query rows.
 
-    Returns ``episode, role, row_id, label``.  The rank filters are pushed below
-    the shuffle, so each task sends at most ``n`` rows per class and ``m`` rows
-    per episode.
+    Rows are put into a seeded random order once, per class and as a whole.  An
+    episode takes neighbours in those orders from places drawn for it (running
+    on from the start at the end), so the work is one row per drawn row and not
+    one per row and episode.  Returns ``episode, role, row_id, label``.
     """
     if min(episodes, support_per_class, queries) < 1 or seed < 0:
-        raise ModelError("episode counts must be positive and the seed not negative")
-    drawn = (
-        rows.select(F.col(row_id).alias("row_id"), F.col(label).alias("label"))
-        .withColumn("episode", F.explode(F.sequence(F.lit(1), F.lit(episodes))))
-        .withColumn("_draw", _draw(seed, "episode", "row_id"))
-    )
-    per_class = Window.partitionBy("episode", "label").orderBy("_draw", "row_id")
-    support = (
-        drawn.withColumn("_rank", F.row_number().over(per_class))
-        .where(F.col("_rank") <= support_per_class)
+        raise ModelError("episodes, support and queries are one or more, the seed is not negative")
+    spark = rows.sparkSession
+    placed = rows.select(
+        F.col(row_id).alias("row_id"), F.col(label).alias("label"), F.lit(0).alias("_all")
+    ).withColumn("_draw", _draw(seed, "row_id"))
+    placed = number_sorted(placed, ["label"], ["_draw", "row_id"], "_in_class")
+    # Another order for queries, so that they do not follow the support's.
+    placed = placed.withColumn("_draw", _draw(seed + 1, "row_id"))
+    placed = cut_lineage(number_sorted(placed, ["_all"], ["_draw", "row_id"], "_in_all"))
+    drawn = spark.range(1, episodes + 1).select(F.col("id").cast("int").alias("episode"))
+
+    def places(sizes: dict, key: str, wanted: int, column: str) -> DataFrame:
+        """One row per episode, key and drawn place; ``sizes`` has a row per class."""
+        pairs = [F.struct(F.lit(k).alias(key), F.lit(n).alias("_size")) for k, n in sizes.items()]
+        start = F.conv(F.substring(_draw(seed, "episode", key), 1, 8), 16, 10).cast("bigint")
+        steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(wanted), F.col("_size")) - 1)
+        return (
+            drawn.withColumn("_key", F.explode(F.array(*pairs)))
+            .select("episode", "_key.*")
+            .withColumn("_step", F.explode(steps))
+            .withColumn(column, F.pmod(start + F.col("_step"), F.col("_size")) + 1)
+            .drop("_size")
+        )
+
+    counted = placed.groupBy("label").agg(F.count(F.lit(1)).alias("_size")).collect()
+    if not counted:
+        raise ModelError("there are no rows to draw episodes from")
+    classes = {r["label"]: r["_size"] for r in counted}
+    support = cut_lineage(
+        places(classes, "label", support_per_class, "_in_class")
+        .join(placed, ["label", "_in_class"])
         .select("episode", F.lit("support").alias("role"), "row_id", "label")
     )
-    per_episode = Window.partitionBy("episode").orderBy("_draw", "row_id")
-    others = drawn.join(support.select("episode", "row_id"), ["episode", "row_id"], "left_anti")
+    enough = queries + support_per_class * len(classes)
+    others = (
+        places({0: sum(classes.values())}, "_all", enough, "_in_all")
+        .join(placed.drop("_all"), "_in_all")
+        .join(support.select("episode", "row_id"), ["episode", "row_id"], "left_anti")
+    )
+    nth = F.row_number().over(Window.partitionBy("episode").orderBy("_step"))
     query = (
-        others.withColumn("_rank", F.row_number().over(per_episode))
+        others.withColumn("_rank", nth)
         .where(F.col("_rank") <= queries)
         .select("episode", F.lit("query").alias("role"), "row_id", "label")
     )
@@ -218,7 +247,7 @@ def select_support(
 ) -> DataFrame:
     """Up to ``maximum_per_class`` seeded support rows of each class."""
     if maximum_per_class < 2:
-        raise ModelError("maximum support per class must be at least two")
+        raise ModelError(f"support needs two rows of a class, not {maximum_per_class}")
     order = Window.partitionBy(label).orderBy("_draw", row_id)
     return (
         rows.withColumn("_draw", _draw(seed, row_id))
@@ -263,7 +292,7 @@ def class_state(
         r["label"]: r for r in statistics.where(F.col("label").isin(*labels)).collect()
     }
     if set(found) != set(labels):
-        raise ModelError("support set must contain every class")
+        raise ModelError(f"classes without support: {sorted(map(str, set(labels) - set(found)))}")
     means = np.array([found[v]["mean"] for v in labels], dtype=np.float64)
     variances = np.array([found[v]["variance"] for v in labels], dtype=np.float64)
     cutoff = means.shape[1] * float(np.finfo(np.float32).eps)
@@ -442,7 +471,7 @@ def read_geometry(
     geometry = {}
     for name in wanted:
         if counts.get(name, 0) < 2:
-            raise ModelError("every class requires at least two support rows")
+            raise ModelError(f"class {name} has fewer than two support rows")
         cutoff = dimension * float(np.finfo(np.float32).eps)
         geometry[name] = (
             means[name],

@@ -105,7 +105,7 @@ def calibrate(
     if "capture_id" in training.columns and "capture_id" in calibration.columns:
         shared = splits.capture_overlap(training, calibration)
         if not shared.isEmpty():
-            raise model.ModelError("training and calibration captures must not overlap")
+            raise model.ModelError("a capture is in training and in calibration")
     support = cut_lineage(
         prepare(
             model.select_support(training, maximum_per_class=maximum_support, seed=seed),
@@ -200,7 +200,7 @@ def validate_candidate(
     """Closed-set metrics of a candidate: support from training, scored on validation."""
     if "capture_id" in training.columns and "capture_id" in validation.columns:
         if not splits.capture_overlap(training, validation).isEmpty():
-            raise model.ModelError("training and validation captures must not overlap")
+            raise model.ModelError("a capture is in training and in validation")
     support = prepare(
         model.select_support(training, maximum_per_class=maximum_support), scaler, layers, vector
     )

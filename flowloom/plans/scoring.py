@@ -149,18 +149,26 @@ _EPISODES, _SUPPORT, _QUERIES = 3, 4, 64
 
 @_register(
     "episode_sample",
-    f"""WITH drawn AS (
-  SELECT e.episode, vec_id AS row_id, label,
-    sha256('{SUPPORT_SEED}:' || e.episode || ':' || vec_id) AS draw
-  FROM embeddings, (SELECT unnest(range(1, {_EPISODES + 1}))::INTEGER AS episode) e),
+    f"""WITH placed AS (
+  SELECT vec_id AS row_id, label, count(*) OVER (PARTITION BY label) AS size,
+    count(*) OVER () AS total, row_number() OVER (PARTITION BY label
+      ORDER BY sha256('{SUPPORT_SEED}:' || vec_id), vec_id) AS in_class,
+    row_number() OVER (ORDER BY sha256('{SUPPORT_SEED + 1}:' || vec_id), vec_id) AS in_all
+  FROM embeddings),
+e AS (SELECT unnest(range(1, {_EPISODES + 1}))::INTEGER AS episode),
+held AS (
+  SELECT *, ('0x' || substr(sha256('{SUPPORT_SEED}:' || episode || ':' || label), 1, 8))::BIGINT
+      AS class_start,
+    ('0x' || substr(sha256('{SUPPORT_SEED}:' || episode || ':0'), 1, 8))::BIGINT AS start
+  FROM placed, e),
+stepped AS (
+  SELECT *, (in_class - 1 - class_start % size + size) % size AS class_step,
+    (in_all - 1 - start % total + total) % total AS step FROM held),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY episode, label ORDER BY draw, row_id) AS r
-  FROM drawn),
-others AS (
-  SELECT *, row_number() OVER (PARTITION BY episode ORDER BY draw, row_id) AS q
-  FROM ranked WHERE r > {_SUPPORT})
-SELECT episode, 'support' AS role, row_id, label FROM ranked WHERE r <= {_SUPPORT}
-UNION ALL SELECT episode, 'query', row_id, label FROM others WHERE q <= {_QUERIES}""",
+  SELECT *, row_number() OVER (PARTITION BY episode ORDER BY step) AS q
+  FROM stepped WHERE class_step >= {_SUPPORT})
+SELECT episode, 'support' AS role, row_id, label FROM stepped WHERE class_step < {_SUPPORT}
+UNION ALL SELECT episode, 'query', row_id, label FROM ranked WHERE q <= {_QUERIES}""",
 )
 def episode_query(spark: SparkSession, folder: str) -> DataFrame:
     return model.sample_episodes(

@@ -35,10 +35,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def check_destination(spark: SparkSession, path: str, extension: str) -> None:
     """Refuse a wrong extension or anything already published."""
     if not path.lower().endswith(extension):
-        raise ContractError(f"output must use the {extension} extension: {path}")
+        raise ContractError(f"{path} should end in {extension}")
     for target in (path, f"{path}.manifest"):
         if _exists(spark, target):
-            raise ContractError(f"output already exists: {target}")
+            raise ContractError(f"{target} is there already; nothing is overwritten")
 
 
 def _publish(df: DataFrame, path: str, schema: T.StructType) -> None:

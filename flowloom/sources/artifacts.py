@@ -127,9 +127,9 @@ def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
         F.array_sort(F.collect_set("partition")).alias("partitions"),
     ).first()
     if (totals["captures"], totals["windows"]) != (head["captures"], head["windows"]):
-        raise ContractError("split manifest summary does not match assignments")
+        raise ContractError("the summary of the split disagrees with its assignments")
     if totals["partitions"] != sorted(PARTITIONS):
-        raise ContractError("every modeling partition must contain assignments")
+        raise ContractError(f"partitions without captures; found {totals['partitions']}")
     return assignments
 
 

@@ -53,9 +53,7 @@ def check_stale(stale_after_seconds: float | None, window_seconds: float) -> Non
     """A flow may not be forgotten inside one of its windows."""
     check_window(window_seconds)
     if stale_after_seconds is not None and stale_after_seconds < window_seconds:
-        raise ValueError(
-            "stale flow timeout must be greater than or equal to the observation window duration"
-        )
+        raise ValueError(f"flows would go stale inside a window of {window_seconds} seconds")
 
 
 def _merge(parts: pd.DataFrame) -> pd.DataFrame:

@@ -98,6 +98,17 @@ def run_events(events: DataFrame, run_id: str) -> DataFrame:
     return events.where(F.col("run_id") == run_id).orderBy("sequence")
 
 
+def parsed_payloads(events: DataFrame, schema: str) -> DataFrame:
+    """Events with their payload as a struct; null where it is no such JSON."""
+    return events.withColumn("payload", F.from_json("payload_json", schema))
+
+
+def payload_violations(parsed: DataFrame) -> DataFrame:
+    """Events whose payload could not be parsed."""
+    key = F.concat_ws(":", F.col("run_id"), F.col("sequence"))
+    return broken_rules(parsed, key, {"payload_unreadable": F.col("payload").isNull()})
+
+
 def session_events(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """Events whose session exists."""
     return events.join(sessions.select("run_id"), "run_id", "left_semi")

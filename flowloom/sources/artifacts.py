@@ -81,30 +81,33 @@ def read_manifest(spark: SparkSession, table: str) -> DataFrame:
 
 
 def _read_versioned(
-    spark: SparkSession, path: str, schema: T.StructType, version: str
+    spark: SparkSession, path: str, schema: T.StructType, version: str, verify: bool
 ) -> DataFrame:
+    """A published table whose schema, version and content its manifest confirms."""
     # The stored schema is checked first: reading with ours would hide a
     # different one behind nulls.
     require_schema(spark.read.parquet(path), schema, path)
-    stated = read_manifest(spark, path).select("schema_version").first()["schema_version"]
-    if stated != version:
-        raise ContractError(f"{path}: version {stated!r}, expected {version!r}")
+    stated = read_manifest(spark, path).select("schema_version", "output.sha256").first()
+    if stated["schema_version"] != version:
+        raise ContractError(f"{path}: version {stated['schema_version']!r}, expected {version!r}")
+    if verify:
+        require_fingerprint(spark, path, stated["sha256"])
     return spark.read.parquet(path)
 
 
-def read_windows(spark: SparkSession, path: str) -> DataFrame:
-    """Window table with the exact schema and version."""
-    return _read_versioned(spark, path, WINDOWS, WINDOW_TABLE_VERSION)
+def read_windows(spark: SparkSession, path: str, *, verify: bool = True) -> DataFrame:
+    """Window table with the exact schema, version and, unless told not to, content."""
+    return _read_versioned(spark, path, WINDOWS, WINDOW_TABLE_VERSION, verify)
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """Feature table with the exact schema and version."""
-    return _read_versioned(spark, path, FEATURES, FEATURE_TABLE_VERSION)
+def read_features(spark: SparkSession, path: str, *, verify: bool = True) -> DataFrame:
+    """Feature table with the exact schema, version and, unless told not to, content."""
+    return _read_versioned(spark, path, FEATURES, FEATURE_TABLE_VERSION, verify)
 
 
 def read_feature_labels(spark: SparkSession, path: str) -> DataFrame:
     """Only the label columns of a feature table; the scan reads nothing else."""
-    return read_features(spark, path).select(
+    return read_features(spark, path, verify=False).select(
         "capture_id", "vpn_status", "application", "category"
     )
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.plans import published, roles, scoring, sessions, streams, traffic, vectors
+from flowloom.plans import contracts, published, roles, scoring, sessions, streams, traffic, vectors
 
-_MODULES = (traffic, vectors, roles, scoring, sessions, streams, published)
+_MODULES = (traffic, vectors, roles, scoring, sessions, streams, published, contracts)
 
 
 def queries() -> dict:

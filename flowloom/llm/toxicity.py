@@ -41,8 +41,17 @@ _KEPT_WORDS = 150_000
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of all words in a row, their counts, and word buckets."""
+def word_inputs(words: list[bytes], most: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of all words in a row, their counts, and word buckets.
+
+    Some thousands of words are taken at a time, which bounds the work space.
+    """
+    parts = [_some_inputs(words[at : at + most]) for at in range(0, len(words), most)]
+    grams, counts, buckets = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return grams, counts, buckets
+
+
+def _some_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     flat = np.frombuffer(b"".join(b"<" + w + b">" for w in words), np.uint8).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -67,7 +76,8 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         some = sizes > at
         whole[some] = (whole[some] + flat[first[some] + at] + np.uint64(1)) * _FACTOR
         whole[some] ^= whole[some] >> np.uint64(31)
-    return grams[order], counts, (whole * _FACTOR >> np.uint64(51)).astype(np.int64)
+    buckets = (whole * _FACTOR >> np.uint64(51)).astype(np.int64)
+    return grams[order].astype(np.int32), counts, buckets
 
 
 def window_starts(words: int) -> range:
@@ -108,6 +118,16 @@ class ToxicReader:
         """Input gates ``[2, 3H, word]`` of distinct words."""
         return np.matmul(self.arrays["inputs"], vectors.T) + self.arrays["opening"]
 
+    def all_gates(self, grams, counts, buckets, most: int = 8192) -> np.ndarray:
+        """Input gates of any number of words, some thousands at a time."""
+        ends = np.cumsum(counts)
+        parts = []
+        for at in range(0, len(counts), most):
+            some = slice(at, at + most)
+            own = grams[ends[at] - counts[at] : ends[some][-1]]
+            parts.append(self.word_gates(self.word_vectors(own, counts[some], buckets[some])))
+        return np.concatenate(parts, 2)
+
     def _attended(self, both: np.ndarray, known: np.ndarray):
         """Attention over ``[T, 2H, B]`` states: looks, shares and the sum."""
         looks = np.tanh(np.matmul(self.arrays["look"], both))
@@ -206,7 +226,7 @@ class ToxicReader:
 
     def _highest(self, windows, owner, label, inputs) -> tuple[np.ndarray, np.ndarray]:
         """The highest window of each document: of toxic ones, of clean ones."""
-        gates = self.word_gates(self.word_vectors(*inputs))
+        gates = self.all_gates(*inputs)
         logit = np.concatenate(
             [
                 self.logits(gates, *_columns(windows[at : at + 512]))
@@ -272,7 +292,7 @@ class Scorer:
         known = self.gates.shape[2]
         fresh = list(itertools.islice(self.numbers, known, None))
         if fresh:
-            new = self.model.word_gates(self.model.word_vectors(*word_inputs(fresh)))
+            new = self.model.all_gates(*word_inputs(fresh))
             self.gates = np.concatenate([self.gates, new], 2)
 
     def highest(self, batch: list[bytes], columns: int = 2048) -> np.ndarray:

@@ -140,17 +140,10 @@ def test_connection_windows_equal_the_packet_path(spark):
             rows.append((("a", k, "b", 2, 6), times, [source.randint(0, 99) for _ in range(n)],
                          [source.randint(0, 1) for _ in range(n)], f"vpn_ssh_{c}.pcap"))
     df = spark.createDataFrame(rows, RAW_CONNECTIONS)
-    direct = windows.connection_windows(df, minimum_packets=5)
     packets = connection_packets(df)
     whole = windows.connection_windows(df, minimum_packets=5)
     shuffled = windows.observation_windows(packets, minimum_packets=5)
     assert whole.exceptAll(shuffled).count() == 0 and whole.count() == shuffled.count() > 10
-    assert direct.select(F.max(F.size("sizes"))).first()[0] == 16
-    sums = [
-        {tuple(r) for r in w.groupBy("window_id").agg(F.sum(F.size("sizes")), F.max("packet_count")).collect()}
-        for w in (direct, whole)
-    ]
-    assert sums[0] == sums[1]
 
 
 def test_flow_rows_become_raw_connections(make_packets):

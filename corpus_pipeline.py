@@ -45,7 +45,7 @@ def dissimilar_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: the documents without any benchmark phrase."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return _without(docs, found.where(F.col("n_hit") > 0))
 
 

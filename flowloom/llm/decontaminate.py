@@ -16,7 +16,8 @@ Words are runs of ASCII letters (lower-cased) and digits and of characters
 beyond ASCII.  Null and empty texts have no words.  Every row is a document of
 its own and gets a result row, also when ids repeat or are null.  Repeated
 phrases are searched once and credited to all their items; an item of fewer
-words than a window is one phrase.  Items without an id or a word find nothing.
+words than a window is one phrase.  Items without a word find nothing; those
+without an id are searched with ``unnamed`` and count as one item of null id.
 """
 
 from __future__ import annotations
@@ -169,26 +170,31 @@ def document_words(index: DataFrame) -> DataFrame:
 class Phrases:
     """A block of test phrases: distinct word sequences and their items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
+        owners: dict[tuple[bytes, ...], set[str | None]] = {}
         for item, words in items:
             for at in range(max(len(words) - window, 0) + 1 if words else 0):
                 owners.setdefault(tuple(words[at : at + window]), set()).add(item)
         self.phrases = sorted(owners)
-        self.items = [sorted(owners[p]) for p in self.phrases]
+        self.items = [sorted(owners[p], key=lambda i: (i is None, i or "")) for p in self.phrases]
         self.words = sorted({w for p in self.phrases for w in p})
         number = {w: n for n, w in enumerate(self.words)}
         self.codes = [np.array([number[w] for w in p]) for p in self.phrases]
 
 
-def phrase_blocks(items: DataFrame, window: int, most_words: int) -> Iterator[Phrases]:
-    """The test items in blocks of about ``most_words`` words."""
+def phrase_blocks(
+    items: DataFrame, window: int, most_words: int, unnamed: bool = False
+) -> Iterator[Phrases]:
+    """The test items in blocks of about ``most_words`` words, those without an id
+    if ``unnamed``."""
     rows = items.select(
         F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     held: list = []
     total = 0
-    for row in rows.where(F.col("item_id").isNotNull()).toLocalIterator():
+    if not unnamed:
+        rows = rows.where(F.col("item_id").isNotNull())
+    for row in rows.toLocalIterator():
         words = words_of(row.text.encode())
         held.append((row.item_id, words))
         total += len(words)
@@ -306,6 +312,7 @@ def search(
     window: int = WINDOW,
     slop: int | None = None,
     most_words: int = 200_000,
+    unnamed: bool = False,
 ) -> DataFrame:
     """Documents with matches, one row per document and block of test phrases:
     ``segment, ordinal, doc_id, matches`` (item, first word, number of words).
@@ -317,7 +324,7 @@ def search(
     if window > _GAP:
         raise ValueError(f"a window has at most {_GAP} words")
     found = index.sparkSession.createDataFrame([], HITS)
-    for phrases in phrase_blocks(items, window, most_words):
+    for phrases in phrase_blocks(items, window, most_words, unnamed):
         if phrases.words:
             rows = _block_rows(index, phrases)
             hits = rows.groupBy("segment").applyInArrow(_search_segment(phrases, slop), HITS)
@@ -325,14 +332,16 @@ def search(
     return found
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(
+    docs: DataFrame, items: DataFrame, window: int = WINDOW, unnamed: bool = False
+) -> DataFrame:
     """One row per document: ``doc_id, n_words, n_hit, items``.
 
     ``n_hit`` counts the words inside any match, ``items`` lists the matched
-    items in text order.
+    items in text order, and null last if one without an id matched (``unnamed``).
     """
     index = build_index(docs)
-    hits = search(index, items, window).groupBy("segment", "ordinal").agg(
+    hits = search(index, items, window, unnamed=unnamed).groupBy("segment", "ordinal").agg(
         F.flatten(F.collect_list("matches")).alias("matches")
     )
     inside = F.transform("matches", lambda m: F.sequence(m.start, m.start + m.length - 1))

@@ -79,7 +79,9 @@ def op7_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark phrases in all documents."""
-    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), unnamed=True
+    )
     return found.select(
         "doc_id",
         "n_words",

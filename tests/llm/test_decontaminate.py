@@ -81,3 +81,20 @@ def test_awkward_rows(spark):
     assert d.contamination(cases.empty(spark), items).count() == 0
     clean = d.contamination(cases.documents(spark), items.limit(0)).collect()
     assert all(r.n_hit == 0 and r.items == [] for r in clean)
+
+
+def test_items_without_an_id_are_found_by_query_and_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    from flowloom.llm.queries import op8_decontamination
+
+    items = [(1, cases.PASSAGE), (None, "the cat sat on the mat and looked at the dog"), (None, cases.PASSAGE)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(cases.ROWS, cases.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in op8_decontamination(spark, str(tmp_path)).collect()}
+    assert (by[1].n_hit, by[1].n_items, by[1].contaminated) == (11, 1, True)
+    assert by[1].items_sha256 == by[3].items_sha256 and by[3].n_items == 0  # as the SQL twin has it
+    assert (by[11].n_hit, by[11].n_items) == (60, 2)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = {r.doc_id for r in corpus_pipeline.clean_documents(spark, docs, str(tmp_path)).collect()}
+    assert not left & {1, 2, 11, 12} and {3, 9, 10} <= left

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm import language, toxicity
+from flowloom.llm import language, pieces, toxicity
 from flowloom.llm.chat import repair
 from flowloom.llm.common import fold, table
 from flowloom.llm.decontaminate import contamination
@@ -15,6 +15,8 @@ from flowloom.llm.near_dedup import near_duplicates
 from flowloom.llm.packing import pack
 from flowloom.llm.passages import passages
 from flowloom.llm.quality import quality_scores
+from flowloom.llm.structure import damaged, repair_structure
+from flowloom.llm.whitening import whitened
 
 THRESHOLD = 0.3
 
@@ -110,6 +112,38 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Piece ids of all documents, and what they decode to."""
+    coded = pieces.decode(pieces.encode(table(spark, folder, "documents")))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Whitened embeddings, up to 16 components a row."""
+    rows = whitened(table(spark, folder, "embeddings"))
+    # A deviation beyond 64 bits is null.
+    return rows.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_structure(spark: SparkSession, folder: str) -> DataFrame:
+    """Repaired structure of all conversations after planted damage."""
+    turns = table(spark, folder, "conversations")
+    found, _ = repair_structure(damaged(turns))
+    ids = turns.select(F.col("conv_id").cast("long").alias("id")).distinct()
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return ids.join(found, ids["id"].eqNullSafe(found["conv_id"]), "left").select(
+        F.col("id").alias("conv_id"),
+        *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_quality": op2_quality,
@@ -121,11 +155,106 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_pieces": op11_pieces,
+    "op12_whitening": op12_whitening,
+    "op13_structure": op13_structure,
 }
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 
+
+def _edited(state: str, letter: str, cost: str) -> str:
+    """SQL of a repair state ``{c, a}`` after one more edit; null where there is none."""
+    return f"""CASE WHEN {state} IS NOT NULL
+      THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}'}} END"""
+
+
+def _kept(states: list[str], role: str) -> str:
+    """SQL of keeping a row, or of giving it a role."""
+    ways = []
+    for state in states:
+        ways.append(f"CASE WHEN NOT gone AND r = '{role}' THEN {_edited(state, 'K', 'extra')} END")
+        if role != "s":
+            ways.append(f"CASE WHEN NOT gone THEN {_edited(state, 'R', '1 + extra')} END")
+    return ", ".join(ways)
+
+
+_STRUCTURE = f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+  FROM conversations),
+sums AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::BIGINT),
+    lambda crc, b: list_reduce(range(8), lambda z, n:
+      xor(z >> 1, CASE WHEN z % 2 = 1 THEN 3988292384 ELSE 0 END), xor(crc, b)),
+    4294967295::BIGINT), 4294967295::BIGINT) % 20 AS damage FROM raw),
+rows_left AS (
+  SELECT conv_id, turn, CASE damage WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE damage WHEN 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM sums WHERE damage <> 0),
+lined AS (
+  SELECT conv_id, turn, role, text, left(role, 1) AS r,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i
+  FROM rows_left),
+judged AS (
+  SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+  FROM lined),
+kinds AS (
+  SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone,
+    CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM judged),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal,
+    count(*) AS n
+  FROM kinds GROUP BY conv_id),
+steps AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': ''}} AS e,
+    NULL::STRUCT(c BIGINT, a VARCHAR) AS s, {{'c': 5::BIGINT, 'a': 'I'}} AS u,
+    {{'c': 10::BIGINT, 'a': 'II'}} AS a
+  FROM counts
+  UNION ALL
+  SELECT conv_id, i, e, s, u, least(a, {_edited("u", "I", "5")}) AS a
+  FROM (
+    SELECT conv_id, i, e, s, a, least(u, {_edited("e", "I", "5")}, {_edited("s", "I", "5")},
+      {_edited("a", "I", "5")}) AS u
+    FROM (
+      SELECT p.conv_id, k.i, {_edited("e", "D", "2")} AS e,
+        least({_edited("s", "D", "2")}, {_kept(["e"], "s")}) AS s,
+        least({_edited("u", "D", "2")}, {_kept(["e", "s", "a"], "u")}) AS u,
+        least({_edited("a", "D", "2")}, {_kept(["u"], "a")}) AS a
+      FROM steps p JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM p.conv_id AND k.i = p.i + 1))),
+chosen AS (
+  SELECT s.conv_id, least(s.e, s.a).c AS cost, least(s.e, s.a).a AS audit
+  FROM steps s JOIN counts c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.n = s.i),
+edits AS (
+  SELECT conv_id, audit, p, audit[p] AS edit,
+    len(replace(audit[:p], 'I', '')) + CASE WHEN audit[p] = 'I' THEN 1 ELSE 0 END AS i,
+    len(replace(audit[:p], 'D', '')) - len(replace(audit, 'D', '')) % 2 AS place
+  FROM (SELECT *, unnest(range(1, len(audit) + 1)) AS p FROM chosen)),
+lines AS (
+  SELECT e.conv_id, p,
+    CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':'
+      || CASE WHEN edit = 'I' THEN '' ELSE text END AS line
+  FROM edits e LEFT JOIN kinds k ON k.conv_id IS NOT DISTINCT FROM e.conv_id AND k.i = e.i
+  WHERE edit <> 'D'),
+whole AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) AS whole FROM lines GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+  coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN chosen h ON h.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 SQL = {
     "op3_exact_dedup": r"""
 WITH plain AS (
@@ -182,4 +311,5 @@ reach AS (
 SELECT doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id, doc_id = least_id AS kept
 FROM d LEFT JOIN sizes USING (doc_id)
 JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id)""",
+    "op13_structure": _STRUCTURE,
 }

@@ -4,7 +4,7 @@ A piece vocabulary marks blanks: a text becomes ``marker + text`` with a marker
 every blank.  Where no piece has a marker behind another character, no merge can
 cross from one marked word (a run of markers and what follows up to the next run)
 to the next, so a text's ids are its marked words' ids one after another.  Each
-worker keeps a table of the distinct marked words it has met.  New ones of a slice
+task keeps a table of the distinct marked words it has met.  New ones of a slice
 of documents are segmented in one call, and the ids of all words are joined back
 by position with array lookups.  The table starts anew beyond ``most_words`` words,
 which changes no ids, so memory is bounded whatever the corpus holds; nothing is
@@ -38,13 +38,18 @@ _MARKED = re.compile(f"{MARK}+[^{MARK}]*")
 
 
 class PieceTable:
-    """Distinct marked words of one worker with their ids; see the module text."""
+    """Distinct marked words of one task with their ids; see the module text.
 
-    _loaded: dict[tuple, PieceTable] = {}
+    ``path`` names the vocabulary; ``None`` is the public piece vocabulary.
+    """
 
-    def __init__(self, path: str, most_words: int):
+    def __init__(self, path: str | None = None, most_words: int = 400_000):
         from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path("piece_bpe_32k.model")
         self.model = SentencePieceProcessor(model_file=path)
         self.most_words = most_words
         shape = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
@@ -58,17 +63,6 @@ class PieceTable:
         self._pieces(shape)
         self._clear()
 
-    @classmethod
-    def of(cls, path: str | None, most_words: int = 400_000) -> PieceTable:
-        """The table of this worker; ``None`` is the public piece vocabulary."""
-        if path is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("piece_bpe_32k.model")
-        if (path, most_words) not in cls._loaded:
-            cls._loaded[path, most_words] = cls(path, most_words)
-        return cls._loaded[path, most_words]
-
     def _pieces(self, shape) -> None:
         """What each id stands for: bytes, with markers as blanks."""
         kinds = shape.SentencePiece
@@ -197,7 +191,7 @@ def _gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 def _encode_task(path: str | None, end_id: int | None, most_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable.of(path, most_words)
+        table = PieceTable(path, most_words)
         for part in slices(batches, "text", 2 << 20):
             ids, bounds = table.encode(part.column("text").to_pylist(), end_id)
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
@@ -208,7 +202,7 @@ def _encode_task(path: str | None, end_id: int | None, most_words: int):
 
 def _decode_task(path: str | None, most_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PieceTable.of(path)
+        table = PieceTable(path)
         for batch in batches:
             for part in _id_slices(batch, most_ids):
                 lists = part.column("ids")

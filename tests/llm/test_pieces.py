@@ -13,6 +13,7 @@ from sentencepiece import SentencePieceProcessor
 from flowloom.llm import pieces, queries
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
+TABLE = pieces.PieceTable()
 ODD = [
     "", " ", "a  b", "  a", "a\tb\n", "a▁b", "a ", "x\0y", "é中𐍈", "</s> <s>a<unk>", "   ", "\n",
     "﻿a", "▁▁", "▁ a", " ▁", "x" * 3000, "a b", "ﬁ Å ½", "<0x41> <0xC3>", "\U0010ffff",
@@ -31,7 +32,7 @@ def _lists(ids, bounds):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from(" ▁ab\té中𐍈<s>.\n0") | st.characters(codec="utf-8"), max_size=60)))
 def test_ids_and_texts_equal_the_librarys(batch):
-    table = pieces.PieceTable.of(None)
+    table = TABLE
     ids, bounds = table.encode(batch + ODD, 2)
     want = table.model.encode(batch + ODD, add_eos=True)
     assert _lists(ids, bounds) == want
@@ -41,7 +42,7 @@ def test_ids_and_texts_equal_the_librarys(batch):
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 31_999) | st.integers(3, 258) | st.integers(190, 258), max_size=12))
 def test_any_ids_decode_as_the_library_does(ids):
-    table = pieces.PieceTable.of(None)
+    table = TABLE
     got = table.decode(np.array(ids, np.int32), np.array([0, len(ids)]))
     assert got == [table.model.decode(ids)]
 

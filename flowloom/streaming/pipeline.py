@@ -17,9 +17,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,21 +29,21 @@ from flowloom.sinks.tables import append_events
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_KEYS = ["capture_id", "low_address", "low_port", "high_address", "high_port", "proto"]
-_KEY_TYPES = (
+KEYS = ["capture_id", "low_address", "low_port", "high_address", "high_port", "proto"]
+KEY_TYPES = (
     "capture_id string, low_address string, low_port int, high_address string, high_port int, "
     "proto int"
 )
-_TOTALS = (
+TOTALS = (
     "window_index bigint, packets bigint, up_packets bigint, bytes bigint, up_bytes bigint, "
     "first_packet bigint, last_packet bigint, first_seconds double, last_seconds double, "
     "opens_up boolean"
 )
-_TOTAL_NAMES = [part.strip().split(" ")[0] for part in _TOTALS.split(",")]
+TOTAL_NAMES = [part.strip().split(" ")[0] for part in TOTALS.split(",")]
 # Orientation of the session, its number, and the window it is in.
-_OPEN_STATE = f"session bigint, session_up boolean, {_TOTALS}"
-_WINDOW_ROWS = f"{_KEY_TYPES}, session bigint, session_up boolean, {_TOTALS}, fault string"
-_WINDOW_NAMES = [part.strip().split(" ")[0] for part in _WINDOW_ROWS.split(",")]
+_OPEN_STATE = f"session bigint, session_up boolean, {TOTALS}"
+_WINDOW_ROWS = f"{KEY_TYPES}, session bigint, session_up boolean, {TOTALS}, fault string"
+_WINDOW_ROW = Row(*(part.strip().split(" ")[0] for part in _WINDOW_ROWS.split(",")))
 
 # Combined rows a task holds before it passes them on.
 _HELD_ROWS = 50_000
@@ -56,41 +56,43 @@ def check_stale(stale_after_seconds: float | None, window_seconds: float) -> Non
         raise ValueError(f"flows would go stale inside a window of {window_seconds} seconds")
 
 
-def _merge(parts: pd.DataFrame) -> pd.DataFrame:
+_MERGES = [
+    ("packets", "sum"),
+    ("up_packets", "sum"),
+    ("bytes", "sum"),
+    ("up_bytes", "sum"),
+    ("first_packet", "min"),
+    ("last_packet", "max"),
+    ("first_seconds", "min"),
+    ("last_seconds", "max"),
+    ("opens_up", "first"),
+]
+
+
+def _merge(parts: pa.Table) -> pa.Table:
     """One row per flow and window from rows of partial totals."""
-    ordered = parts.sort_values("first_packet", kind="stable")
-    return (
-        ordered.groupby([*_KEYS, "window_index"], sort=False, dropna=False)
-        .agg(
-            packets=("packets", "sum"),
-            up_packets=("up_packets", "sum"),
-            bytes=("bytes", "sum"),
-            up_bytes=("up_bytes", "sum"),
-            first_packet=("first_packet", "min"),
-            last_packet=("last_packet", "max"),
-            first_seconds=("first_seconds", "min"),
-            last_seconds=("last_seconds", "max"),
-            opens_up=("opens_up", "first"),
-        )
-        .reset_index()[[*_KEYS, *_TOTAL_NAMES]]
-    )
+    ordered = parts.sort_by("first_packet")
+    merged = ordered.group_by([*KEYS, "window_index"], use_threads=False).aggregate(_MERGES)
+    return merged.select(
+        [*KEYS, "window_index", *(f"{name}_{how}" for name, how in _MERGES)]
+    ).rename_columns([*KEYS, *TOTAL_NAMES])
 
 
-def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the rows of many batches at once; what is held stays bounded."""
-    waiting: list[pd.DataFrame] = []
+    waiting: list[pa.Table] = []
     rows = 0
-    for frame in frames:
-        waiting.append(frame)
-        rows += len(frame)
+    for batch in batches:
+        waiting.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
         if rows >= 4 * _HELD_ROWS:
-            merged = _merge(pd.concat(waiting, ignore_index=True))
-            waiting, rows = [merged], len(merged)
+            merged = _merge(pa.concat_tables(waiting))
+            waiting, rows = [merged], merged.num_rows
             if rows >= _HELD_ROWS:
-                yield merged
+                yield from merged.to_batches()
                 waiting, rows = [], 0
     if waiting:
-        yield _merge(pd.concat(waiting, ignore_index=True))
+        yield from _merge(pa.concat_tables(waiting)).to_batches()
 
 
 def combine_packets(packets: DataFrame, window_seconds: float) -> DataFrame:
@@ -116,10 +118,10 @@ def combine_packets(packets: DataFrame, window_seconds: float) -> DataFrame:
         F.col("timestamp_seconds").alias("last_seconds"),
         up.alias("opens_up"),
     )
-    return single.mapInPandas(_combine, f"{_KEY_TYPES}, {_TOTALS}")
+    return single.mapInArrow(_combine, f"{KEY_TYPES}, {TOTALS}")
 
 
-def _joined(left: tuple, right: tuple) -> tuple:
+def joined(left: tuple, right: tuple) -> tuple:
     """Totals of the same window put together."""
     opening = left if left[5] <= right[5] else right
     return (
@@ -152,12 +154,12 @@ class FlowWindows(StatefulProcessor):
         self._handle = handle
         self._open = handle.getValueState("open", _OPEN_STATE)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         merged: dict[int, tuple] = {}
-        for frame in rows:
-            for totals in zip(*(frame[name].tolist() for name in _TOTAL_NAMES), strict=True):
-                held = merged.get(totals[0])
-                merged[totals[0]] = totals if held is None else _joined(held, totals)
+        for row in rows:
+            totals = tuple(row[name] for name in TOTAL_NAMES)
+            held = merged.get(totals[0])
+            merged[totals[0]] = totals if held is None else joined(held, totals)
         if not merged:
             return
         state = tuple(self._open.get()) if self._open.exists() else None
@@ -168,8 +170,7 @@ class FlowWindows(StatefulProcessor):
             self._open.update(state)
             if self._timers and state[3] > 0:
                 self._handle.registerTimer(int((state[10] + self._width) * 1000))
-        if out:
-            yield pd.DataFrame(out, columns=_WINDOW_NAMES)
+        yield from (_WINDOW_ROW(*row) for row in out)
 
     def _step(self, key, state, totals, out):
         index, first_packet, first_seconds = totals[0], totals[5], totals[7]
@@ -185,13 +186,13 @@ class FlowWindows(StatefulProcessor):
         if held[1] == 0 or index != held[0]:
             self._close(key, state, out)
             return (session, session_up, *totals)
-        return (session, session_up, *_joined(tuple(held), totals))
+        return (session, session_up, *joined(tuple(held), totals))
 
     def _close(self, key, state, out) -> None:
         if state[3] > 0:
             out.append((*key, *state, None))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """Close the window of a flow that went silent; keep its identity."""
         if not self._open.exists():
             return
@@ -203,14 +204,13 @@ class FlowWindows(StatefulProcessor):
             emptied = list(state)
             emptied[3:7] = [0, 0, 0, 0]
             self._open.update(tuple(emptied))
-        if out:
-            yield pd.DataFrame(out, columns=_WINDOW_NAMES)
+        yield from (_WINDOW_ROW(*row) for row in out)
 
     def close(self) -> None:
         """Nothing to release."""
 
 
-def _oriented(rows: DataFrame) -> DataFrame:
+def oriented(rows: DataFrame) -> DataFrame:
     """Window rows with connection and outgoing totals from the session's orientation."""
     up = F.col("session_up")
 
@@ -264,15 +264,15 @@ def stream_windows(
         combined = combined.withColumn(
             "event_time", F.timestamp_seconds("last_seconds")
         ).withWatermark("event_time", silent_after)
-    rows = combined.groupBy(*_KEYS).transformWithStateInPandas(
+    rows = combined.groupBy(*KEYS).transformWithState(
         statefulProcessor=FlowWindows(
             window_seconds, stale_after_seconds, silent_after is not None
         ),
-        outputStructType=T._parse_datatype_string(_WINDOW_ROWS),
+        outputStructType=_WINDOW_ROWS,
         outputMode="append",
         timeMode="none" if silent_after is None else "eventTime",
     )
-    return _oriented(rows)
+    return oriented(rows)
 
 
 def finish_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -287,7 +287,7 @@ def finish_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
         .option("stateVarName", "open")
         .load()
     )
-    return _oriented(
+    return oriented(
         state.select("key.*", "value.*")
         .where(F.col("packets") > 0)
         .withColumn("fault", F.lit(None).cast("string"))

@@ -18,6 +18,10 @@ MINIMUM = 5
 ACTIVITY = 21_600.0
 STALE = 432_000.0
 MAX_FLOWS = 3
+# Short windows for the live capture clock, so that flows come and go.
+CLOCK_WINDOW = 21_600.0
+CLOCK_STALE = 43_200.0
+CLOCK_FLOWS = 3
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -129,7 +133,9 @@ indexed AS (
 windowed AS (
   SELECT *, (sec - origin) - window_index * {WINDOW}::DOUBLE AS off FROM indexed)"""
 
-SESSIONS_SQL = f"""{PACKETS_SQL},
+def sessions_sql(stale: float) -> str:
+    """Packets in flow sessions that end after ``stale`` idle seconds."""
+    return f"""{PACKETS_SQL},
 oriented AS (
   SELECT *,
     CASE WHEN src < dst OR (src = dst AND sport <= dport)
@@ -137,7 +143,7 @@ oriented AS (
       ELSE dst || '|' || dport || '|' || src || '|' || sport END || '|' || proto AS flow_key
   FROM packets),
 opened AS (
-  SELECT *, CASE WHEN sec - lag(sec) OVER f < {STALE}::DOUBLE THEN 0 ELSE 1 END AS opens
+  SELECT *, CASE WHEN sec - lag(sec) OVER f < {stale}::DOUBLE THEN 0 ELSE 1 END AS opens
   FROM oriented WINDOW f AS (PARTITION BY capture_id, flow_key ORDER BY packet_number)),
 numbered AS (
   SELECT *, CAST(sum(opens) OVER (PARTITION BY capture_id, flow_key ORDER BY packet_number
@@ -154,3 +160,7 @@ sessions AS (
     any_value(c_src) AS src, any_value(c_sport) AS sport, any_value(c_dst) AS dst,
     any_value(c_dport) AS dport, any_value(proto) AS proto
   FROM in_sessions GROUP BY capture_id, flow_key, session)"""
+
+
+SESSIONS_SQL = sessions_sql(STALE)
+CLOCK_SESSIONS_SQL = sessions_sql(CLOCK_STALE)

@@ -14,6 +14,10 @@ from flowloom.plans.sessions import EVENTS_SQL
 from flowloom.plans.settings import (
     ACTIVITY,
     BIN,
+    CLOCK_FLOWS,
+    CLOCK_SESSIONS_SQL,
+    CLOCK_STALE,
+    CLOCK_WINDOW,
     MINIMUM,
     PACKETS_SQL,
     SESSIONS_SQL,
@@ -26,7 +30,7 @@ from flowloom.plans.settings import (
 )
 from flowloom.session import scratch_path
 from flowloom.sources.packets import event_packets
-from flowloom.streaming import pipeline
+from flowloom.streaming import captures, event_time, pipeline
 from flowloom.streaming.predictions import PredictionRun
 
 QUERIES = {}
@@ -106,21 +110,119 @@ FROM packets p JOIN origins USING (capture_id) GROUP BY 1, 2, 3, 4, 5""",
 )
 def stream_count_query(spark: SparkSession, folder: str) -> DataFrame:
     path, checkpoint = scratch_path(spark, "counts"), scratch_path(spark, "stream")
-    counts = pipeline.stream_window_counts(packet_stream(spark, folder), window_seconds=WINDOW)
-    pipeline.run_handler(
-        counts, pipeline.table_replacer(path), checkpoint, output_mode="complete"
+    counts = event_time.settled_counts(
+        packet_stream(spark, folder), window_seconds=WINDOW, delay="1 hour"
     )
-    return spark.read.parquet(path).select(
-        "capture_id",
-        F.col("flow_key.low.address").alias("low_address"),
-        F.col("flow_key.high.address").alias("high_address"),
-        F.col("flow_key.proto").alias("proto"),
-        "window_index",
-        "packet_count",
-        "bytes",
-        "low_to_high_bytes",
-        "first_seconds",
-        "last_seconds",
+    pipeline.run_to_table(counts, path, checkpoint)
+    return (
+        spark.read.schema(counts.schema)
+        .parquet(path)
+        .unionByName(event_time.open_counts(spark, checkpoint))
+        .drop("low_port", "high_port", "fault", "late_packet_number")
+    )
+
+
+# Packets behind this one come in a second delivery, with one in fifty of those before.
+_DELIVERED = "(packet_number % 50 <> 7 AND packet_number < (SELECT 0.9 * max(packet_number) FROM packets))"
+_DELAY = 86_400.0
+
+
+@_register(
+    "stream_late_packets",
+    f"""WITH {PACKETS_SQL}, {_ORIGINS_SQL},
+timed AS (
+  SELECT p.*, {_DELIVERED} AS early,
+    CAST(floor((sec - origin) / {CLOCK_WINDOW}::DOUBLE) AS BIGINT) AS window_index,
+    ceil((origin + (floor((sec - origin) / {CLOCK_WINDOW}::DOUBLE) + 1) * {CLOCK_WINDOW}::DOUBLE)
+      * 1000) AS ends
+  FROM packets p JOIN origins USING (capture_id)),
+judged AS (
+  SELECT *, NOT early AND ends <= (SELECT floor(max(sec) * 1000) - {_DELAY} * 1000 FROM timed
+    WHERE early) AS late FROM timed)
+SELECT capture_id, least(src, dst) AS low_address, greatest(src, dst) AS high_address, proto,
+  window_index, CASE WHEN late THEN 'late_packet' END AS fault,
+  CASE WHEN late THEN packet_number END AS late_packet_number,
+  count(*) AS packet_count, CAST(sum(size) AS BIGINT) AS bytes,
+  CAST(coalesce(sum(size) FILTER (WHERE src < dst), 0) AS BIGINT) AS low_to_high_bytes,
+  min(sec) AS first_seconds, max(sec) AS last_seconds
+FROM judged GROUP BY 1, 2, 3, 4, 5, 6, 7""",
+)
+def stream_late_query(spark: SparkSession, folder: str) -> DataFrame:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", pipeline.STATE_STORE)
+    path, checkpoint = scratch_path(spark, "late"), scratch_path(spark, "stream")
+    source = scratch_path(spark, "deliveries")
+    rows = packets(spark, folder)
+    early = (F.col("packet_number") % 50 != 7) & (
+        F.col("packet_number") < F.lit(0.9) * F.lit(rows.agg(F.max("packet_number")).first()[0])
+    )
+    origins = capture_origins(rows)
+    for delivery in (rows.where(early), rows.where(~early)):
+        delivery.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source).join(origins, "capture_id")
+        counts = event_time.settled_counts(
+            stream, window_seconds=CLOCK_WINDOW, delay=f"{int(_DELAY)} seconds"
+        )
+        pipeline.run_to_table(counts, path, checkpoint)
+    return (
+        spark.read.schema(counts.schema)
+        .parquet(path)
+        .unionByName(event_time.open_counts(spark, checkpoint))
+        .drop("low_port", "high_port")
+    )
+
+
+@_register(
+    "stream_capture_windows",
+    f"""WITH {CLOCK_SESSIONS_SQL}, {_ORIGINS_SQL},
+opens AS (
+  SELECT capture_id, first_packet, first_seconds FROM sessions),
+spans AS (
+  SELECT o.capture_id, o.first_packet, count(h.first_packet) AS held
+  FROM opens o LEFT JOIN sessions h ON h.capture_id = o.capture_id
+    AND h.first_packet < o.first_packet AND o.first_seconds - h.last_seconds < {CLOCK_STALE}::DOUBLE
+  GROUP BY 1, 2),
+refused AS (
+  SELECT capture_id, min(first_packet) AS refused FROM spans WHERE held >= {CLOCK_FLOWS} GROUP BY 1),
+cut AS (
+  SELECT s.*, CAST(floor((sec - origin) / {CLOCK_WINDOW}::DOUBLE) AS BIGINT) AS window_index,
+    first_value(packet_number) OVER (PARTITION BY s.capture_id, flow_key, session
+      ORDER BY packet_number) AS opened
+  FROM in_sessions s JOIN origins USING (capture_id)),
+ends AS (
+  SELECT r.capture_id, refused, window_index AS last_window
+  FROM refused r JOIN cut c ON c.capture_id = r.capture_id AND c.packet_number = r.refused)
+SELECT c.capture_id, any_value(c_src) AS src, any_value(c_sport) AS sport, any_value(c_dst) AS dst,
+  any_value(c_dport) AS dport, any_value(proto) AS proto, opened AS session, window_index,
+  count(*) AS packet_count,
+  count(*) FILTER (WHERE src = c_src AND sport = c_sport) AS outgoing_packets,
+  CAST(sum(size) AS BIGINT) AS bytes,
+  CAST(coalesce(sum(size) FILTER (WHERE src = c_src AND sport = c_sport), 0) AS BIGINT)
+    AS outgoing_bytes,
+  min(packet_number) AS first_packet, max(packet_number) AS last_packet,
+  min(sec) AS first_seconds, max(sec) AS last_seconds, max(refused) AS refused_packet_number
+FROM cut c LEFT JOIN ends e ON e.capture_id = c.capture_id
+WHERE refused IS NULL OR (packet_number < refused AND window_index < last_window)
+GROUP BY c.capture_id, flow_key, opened, window_index""",
+)
+def stream_capture_query(spark: SparkSession, folder: str) -> DataFrame:
+    path, checkpoint = scratch_path(spark, "windows"), scratch_path(spark, "stream")
+    closed = captures.stream_capture_windows(
+        packet_stream(spark, folder),
+        window_seconds=CLOCK_WINDOW,
+        stale_after_seconds=CLOCK_STALE,
+        max_tracked_flows=CLOCK_FLOWS,
+    )
+    pipeline.run_to_table(closed, path, checkpoint)
+    whole = spark.read.schema(closed.schema).parquet(path).unionByName(
+        captures.finish_captures(spark, checkpoint)
+    )
+    refused = captures.capture_counters(spark, checkpoint).select(
+        "capture_id", "refused_packet_number"
+    )
+    return (
+        whole.where(F.col("fault").isNull())
+        .select("capture_id", "connection.*", *closed.columns[2:-1])
+        .join(refused, "capture_id")
     )
 
 

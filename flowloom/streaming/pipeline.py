@@ -294,27 +294,6 @@ def finish_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def stream_window_counts(packets: DataFrame, *, window_seconds: float) -> DataFrame:
-    """Running packet and byte totals per flow key and window, as an aggregation."""
-    check_window(window_seconds)
-    width = F.lit(float(window_seconds))
-    index = F.floor((F.col("timestamp_seconds") - F.col("capture_origin")) / width)
-    return (
-        with_flow_key(packets)
-        .withColumn("window_index", index.cast("bigint"))
-        .groupBy("capture_id", "flow_key", "window_index")
-        .agg(
-            F.count(F.lit(1)).alias("packet_count"),
-            F.sum("size").alias("bytes"),
-            F.sum(F.when(F.col("low_to_high"), F.col("size")).otherwise(0)).alias(
-                "low_to_high_bytes"
-            ),
-            F.min("timestamp_seconds").alias("first_seconds"),
-            F.max("timestamp_seconds").alias("last_seconds"),
-        )
-    )
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Drain what a stream's source holds into a Parquet table and stop."""
     query = (
@@ -347,15 +326,6 @@ def run_handler(
     return query
 
 
-def table_replacer(path: str) -> EventHandler:
-    """Handler of complete-mode results: each batch replaces the table."""
-
-    def handle(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    return handle
-
-
 def event_appender(table: str, order: str) -> EventHandler:
     """Handler that appends events of a batch with their run sequence.
 

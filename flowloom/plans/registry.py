@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowloom.plans import contracts, published, roles, scoring, sessions, streams, traffic, vectors
-
-_MODULES = (traffic, vectors, roles, scoring, sessions, streams, published, contracts)
+from flowloom.plans import (
+    contracts,
+    files,
+    published,
+    roles,
+    scoring,
+    sessions,
+    streams,
+    traffic,
+    vectors,
+)
+
+_MODULES = (traffic, vectors, roles, scoring, sessions, streams, published, contracts, files)
 
 
 def queries() -> dict:

@@ -1,9 +1,8 @@
 """Classic capture files as packet rows.
 
-A capture file has no split points, so reading goes in two steps.  The index
-step walks the record headers of each file, skipping record bodies, and notes
-byte ranges of bounded size.  The read step spreads the ranges over the cluster
-and reads each on its own, so one huge file is decoded by many tasks.
+Reading goes in two steps.  The index step finds byte ranges of whole records inside
+the files (``sources.ranges``).  The read step spreads the ranges over the cluster and
+reads each on its own.  Both split a huge file among many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,130 +17,14 @@ from flowloom.functions.labels import capture_labels
 from flowloom.operators.validate import packet_violations
 from flowloom.session import cut_lineage
 from flowloom.sources.frames import SIZE_RELEASE_COMPATIBLE, decode_ipv4
+from flowloom.sources.ranges import RANGE_BYTES, RECORD_HEADER, index_captures, open_file
 
-# File magic numbers, header sizes and the raw-IP link type.
-_MAGIC = {
-    b"\xa1\xb2\xc3\xd4": (">", 1_000_000),
-    b"\xd4\xc3\xb2\xa1": ("<", 1_000_000),
-    b"\xa1\xb2\x3c\x4d": (">", 1_000_000_000),
-    b"\x4d\x3c\xb2\xa1": ("<", 1_000_000_000),
-}
-_FILE_HEADER, _RECORD_HEADER = 24, 16
-RAW_IP_LINK = 101
-
-# Bytes of one capture file that are decoded together, bytes fetched at a time
-# while record headers are walked, and bytes of ranges for one task.
-RANGE_BYTES = 64 * 1024 * 1024
-PIECE_BYTES = 4 * 1024 * 1024
+# Bytes of ranges for one task.
 TASK_BYTES = 256 * 1024 * 1024
 
-_INDEX = (
-    "path string, start bigint, stop bigint, first_packet bigint, byte_order string, "
-    "ticks bigint, fault string"
-)
 _RECORDS = "path string, packet_number bigint, timestamp_seconds double, raw binary"
 
 
-def open_file(path: str):
-    """Open a file for random reads on any file system Arrow knows."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = "file://" + path[len("file:") :]
-    if "://" not in path:
-        return fs.LocalFileSystem().open_input_file(path)
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
-
-
-def _pieces(stream):
-    """A function that gives bytes at a place, fetched in large pieces."""
-    base, held = 0, b""
-
-    def at(place: int, size: int) -> bytes:
-        nonlocal base, held
-        if place < base or place + size > base + len(held):
-            stream.seek(place)
-            base, held = place, stream.read(max(size, PIECE_BYTES))
-        return held[place - base : place - base + size]
-
-    return at
-
-
-def _index_file(path: str, range_bytes: int):
-    """Byte ranges of one file, or a single row naming its fault."""
-
-    def fault(name: str, at: int = 0, number: int = 1):
-        return (path, at, at, number, "", 0, name)
-
-    with open_file(path) as stream:
-        length = stream.size()
-        piece = _pieces(stream)
-        header = piece(0, _FILE_HEADER)
-        if len(header) < _FILE_HEADER or header[:4] not in _MAGIC:
-            yield fault("file_header")
-            return
-        order, ticks = _MAGIC[header[:4]]
-        if struct.unpack(order + "I", header[20:24])[0] != RAW_IP_LINK:
-            yield fault("link_type")
-            return
-        start = at = _FILE_HEADER
-        first = number = 1
-        while at < length:
-            record = piece(at, _RECORD_HEADER)
-            size = struct.unpack(order + "I", record[8:12])[0] if len(record) == 16 else 0
-            if len(record) < _RECORD_HEADER or at + _RECORD_HEADER + size > length:
-                yield fault("truncated_record", at, number)
-                break
-            at += _RECORD_HEADER + size
-            number += 1
-            if at - start >= range_bytes:
-                yield (path, start, at, first, order, ticks, None)
-                start, first = at, number
-        if at > start:
-            yield (path, start, at, first, order, ticks, None)
-
-
-def index_captures(
-    spark: SparkSession, path: str, *, range_bytes: int = RANGE_BYTES
-) -> DataFrame:
-    """Byte ranges and faults of all capture files under a path."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.[pP][cC][aA][pP]")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
-    )
-
-    def walk(batches):
-        for batch in batches:
-            for name in batch.column("path").to_pylist():
-                rows = list(_index_file(name, range_bytes))
-                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(columns[0], pa.string()),
-                        pa.array(columns[1], pa.int64()),
-                        pa.array(columns[2], pa.int64()),
-                        pa.array(columns[3], pa.int64()),
-                        pa.array(columns[4], pa.string()),
-                        pa.array(columns[5], pa.int64()),
-                        pa.array(columns[6], pa.string()),
-                    ],
-                    names=[
-                        "path",
-                        "start",
-                        "stop",
-                        "first_packet",
-                        "byte_order",
-                        "ticks",
-                        "fault",
-                    ],
-                )
-
-    parts = spark.sparkContext.defaultParallelism
-    return files.repartition(parts).mapInArrow(walk, _INDEX)
-
-
 def capture_records(index: DataFrame, *, records_per_batch: int = 8192) -> DataFrame:
     """Timestamped raw records of the indexed ranges, numbered per file."""
 
@@ -157,7 +39,7 @@ def capture_records(index: DataFrame, *, records_per_batch: int = 8192) -> DataF
                     number, place = row["first_packet"], 0
                     while place < len(held):
                         seconds, part, size, _ = header.unpack_from(held, place)
-                        place += _RECORD_HEADER
+                        place += RECORD_HEADER
                         if row["ticks"] == 1_000_000:
                             at = seconds + part / 1e6
                         else:

@@ -28,7 +28,7 @@ from flowloom.sources.captures import read_captures, valid_packets
 QUERIES = {}
 SQL = {}
 
-RANGE = 8192
+RANGE = 16_384
 # A little-endian record header with a 16-byte body, over and over.
 _FAKE = "00F15365" + "05000000" + "10000000" + "10000000" + "45" * 16
 

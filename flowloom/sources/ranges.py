@@ -3,14 +3,13 @@
 A capture file has no marks between its records: where one ends follows from the
 header it starts with.  A file is cut into slices of equal length all the same.  Each
 slice proposes a place where a record starts: the first one from which a chain of
-``CHAIN`` sound headers follows.  From there its records are walked to the first one
-that starts behind the slice, which gives the slice an entry, an exit and a count.
-Slices are stitched by comparing each entry with the exit before it.  Where they
-agree from the start of the file on, the proposals were right.  Where they don't, the
-slice is walked again from the exit before it, so bodies that imitate headers cost a
-second look and fool nobody.  A round mends at least the first wrong slice of every
-file, a record that covers many slices is mended at once, and a record that reaches
-beyond the file ends it.
+``CHAIN`` sound headers follows.  A walk over the records from an entry to the first
+one that starts behind the slice gives an exit and a count.  The exit is an entry of
+the slice it lies in; where that slice was not walked from there, it is, and so on.  Walks that start wrongly, in a body that imitates headers,
+soon run into right ones or end, and cost a second look; a record that covers many
+slices leads past them at once.  The walks that follow from the first record on are
+the file's, whatever was proposed, and a file is done when they reach its end; a
+record that reaches beyond the file ends it.
 """
 
 from __future__ import annotations
@@ -168,22 +167,19 @@ def _read_headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _walk_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entry, exit and records of slices; a slice without an entry proposes one."""
+    """Walks of slices; a slice without an entry proposes one, if it can."""
     for batch in batches:
         rows = []
         for row in batch.to_pylist():
-            entry, exit_, records, cut = row["entry"], None, 0, None
-            if entry is not None and entry >= row["high"]:
-                exit_ = entry
-            else:
-                with open_file(row["path"]) as stream:
-                    piece = _pieces(stream)
-                    shape = (row["length"], row["byte_order"])
-                    if entry is None:
-                        entry = proposed_entry(piece, row["low"], row["high"], *shape, row["ticks"])
-                    if entry is not None:
-                        exit_, records, cut = walk(piece, entry, row["high"], *shape)
-            rows.append({**row, "entry": entry, "exit": exit_, "records": records, "cut": cut})
+            with open_file(row["path"]) as stream:
+                piece, entry = _pieces(stream), row["entry"]
+                shape = (row["length"], row["byte_order"])
+                if entry is None:
+                    entry = proposed_entry(piece, row["low"], row["high"], *shape, row["ticks"])
+                if entry is not None:
+                    exit_, records, cut = walk(piece, entry, row["high"], *shape)
+                    found = {"entry": entry, "exit": exit_, "records": records, "cut": cut}
+                    rows.append({**row, **found})
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [
@@ -194,21 +190,20 @@ def _walk_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _stitched(slices: DataFrame) -> DataFrame:
-    """Slices with the exit before them, and the first wrong slice of their file."""
-    order = Window.partitionBy("path").orderBy("slice")
-    before = F.lag("exit").over(order)
-    marked = slices.withColumn(
-        "given", F.when(F.col("slice") == 0, F.lit(FILE_HEADER)).otherwise(before)
-    )
-    # Behind a file's end a slice has no entry and hands the end on.
-    over = (F.col("given") == ENDED) & (F.col("exit") == ENDED) & F.col("entry").isNull()
-    agrees = F.col("entry").eqNullSafe(F.col("given")) | F.coalesce(over, F.lit(False))
-    marked = marked.withColumn("wrong", ~agrees)
-    bad = marked.where("wrong").groupBy("path").agg(
-        F.min("slice").alias("first_wrong"), F.min_by("given", "slice").alias("reached")
-    )
-    return marked.join(bad, "path", "left")
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of walks sorted by file and entry, those that follow from the first record."""
+    path, wanted = None, FILE_HEADER
+    for batch in batches:
+        kept = []
+        columns = (batch.column(n).to_pylist() for n in ("path", "entry", "exit"))
+        for n, (own, entry, exit_) in enumerate(zip(*columns, strict=True)):
+            if own != path:
+                path, wanted = own, FILE_HEADER
+            if entry == wanted:
+                kept.append(n)
+                wanted = exit_
+        if kept:
+            yield batch.take(pa.array(kept))
 
 
 def index_captures(
@@ -224,58 +219,48 @@ def index_captures(
     )
     parts = spark.sparkContext.defaultParallelism
     files = cut_lineage(listed.repartition(parts).mapInArrow(_read_headers, _FILES))
+    sound = files.where("fault IS NULL")
     width = F.lit(range_bytes).cast("bigint")
-    span = F.greatest(F.col("length") - FILE_HEADER, F.lit(0))
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(span / width) - 1, F.lit(0)))
-    cut = files.where("fault IS NULL").withColumn("slice", F.explode(numbers))
-    low = F.col("slice") * width + FILE_HEADER
-    nothing = F.lit(None).cast("bigint")
-    cut = cut.select(
-        "path",
-        "slice",
-        low.alias("low"),
-        F.least(low + width, F.col("length")).alias("high"),
-        "length",
-        "byte_order",
-        "ticks",
-        F.when(F.col("slice") == 0, F.lit(FILE_HEADER).cast("bigint")).alias("entry"),
-        nothing.alias("exit"),
-        nothing.alias("records"),
-        nothing.alias("cut"),
-    )
-    slices = cut_lineage(_spread(cut).mapInArrow(_walk_slices, _SLICE))
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        """Slices to walk, of rows with ``slice`` and ``entry``."""
+        low = F.col("slice") * width + FILE_HEADER
+        nothing = F.lit(None).cast("bigint")
+        bounds = {
+            "low": low,
+            "high": F.least(low + width, F.col("length")),
+            "exit": nothing,
+            "records": nothing,
+            "cut": nothing,
+        }
+        parts = spark.sparkContext.defaultParallelism * 4
+        return rows.withColumns(bounds).select(*_SLICE_NAMES).repartition(parts, "path", "slice")
+
+    last = F.ceil((F.col("length") - FILE_HEADER) / width).cast("bigint") - 1
+    numbers = F.sequence(F.lit(0).cast("bigint"), last)
+    first = F.when(F.col("slice") == 0, F.lit(FILE_HEADER).cast("bigint"))
+    begun = sound.where(F.col("length") > FILE_HEADER).withColumn("slice", F.explode(numbers))
+    walks = cut_lineage(sliced(begun.withColumn("entry", first)).mapInArrow(_walk_slices, _SLICE))
     while True:
-        seen = _stitched(slices)
-        wrong = seen.where("wrong").count()
-        if not wrong:
-            break
-        # Behind the first wrong slice: one that ends before the place reached holds
-        # no start of a record, and nothing follows where the file has ended.
-        reached, behind = F.col("reached"), F.col("slice") >= F.col("first_wrong")
-        ended = behind & (reached == ENDED)
-        passed = behind & (reached >= F.col("high"))
-        starts = behind & (reached >= F.col("low")) & (reached < F.col("high"))
-        again = (F.col("wrong") | starts) & ~ended & ~passed
-        entry = F.when(starts, reached).otherwise(F.col("given"))
-        settled = seen.where(~F.coalesce(again, F.lit(False))).select(
-            *_SLICE_NAMES[:7],
-            F.when(ended, nothing).when(passed, reached).otherwise(F.col("entry")).alias("entry"),
-            F.when(ended, F.lit(ENDED)).when(passed, reached).otherwise(F.col("exit")).alias("exit"),
-            F.when(ended | passed, F.lit(0)).otherwise(F.col("records")).cast("bigint").alias("records"),
-            F.when(ended | passed, nothing).otherwise(F.col("cut")).alias("cut"),
+        chains = cut_lineage(
+            walks.repartition("path")
+            .sortWithinPartitions("path", "entry")
+            .mapInArrow(_chained, _SLICE)
+        )
+        whole = F.max(F.col("exit") == F.col("length")) | F.max(F.col("exit") == ENDED)
+        whole = chains.groupBy("path").agg(whole.alias("whole")).where("whole").select("path")
+        exits = (
+            walks.where((F.col("exit") >= 0) & (F.col("exit") < F.col("length")))
+            .join(whole, "path", "left_anti")
+            .select("path", "length", "byte_order", "ticks", F.col("exit").alias("entry"))
+            .distinct()
+            .join(walks.select("path", "entry"), ["path", "entry"], "left_anti")
+            .withColumn("slice", F.floor((F.col("entry") - FILE_HEADER) / width).cast("bigint"))
         )
-        # An unknown or ended place before a slice is mended with the slices before it.
-        known = F.when(entry >= 0, entry)
-        redo = seen.where(F.coalesce(again, F.lit(False))).withColumn("entry", known)
-        walked = _spread(redo.select(*_SLICE_NAMES)).mapInArrow(_walk_slices, _SLICE)
-        slices = cut_lineage(settled.unionByName(walked))
-    return _ranges(files, slices)
-
-
-def _spread(slices: DataFrame) -> DataFrame:
-    """Slices dealt evenly over the cluster."""
-    parts = slices.sparkSession.sparkContext.defaultParallelism * 4
-    return slices.repartition(parts, "path", "slice")
+        fresh = cut_lineage(sliced(exits).mapInArrow(_walk_slices, _SLICE))
+        if fresh.isEmpty():
+            return _ranges(files, chains)
+        walks = walks.unionByName(fresh)
 
 
 def _ranges(files: DataFrame, slices: DataFrame) -> DataFrame:

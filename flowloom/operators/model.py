@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowloom.functions.ordered import number_sorted
+from flowloom.functions.permute import permuted
 from flowloom.functions.vectors import argmax, log_sum_exp, softmax
 from flowloom.schemas import SUPPORT_PER_CLASS, SUPPORT_SEED
 from flowloom.session import cut_lineage
@@ -183,48 +184,49 @@ def sample_episodes(
 ) -> DataFrame:
     """Seeded episodes: ``n`` support rows per class and ``m`` other query rows.
 
-    Rows are put into a seeded random order once, per class and as a whole.  An
-    episode takes neighbours in those orders from places drawn for it (running
-    on from the start at the end), so the work is one row per drawn row and not
-    one per row and episode.  Returns ``episode, role, row_id, label``.
+    Rows are numbered once, per class and as a whole.  The k-th row an episode draws
+    from a class is the place to which a permutation keyed by seed, episode and class
+    takes k, so episodes draw without replacement and independently of each other,
+    and the work is one row per drawn row.  Query rows are drawn from all rows in the
+    same way, with as many to spare as support rows can fall among them.  A class
+    smaller than wanted is drawn whole.  Returns ``episode, role, row_id, label``.
     """
     if min(episodes, support_per_class, queries) < 1 or seed < 0:
         raise ModelError("episodes, support and queries are one or more, the seed is not negative")
     spark = rows.sparkSession
     placed = rows.select(
         F.col(row_id).alias("row_id"), F.col(label).alias("label"), F.lit(0).alias("_all")
-    ).withColumn("_draw", _draw(seed, "row_id"))
-    placed = number_sorted(placed, ["label"], ["_draw", "row_id"], "_in_class")
-    # Another order for queries, so that they do not follow the support's.
-    placed = placed.withColumn("_draw", _draw(seed + 1, "row_id"))
-    placed = cut_lineage(number_sorted(placed, ["_all"], ["_draw", "row_id"], "_in_all"))
-    drawn = spark.range(1, episodes + 1).select(F.col("id").cast("int").alias("episode"))
+    )
+    sizes = cut_lineage(placed.groupBy("label").agg(F.count(F.lit(1)).alias("_size")))
+    totals = sizes.agg(F.count(F.lit(1)), F.sum("_size")).first()
+    if not totals[0]:
+        raise ModelError("there are no rows to draw episodes from")
+    placed = number_sorted(placed, ["label"], ["row_id"], "_in_class")
+    placed = cut_lineage(number_sorted(placed, ["_all"], ["row_id"], "_in_all"))
+    numbers = F.explode(F.sequence(F.lit(1), F.lit(episodes)))
 
-    def places(sizes: dict, key: str, wanted: int, column: str) -> DataFrame:
-        """One row per episode, key and drawn place; ``sizes`` has a row per class."""
-        pairs = [F.struct(F.lit(k).alias(key), F.lit(n).alias("_size")) for k, n in sizes.items()]
-        start = F.conv(F.substring(_draw(seed, "episode", key), 1, 8), 16, 10).cast("bigint")
+    def places(keyed: DataFrame, key: Column, wanted: int, column: str) -> DataFrame:
+        """Rows of episodes with a ``_size``, once for each place they draw."""
         steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(wanted), F.col("_size")) - 1)
+        name = F.concat_ws(":", F.lit(str(seed)), F.col("episode").cast("string"), key)
         return (
-            drawn.withColumn("_key", F.explode(F.array(*pairs)))
-            .select("episode", "_key.*")
-            .withColumn("_step", F.explode(steps))
-            .withColumn(column, F.pmod(start + F.col("_step"), F.col("_size")) + 1)
+            keyed.withColumn("_step", F.explode(steps))
+            .withColumn(column, permuted(F.col("_step"), F.col("_size"), name) + 1)
             .drop("_size")
         )
 
-    counted = placed.groupBy("label").agg(F.count(F.lit(1)).alias("_size")).collect()
-    if not counted:
-        raise ModelError("there are no rows to draw episodes from")
-    classes = {r["label"]: r["_size"] for r in counted}
+    classes = sizes.withColumn("episode", numbers).repartition("label", "episode")
+    own = F.concat(F.lit("class"), F.col("label").cast("string"))
     support = cut_lineage(
-        places(classes, "label", support_per_class, "_in_class")
+        places(classes, own, support_per_class, "_in_class")
         .join(placed, ["label", "_in_class"])
         .select("episode", F.lit("support").alias("role"), "row_id", "label")
     )
-    enough = queries + support_per_class * len(classes)
+    enough = queries + support_per_class * totals[0]
+    drawn = spark.range(1, episodes + 1).select(F.col("id").cast("int").alias("episode"))
+    whole = drawn.withColumn("_size", F.lit(totals[1]).cast("bigint"))
     others = (
-        places({0: sum(classes.values())}, "_all", enough, "_in_all")
+        places(whole, F.lit("all"), enough, "_in_all")
         .join(placed.drop("_all"), "_in_all")
         .join(support.select("episode", "row_id"), ["episode", "row_id"], "left_anti")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.permute import permuted_sql
 from flowloom.operators import density, evaluate, model, splits
 from flowloom.operators.summary import range_summary
 from flowloom.plans.pipelines import calibrate, score_rows
@@ -150,25 +151,32 @@ _EPISODES, _SUPPORT, _QUERIES = 3, 4, 64
 @_register(
     "episode_sample",
     f"""WITH placed AS (
-  SELECT vec_id AS row_id, label, count(*) OVER (PARTITION BY label) AS size,
-    count(*) OVER () AS total, row_number() OVER (PARTITION BY label
-      ORDER BY sha256('{SUPPORT_SEED}:' || vec_id), vec_id) AS in_class,
-    row_number() OVER (ORDER BY sha256('{SUPPORT_SEED + 1}:' || vec_id), vec_id) AS in_all
+  SELECT vec_id AS row_id, label,
+    row_number() OVER (PARTITION BY label ORDER BY vec_id) AS in_class,
+    row_number() OVER (ORDER BY vec_id) AS in_all
   FROM embeddings),
+sizes AS (SELECT label, count(*) AS size FROM placed GROUP BY label),
+total AS (SELECT sum(size)::BIGINT AS size, count(*) * {_SUPPORT} + {_QUERIES} AS enough FROM sizes),
 e AS (SELECT unnest(range(1, {_EPISODES + 1}))::INTEGER AS episode),
-held AS (
-  SELECT *, ('0x' || substr(sha256('{SUPPORT_SEED}:' || episode || ':' || label), 1, 8))::BIGINT
-      AS class_start,
-    ('0x' || substr(sha256('{SUPPORT_SEED}:' || episode || ':0'), 1, 8))::BIGINT AS start
-  FROM placed, e),
-stepped AS (
-  SELECT *, (in_class - 1 - class_start % size + size) % size AS class_step,
-    (in_all - 1 - start % total + total) % total AS step FROM held),
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY episode ORDER BY step) AS q
-  FROM stepped WHERE class_step >= {_SUPPORT})
-SELECT episode, 'support' AS role, row_id, label FROM stepped WHERE class_step < {_SUPPORT}
-UNION ALL SELECT episode, 'query', row_id, label FROM ranked WHERE q <= {_QUERIES}""",
+class_draws AS (
+  SELECT *, '{SUPPORT_SEED}:' || episode || ':class' || label AS key
+  FROM (SELECT *, unnest(range(0, least({_SUPPORT}, size))) AS step FROM sizes, e)),
+support AS (
+  SELECT episode, row_id, d.label
+  FROM (SELECT *, {permuted_sql("step", "size", "key")} + 1 AS place FROM class_draws) d
+  JOIN placed p ON p.label = d.label AND in_class = place),
+all_draws AS (
+  SELECT *, '{SUPPORT_SEED}:' || episode || ':all' AS key
+  FROM (SELECT *, unnest(range(0, least(enough, size))) AS step FROM total, e)),
+others AS (
+  SELECT d.episode, p.row_id, p.label,
+    row_number() OVER (PARTITION BY d.episode ORDER BY step) AS rank
+  FROM (SELECT *, {permuted_sql("step", "size", "key")} + 1 AS place FROM all_draws) d
+  JOIN placed p ON in_all = place
+  LEFT JOIN support s ON s.episode = d.episode AND s.row_id = p.row_id
+  WHERE s.row_id IS NULL)
+SELECT episode, 'support' AS role, row_id, label FROM support
+UNION ALL SELECT episode, 'query', row_id, label FROM others WHERE rank <= {_QUERIES}""",
 )
 def episode_query(spark: SparkSession, folder: str) -> DataFrame:
     return model.sample_episodes(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import density, evaluate, features, model, validate, windows
+from flowloom.operators import density, evaluate, features, model, moments, validate, windows
 from flowloom.plans import frozen as store
 from flowloom.plans.pipelines import calibrate, evaluate_scores, score_rows
 from flowloom.plans.scoring import (
@@ -29,8 +29,9 @@ from flowloom.plans.settings import (
     as_float,
     assigned,
     float_sql,
+    role_sql,
 )
-from flowloom.schemas import CATEGORIES, FEATURE_COLUMNS
+from flowloom.schemas import CATEGORIES, FEATURE_COLUMNS, SUPPORT_PER_CLASS
 from flowloom.session import cut_lineage, scratch_path
 from flowloom.sinks import tables
 
@@ -111,16 +112,13 @@ def contract_query(spark: SparkSession, folder: str) -> DataFrame:
     found = found.unionByName(
         _counted("state", validate.state_violations(state, scaler, maximum_support=5, dimension=D))
     )
-    cells = spark.range(2).select(F.col("id").cast("int").alias("i")).withColumn(
-        "j", F.explode(F.array(F.lit(0), F.lit(1)))
-    )
-    cells = cells.withColumn(
-        "label", F.explode(F.array(*[F.lit(str(v)) for v in LABELS]))
-    ).withColumn(
+    summed = moments.class_moments(role(rows(spark, folder), "train"), "embedding", D, ["label"])
+    i, j, label = F.col("i"), F.col("j"), F.col("label")
+    cells = moments.covariance_cells(summed, D).withColumn(
         "covariance",
-        F.when((F.col("label") == "0") & (F.col("i") < F.col("j")), F.lit(9.0))
-        .when((F.col("label") == "5") & (F.col("i") == 0) & (F.col("j") == 0), F.lit(-1.0))
-        .otherwise(F.lit(1.0)),
+        F.when((label == "0") & (i == 0) & (j == 1), F.lit(9.0))
+        .when((label == "5") & (i == 0) & (j == 0), F.lit(-1.0))
+        .otherwise(F.col("covariance")),
     )
     found = found.unionByName(_counted("geometry", validate.geometry_violations(cells)))
     samples = role(_own_distance(spark, folder), "calibration")
@@ -178,10 +176,19 @@ def mahalanobis_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @_register(
     "frozen_model",
-    "SELECT count(*) AS rows, 0::BIGINT AS different FROM embeddings",
+    f"""WITH {ROWS_SQL}, c AS (
+  SELECT label, least(count(DISTINCT row_id), {SUPPORT_PER_CLASS}) AS n FROM cells
+  WHERE partition = 'train' GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS support,
+  round((sum(n * least(n - 1, {D})) - sum(n) * least(sum(n) - 1, {D}))::DOUBLE, 2) AS total,
+  (SELECT count(*) FROM embeddings) AS rows, 0::BIGINT AS different FROM c""",
 )
 def frozen_query(spark: SparkSession, folder: str) -> DataFrame:
-    """A model that was stored and loaded scores every row as before."""
+    """A model that was stored and loaded scores every row as before.
+
+    Over the rows it was fitted on, the loaded model's squared distances sum to rows
+    times rank, so the sum of their relative distances is known.
+    """
     every = rows(spark, folder)
     fitted = calibrate(
         role(every, "train"), role(every, "calibration"), LABELS, vector="embedding", dimension=D
@@ -198,10 +205,73 @@ def frozen_query(spark: SparkSession, folder: str) -> DataFrame:
         for m, name in ((fitted, "before"), (loaded, "after"))
     )
     both = before.join(after, "row_id", "full")
-    return both.agg(
+    counted = both.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("different"),
     )
+    scored = model.with_relative_mahalanobis(
+        model.select_support(role(every, "train")),
+        loaded.geometry,
+        vector="embedding",
+        label="label",
+    )
+    fitted_on = scored.agg(
+        F.count(F.lit(1)).alias("support"),
+        F.round(F.sum("relative_distance"), 2).alias("total"),
+    )
+    one = F.lit(1)
+    return (
+        fitted_on.withColumn("_one", one).join(counted.withColumn("_one", one), "_one").drop("_one")
+    )
+
+
+@_register(
+    "moments_without_capture",
+    f"""WITH {ROWS_SQL},
+twofold AS (
+  SELECT row_id, label::VARCHAR AS label, i, x FROM cells
+  WHERE partition = 'train' AND row_id % 5 <> 3
+  UNION ALL SELECT row_id, '*', i, x FROM cells WHERE partition = 'train' AND row_id % 5 <> 3),
+centred AS (SELECT *, x - avg(x) OVER (PARTITION BY label, i) AS r FROM twofold)
+SELECT a.label, count(*) AS n, a.i, b.i AS j, round(avg(a.r * b.r), 6) + 0.0 AS covariance
+FROM centred a JOIN centred b ON a.label = b.label AND a.row_id = b.row_id
+GROUP BY a.label, a.i, b.i""",
+)
+def moments_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Moments per class and capture, merged and with one capture taken away again."""
+    training = role(rows(spark, folder), "train").withColumn(
+        "capture_id", F.pmod("row_id", F.lit(5)).cast("string")
+    )
+    apart = cut_lineage(moments.class_moments(training, "embedding", D))
+    rest = moments.without(
+        moments.merged(apart), moments.merged(apart.where("capture_id = '3'"))
+    )
+    cells = moments.covariance_cells(moments.with_global(rest), D)
+    return cells.withColumn("covariance", F.round("covariance", 6) + F.lit(0.0))
+
+
+@_register(
+    "support_violations",
+    f"""WITH e AS (SELECT vec_id, label, {role_sql("vec_id::VARCHAR")} AS part FROM embeddings),
+gone AS (SELECT DISTINCT label FROM e WHERE part = 'train' AND label = 2 AND vec_id % 3 = 0)
+SELECT rule, label::VARCHAR AS key FROM gone,
+  (SELECT unnest(['support_count', 'mean', 'variance', 'moments', 'moment_count']) AS rule)""",
+)
+def support_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored class state that the support rows no longer reproduce is reported."""
+    training = role(rows(spark, folder), "train")
+    left = training.where("label <> 2 OR row_id % 3 <> 0")
+    stored, rebuilt = (
+        moments.class_moments(part, "embedding", D, ["label"]) for part in (training, left)
+    )
+    found = moments.moment_violations(stored, rebuilt).withColumn(
+        "rule", F.when(F.col("rule") == "support_count", "moment_count").otherwise(F.col("rule"))
+    )
+    statistics_found = validate.support_violations(
+        model.class_statistics(training, "embedding", D),
+        model.class_statistics(left, "embedding", D),
+    )
+    return found.select("rule", "key").unionByName(statistics_found.select("rule", "key"))
 
 
 @_register(

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import model
+from flowloom.operators import model, moments
 from flowloom.operators.validate import (
     binding_violations,
     geometry_violations,
@@ -33,15 +33,6 @@ def _layer_rows(layers) -> list[tuple]:
 def save_model(frozen: FrozenModel, folder: str, provenance: Mapping[str, str]) -> None:
     """Write every state table of a model and the hashes it was made from."""
     spark = frozen.statistics.sparkSession
-    names = [str(v) for v in frozen.labels] + [model.GLOBAL_LABEL]
-    geometry = spark.createDataFrame(
-        [
-            (n, [float(v) for v in frozen.geometry[n][0]],
-             [[float(v) for v in row] for row in frozen.geometry[n][1]])
-            for n in names
-        ],
-        "label string, mean array<double>, precision array<array<double>>",
-    )
     kind = frozen.statistics.schema["label"].dataType.simpleString()
     labels = spark.createDataFrame(
         [(i, v) for i, v in enumerate(frozen.labels)], f"position int, label {kind}"
@@ -56,7 +47,7 @@ def save_model(frozen: FrozenModel, folder: str, provenance: Mapping[str, str])
     tables: dict[str, DataFrame] = {
         "labels": labels,
         "statistics": frozen.statistics,
-        "geometry": geometry,
+        "moments": frozen.moments,
         "densities": frozen.densities,
         "density_blocks": frozen.blocks,
         "layers": layers,
@@ -77,7 +68,11 @@ def load_model(
     maximum_support: int = SUPPORT_PER_CLASS,
     expected: Mapping[str, str] | None = None,
 ) -> FrozenModel:
-    """Read a model back under its contract: shapes, finite values, provenance."""
+    """Read a model back under its contract: shapes, finite values, provenance.
+
+    Precisions are not stored: they are rebuilt from the stored moments, whose
+    covariances are checked.
+    """
     statistics = read_state(spark, folder, "statistics")
     labels = tuple(
         r["label"] for r in read_state(spark, folder, "labels").orderBy("position").collect()
@@ -100,17 +95,9 @@ def load_model(
         require_none(
             binding_violations(read_state(spark, folder, "provenance"), wanted), "model binding"
         )
-    stored = read_state(spark, folder, "geometry")
-    cells = stored.select("label", F.posexplode("precision").alias("i", "row")).select(
-        "label", "i", F.posexplode("row").alias("j", "covariance")
-    )
-    # Rounding may differ across the diagonal; compare at float precision.
-    rounded = cells.withColumn("covariance", F.col("covariance").cast("float"))
-    require_none(geometry_violations(rounded), "model geometry")
-    geometry = {
-        r["label"]: (np.asarray(r["mean"]), np.asarray(r["precision"]))
-        for r in stored.collect()
-    }
+    stored = read_state(spark, folder, "moments")
+    cells = moments.covariance_cells(moments.with_global(stored), dimension)
+    require_none(geometry_violations(cells), "model geometry")
     layers = [
         (np.asarray(r["weight"], dtype=np.float32), np.asarray(r["bias"], dtype=np.float32))
         for r in read_state(spark, folder, "layers").orderBy("layer").collect()
@@ -121,8 +108,9 @@ def load_model(
         scaler=scaler,
         layers=layers or None,
         statistics=statistics,
+        moments=stored,
         classes=model.class_state(statistics, labels),
-        geometry=geometry,
+        geometry=moments.geometry_of(stored, labels, dimension),
         densities=read_state(spark, folder, "densities"),
         blocks=read_state(spark, folder, "density_blocks"),
     )

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.operators import density, evaluate, model, splits
+from flowloom.operators import density, evaluate, model, moments, splits
 from flowloom.operators.features import feature_vectors
 from flowloom.operators.flows import assign_flows
 from flowloom.operators.validate import require_none, support_violations
@@ -67,6 +67,7 @@ class FrozenModel:
     scaler: DataFrame | None
     layers: Layers | None
     statistics: DataFrame
+    moments: DataFrame
     classes: model.ClassState
     geometry: Mapping[str, tuple[np.ndarray, np.ndarray]]
     densities: DataFrame
@@ -117,12 +118,9 @@ def calibrate(
     statistics = model.class_statistics(support, vector, dimension)
     if stored_statistics is not None:
         require_none(support_violations(stored_statistics, statistics), "support statistics")
-    geometry = model.read_geometry(
-        model.global_statistics(support, vector, dimension),
-        model.class_covariance(support, vector, dimension),
-        labels,
-        dimension,
-    )
+    # One row per class, read here, by the store and by its checks.
+    summed = cut_lineage(moments.class_moments(support, vector, dimension, ["label"]))
+    geometry = moments.geometry_of(summed, labels, dimension)
     samples = model.with_relative_mahalanobis(
         prepare(calibration, scaler, layers, vector), geometry, vector=vector, label="label"
     ).select("label", "relative_distance")
@@ -136,6 +134,7 @@ def calibrate(
         scaler=scaler,
         layers=layers,
         statistics=statistics,
+        moments=summed,
         classes=model.class_state(statistics, labels),
         geometry=geometry,
         densities=densities,

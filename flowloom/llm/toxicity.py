@@ -9,8 +9,9 @@ is enough, and all windows of every whole text are scored.
 
 Training, in NumPy by backpropagation through time, uses at most
 ``most_toxic`` toxic and ``most_clean`` clean labelled documents, drawn by a hash
-of their ids; of each it takes at most ``most_words`` words at a hashed place.
-At first every window carries its document's label; then only the highest window
+of their ids.  Toxic documents are read whole, since the passage that made them toxic
+can stand anywhere; of a clean one, which is clean throughout, at most ``most_words``
+words at a hashed place are used.  At first every window carries its document's label; then only the highest window
 of a toxic document does, and the highest ones of clean documents come up more
 often than others.  A fifth of the sample is kept apart to turn logits
 into probabilities at the labels' own ratio.
@@ -151,6 +152,53 @@ class ToxicReader:
         pooled = self._attended(both, known)[2]
         return self.arrays["output"] @ pooled + self.arrays["bias"]
 
+    def window_logits(
+        self, rows: np.ndarray, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray
+    ) -> np.ndarray:
+        """Logits of windows of a row of word numbers, without what training keeps.
+
+        ``rows`` holds the input gates word by word (``[word, 2, 3H]``), and
+        ``lengths`` must not grow.  Steps work in place on arrays that stay in cache.
+        """
+        size, width, span = self.layer.hidden, len(starts), int(lengths[0])
+        heads = np.vstack([self.arrays["look"], self.arrays["output"]])
+        states = np.zeros((2 * size, span, width), np.float32)
+        state = np.zeros((2, size, width), np.float32)
+        gates = np.empty((2, 3 * size, width), np.float32)
+        inner = np.empty_like(gates)
+        number = np.arange(width)
+        for t in range(span):
+            n = int(np.searchsorted(-lengths, -t))  # windows longer than t
+            back = lengths[:n] - 1 - t
+            gates[0][:, :n] = rows[flat[starts[:n] + t], 0].T
+            gates[1][:, :n] = rows[flat[starts[:n] + back], 1].T
+            now = state[:, :, :n]
+            np.matmul(self.layer.weights, now, out=inner[:, :, :n])
+            opens = gates[:, : 2 * size, :n]
+            opens += inner[:, : 2 * size, :n]
+            opens *= 0.5
+            np.tanh(opens, out=opens)
+            opens *= 0.5
+            opens += 0.5
+            fresh = inner[:, 2 * size :, :n]
+            fresh *= opens[:, :size]
+            fresh += gates[:, 2 * size :, :n]
+            np.tanh(fresh, out=fresh)
+            now -= fresh
+            now *= opens[:, size:]
+            now += fresh
+            states[:size, t, :n] = now[0]
+            if back[-1] == back[0]:
+                states[size:, back[0], :n] = now[1]
+            else:
+                states[size:, back, number[:n]] = now[1]
+        seen = (heads @ states.reshape(2 * size, -1)).reshape(-1, span, width)
+        force = np.tensordot(self.arrays["focus"], np.tanh(seen[:-1]), 1)
+        force[np.arange(span)[:, None] >= lengths] = -1e9
+        force -= force.max(0)
+        np.exp(force, out=force)
+        return (force * seen[-1]).sum(0) / force.sum(0) + self.arrays["bias"]
+
     def slopes(self, inputs, numbers, known, target, weight) -> dict[str, np.ndarray]:
         """Slopes of the weighted mean logistic loss of windows."""
         size = self.layer.hidden
@@ -286,16 +334,15 @@ class Scorer:
 
     def _forget(self) -> None:
         self.numbers = defaultdict(itertools.count().__next__)
-        self.gates = np.zeros((2, 3 * self.model.layer.hidden, 0), np.float32)
+        self.gates = np.zeros((0, 2, 3 * self.model.layer.hidden), np.float32)
 
     def _learn(self) -> None:
-        known = self.gates.shape[2]
-        fresh = list(itertools.islice(self.numbers, known, None))
+        fresh = list(itertools.islice(self.numbers, len(self.gates), None))
         if fresh:
-            new = self.model.all_gates(*word_inputs(fresh))
-            self.gates = np.concatenate([self.gates, new], 2)
+            new = self.model.all_gates(*word_inputs(fresh)).transpose(2, 0, 1)
+            self.gates = np.concatenate([self.gates, new])
 
-    def highest(self, batch: list[bytes], columns: int = 2048) -> np.ndarray:
+    def highest(self, batch: list[bytes], columns: int = 512) -> np.ndarray:
         """Highest window logit of each text; minus infinity without words."""
         if len(self.numbers) > _KEPT_WORDS:
             self._forget()
@@ -314,11 +361,12 @@ class Scorer:
         base = np.cumsum(sizes) - sizes
         starts = base[owner] + nth * STRIDE
         lengths = np.minimum(SPAN, base[owner] + sizes[owner] - starts)
+        logit = np.empty(len(owner))
+        longest = np.argsort(-lengths, kind="stable")
         for at in range(0, len(owner), columns):
-            part = slice(at, at + columns)
-            known = (np.arange(SPAN)[:, None] < lengths[part]).astype(np.float32)
-            places = np.minimum(starts[part] + np.arange(SPAN)[:, None], len(flat) - 1)
-            np.maximum.at(best, owner[part], self.model.logits(self.gates, flat[places], known))
+            part = longest[at : at + columns]
+            logit[part] = self.model.window_logits(self.gates, flat, starts[part], lengths[part])
+        np.maximum.at(best, owner, logit)
         return best
 
 
@@ -350,7 +398,7 @@ def fit(
         (r.doc_id, words_of(r.text.encode()), int(r.label))
         for r in _cropped(texts(docs).join(chosen, "doc_id"), 8 * most_words).toLocalIterator()
     ]
-    rows = sorted((i, words[:most_words], k) for i, words, k in rows if words)
+    rows = sorted((i, words if k else words[:most_words], k) for i, words, k in rows if words)
     if not rows:
         return None
     model = ToxicReader(**shape)
@@ -366,10 +414,12 @@ def fit(
 
 
 def _cropped(rows: DataFrame, most: int) -> DataFrame:
-    """Texts of the sample, longer ones cut at a hashed place."""
+    """Texts of the sample, longer clean ones cut at a hashed place."""
     room = F.greatest(F.length("text") - most, F.lit(0))
     at = F.floor(hash_share(F.col("doc_id"), 8) * (room + 1)).cast("int")
-    return rows.select("doc_id", "label", F.substring(F.col("text"), at + 1, F.lit(most)).alias("text"))
+    cut = F.substring(F.col("text"), at + 1, F.lit(most))
+    whole = F.when(F.col("label") == 0, cut).otherwise(F.col("text"))
+    return rows.select("doc_id", "label", whole.alias("text"))
 
 
 def toxic_scores(docs: DataFrame, model: ToxicReader | None) -> DataFrame:

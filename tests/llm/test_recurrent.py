@@ -169,3 +169,48 @@ def test_awkward_rows(spark):
     assert {r.score for r in toxicity.toxic_scores(docs, None).collect()} == {0.0}
     assert toxicity.toxic_scores(cases.empty(spark), reader).count() == 0
     assert toxicity.fit(docs, own.limit(0)) is None
+
+
+def _plain_logit(model, gates, numbers):
+    """A window's logit by loops over words and directions, in double precision."""
+    size = model.layer.hidden
+    a = {k: v.astype(float) for k, v in model.arrays.items()}
+    states = np.zeros((len(numbers), 2 * size))
+    for d, order in ((0, range(len(numbers))), (1, reversed(range(len(numbers))))):
+        state = np.zeros(size)
+        for t in order:
+            given = gates[d][:, numbers[t]].astype(float)
+            inner = model.layer.weights[d].astype(float) @ state
+            reset, update = (
+                1 / (1 + np.exp(-(given[k * size : (k + 1) * size] + inner[k * size : (k + 1) * size])))
+                for k in (0, 1)
+            )
+            fresh = np.tanh(given[2 * size :] + reset * inner[2 * size :])
+            state = update * state + (1 - update) * fresh
+            states[t, d * size : (d + 1) * size] = state
+    force = np.array([a["focus"] @ np.tanh(a["look"] @ s) for s in states])
+    shares = np.exp(force - force.max())
+    return float(a["output"] @ (shares / shares.sum() @ states) + a["bias"][0])
+
+
+def test_window_logits_equal_a_plain_network():
+    model = toxicity.ToxicReader(seed=11)
+    words = [b"w%d" % n for n in range(50)]
+    gates = model.all_gates(*toxicity.word_inputs(words))
+    draw = np.random.default_rng(5)
+    flat = draw.integers(0, 50, 400)
+    lengths = np.sort(np.concatenate([draw.integers(1, 33, 40), [32, 32, 1]]))[::-1]
+    starts = draw.integers(0, 360, len(lengths))
+    rows = np.ascontiguousarray(gates.transpose(2, 0, 1))
+    got = model.window_logits(rows, flat, starts, lengths)
+    want = [_plain_logit(model, gates, flat[s : s + n]) for s, n in zip(starts, lengths, strict=True)]
+    assert np.abs(got - want).max() < 1e-5
+    windows = [flat[s : s + n] for s, n in zip(starts, lengths, strict=True)]
+    assert np.abs(model.logits(gates, *toxicity._columns(windows)) - want).max() < 1e-5
+
+
+def test_toxic_training_texts_are_read_whole(spark):
+    long = " ".join(f"word{n}" for n in range(3000))
+    rows = spark.createDataFrame([(1, long, 1), (2, long, 0)], "doc_id long, text string, label int")
+    sizes = {r.label: len(r.text) for r in toxicity._cropped(rows, 8000).collect()}
+    assert sizes == {1: len(long), 0: 8000}

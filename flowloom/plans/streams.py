@@ -29,8 +29,10 @@ from flowloom.plans.settings import (
     table,
 )
 from flowloom.session import scratch_path
+from flowloom.plans.traffic import event_frames
+from flowloom.sources.frames import decode_frames
 from flowloom.sources.packets import event_packets
-from flowloom.streaming import captures, event_time, pipeline
+from flowloom.streaming import captures, counters, event_time, pipeline
 from flowloom.streaming.predictions import PredictionRun
 
 QUERIES = {}
@@ -245,6 +247,42 @@ def stream_event_query(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(path).select("run_id", "sequence", "payload_json")
 
 
+_STARTS = 3
+
+
+@_register(
+    "stream_frame_counters",
+    f"""WITH s AS (
+  SELECT event_id * {_STARTS} // ((SELECT max(event_id) FROM events) + 1) AS batch_id,
+    CASE WHEN event_id % 19 = 6 THEN 'invalid' WHEN event_id % 11 = 3 THEN 'non_ipv4'
+      WHEN event_id % 13 = 4 OR event_id % 17 = 5 THEN 'invalid' ELSE 'decoded' END AS status
+  FROM events)
+SELECT batch_id::BIGINT AS batch_id, count(*) AS frames_received,
+  count(*) FILTER (WHERE status = 'decoded') AS packets_decoded,
+  count(*) FILTER (WHERE status = 'non_ipv4') AS non_ipv4_frames,
+  count(*) FILTER (WHERE status = 'invalid') AS invalid_frames
+FROM s GROUP BY 1""",
+)
+def stream_counter_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Frames counted while a stream decodes them, over several starts of it."""
+    source, path, checkpoint, log = (
+        scratch_path(spark, n) for n in ("frames", "decoded", "stream", "counters")
+    )
+    rows = table(spark, folder, "events")
+    ids = F.lit(rows.agg(F.max("event_id")).first()[0] + 1)
+    for start in range(_STARTS):
+        part = rows.where(F.floor(F.col("event_id") * _STARTS / ids) == start)
+        event_frames(part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("event_id bigint, frame binary").parquet(source)
+        decoded = counters.observed(decode_frames(stream), "frames", counters.frame_counters())
+        with counters.CounterLog(spark) as kept:
+            pipeline.run_to_table(decoded, path, checkpoint)
+        kept.store(log)
+    found = counters.counted_once(spark.read.parquet(log))
+    names = list(counters.frame_counters())
+    return found.select("batch_id", *(F.col(n).cast("bigint").alias(n) for n in names))
+
+
 def _rate_scorer(rows: DataFrame) -> DataFrame:
     """A scorer of one feature: the byte rate decides the class."""
     rate = F.col("log_bytes_per_sec")

@@ -24,6 +24,7 @@ from flowloom.plans.settings import (
 from flowloom.session import scratch_path
 from flowloom.sinks.captures import write_captures
 from flowloom.sources.captures import read_captures, valid_packets
+from flowloom.sources.content import content_ranges
 
 QUERIES = {}
 SQL = {}
@@ -129,3 +130,34 @@ def capture_feature_query(spark: SparkSession, folder: str) -> DataFrame:
         "packet_count",
         *[F.col(c).cast("double").alias(c) for c in features.FEATURE_COLUMNS],
     )
+
+
+_HASHED = 1000
+
+
+@_register(
+    "content_ranges",
+    f"""WITH {PACKETS_SQL},
+whole AS (
+  SELECT capture_id, string_agg(packet_number || ',' || src || ',' || size || chr(10), ''
+    ORDER BY packet_number) AS content
+  FROM packets GROUP BY 1),
+cut AS (
+  SELECT *, unnest(range(0, CAST(ceil(length(content) / {_HASHED}.0) AS BIGINT))) AS place
+  FROM whole)
+SELECT capture_id, place, sha256(substr(content, place * {_HASHED} + 1, {_HASHED})) AS digest
+FROM cut""",
+)
+def content_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Packets written as text, a file for each capture, hashed in small ranges."""
+    path = scratch_path(spark, "content")
+    line = F.concat_ws(",", F.col("packet_number"), "source_address", F.col("size"))
+    rows = packets(spark, folder).select(
+        F.col("capture_id").alias("capture"), "packet_number", line.alias("value")
+    )
+    rows.repartition("capture").sortWithinPartitions("capture", "packet_number").drop(
+        "packet_number"
+    ).write.partitionBy("capture").text(path)
+    found = content_ranges(spark, path, range_bytes=_HASHED)
+    name = F.regexp_extract("file", "capture=([^/]+)/", 1)
+    return found.select(name.alias("capture_id"), "place", "digest")

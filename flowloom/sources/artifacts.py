@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,45 +23,15 @@ from flowloom.schemas import (
     WINDOW_TABLE_VERSION,
     WINDOWS,
 )
-from flowloom.sources.captures import open_file
-# Bytes hashed at a time.
-_PIECE = 8 * 1024 * 1024
+from flowloom.sources.content import content_ranges, content_tree, tree_root
 
 
 def content_fingerprint(spark: SparkSession, path: str, pattern: str = "part-*") -> str:
-    """SHA-256 over the sorted SHA-256s of a table's part files.
-
-    Each file is hashed in pieces by the task it falls to; only the digests, one
-    per file, are combined.
-    """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path")
-    )
-
-    def digest(batches):
-        for batch in batches:
-            found = []
-            for name in batch.column("path").to_pylist():
-                held = hashlib.sha256()
-                with open_file(name) as stream:
-                    while piece := stream.read(_PIECE):
-                        held.update(piece)
-                found.append(held.hexdigest())
-            yield pa.RecordBatch.from_pydict({"digest": pa.array(found, pa.string())})
-
-    parts = spark.sparkContext.defaultParallelism
-    digests = files.repartition(parts).mapInArrow(digest, "digest string")
-    row = digests.agg(
-        F.sha2(F.concat_ws("", F.array_sort(F.collect_list("digest"))), 256).alias("whole"),
-        F.count(F.lit(1)).alias("files"),
-    ).first()
-    if row["files"] == 0:
+    """Root of the hash tree over a table's part files, in hexadecimal."""
+    root = tree_root(content_tree(content_ranges(spark, path, pattern)))
+    if root is None:
         raise ContractError(f"no part files under {path}")
-    return row["whole"]
+    return root
 
 
 def require_fingerprint(spark: SparkSession, path: str, expected: str) -> str:

@@ -21,6 +21,7 @@ from flowloom.plans.settings import (
     packets,
     table,
 )
+from flowloom.schemas import FEATURE_COLUMNS
 from flowloom.session import scratch_path
 from flowloom.sinks import tables
 from flowloom.sources import artifacts
@@ -134,6 +135,30 @@ def split_manifest_query(spark: SparkSession, folder: str) -> DataFrame:
     return artifacts.read_split_manifest(spark, path)
 
 
+@_register(
+    "partitioned_features",
+    f"""WITH {ROWS_SQL}
+SELECT window_id, capture_id, r.vpn_status, r.application, r.category, partition,
+  {len(FEATURE_COLUMNS)}::INTEGER AS features
+FROM window_rows r JOIN assignments a USING (capture_id)""",
+)
+def partitioned_query(spark: SparkSession, folder: str) -> DataFrame:
+    """Features and a split published, checked row by row and loaded together."""
+    base = scratch_path(spark, "partitioned")
+    vectors = features.feature_vectors(
+        windows.window_packets(assigned(spark, folder), WINDOW),
+        window_seconds=WINDOW,
+        bin_seconds=BIN,
+        activity_timeout=ACTIVITY,
+        minimum_packets=MINIMUM,
+    )
+    feature_path, split_path = f"{base}/features.parquet", f"{base}/split.json"
+    tables.export_features(vectors, feature_path, configuration={"window_seconds": WINDOW})
+    tables.export_split_manifest(assignments(spark, folder), split_path, source_sha256="", seeds=1)
+    loaded = artifacts.load_partitioned_features(spark, feature_path, split_path)
+    return loaded.withColumn("features", F.size("features"))
+
+
 @_register(
     "parsed_events",
     """SELECT user_id::VARCHAR AS run_id,

@@ -10,6 +10,7 @@ from flowloom.operators.splits import join_partitions, partition_faults
 from flowloom.operators.validate import (
     ContractError,
     capture_group_violations,
+    feature_violations,
     require_none,
     require_schema,
 )
@@ -109,6 +110,7 @@ def load_partitioned_features(
     """Feature rows with their partition and one feature array, fully checked."""
     features = read_features(spark, features_path)
     assignments = read_split_manifest(spark, manifest_path)
+    require_none(feature_violations(features), "feature rows")
     require_none(partition_faults(features, assignments), "partitioned features")
     return join_partitions(features, assignments).select(
         "window_id",

@@ -263,3 +263,24 @@ def test_message_stream_feeds_packets(spark):
     got = spark.read.parquet(path)
     assert got.count() == 30
     assert got.exceptAll(rows.select(*got.columns)).count() == 0
+
+
+@pytest.mark.parametrize("files, step", [(3, 1), (20, 1), (20, -1)])
+def test_event_table_may_be_a_folder_of_files(spark, files, step):
+    """Also of more files than a trigger takes, written against the order of events."""
+    from flowloom.plans import streams
+
+    whole = "/root/testdata/sf0.001"
+    folder = scratch_path(spark, "tables")
+    events = spark.read.parquet(f"{whole}/events.parquet")
+    share = -(-events.count() // files)
+    for part in range(files)[::step]:
+        rows = events.where(F.floor(F.col("event_id") / share) == part).coalesce(1)
+        rows.write.mode("append").parquet(f"{folder}/events.parquet")
+    stored = spark.read.parquet(f"{folder}/events.parquet")
+    # Files in the order of their events still come sixteen at a time.
+    assert streams.files_per_trigger(stored) == (20 if step < 0 else 16)
+    got = streams.stream_window_query(spark, folder)
+    wanted = streams.stream_window_query(spark, whole)
+    assert got.count() == wanted.count() > 0
+    assert got.exceptAll(wanted).count() == 0

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from bisect import insort
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -271,8 +273,9 @@ def search_split(
     Moves go on until none lowers the objective; ``rounds`` stops sooner.
     Deterministic for the groups and counts given.  It reports the objective it
     reached and never claims the optimum; :class:`SplitError` when no seed gives
-    full coverage.  A move is graded from the incumbent's cell totals, so a
-    round costs one row per capture and target, not one assignment per move.
+    full coverage.  A move is graded from the incumbent's cell totals, once for all
+    captures of the same labels, windows and partition; a round reads the captures
+    only where it needs more of them by name.
     """
     groups = cut_lineage(groups)  # one row per capture, read by every seed and move
     graded = grade_splits(
@@ -284,20 +287,40 @@ def search_split(
     ).first()["seed"]
     if best is None:
         raise SplitError(f"no candidate of {seeds} seeds meets the coverage constraints")
-    current = candidate_splits(groups, seeds=1, first_seed=best).drop("seed")
+    start = cut_lineage(candidate_splits(groups, seeds=1, first_seed=best).drop("seed"))
+    holdings = _Holdings(_cells(start, []).collect())  # label groups x partitions only
+    members = _Members.of(start)
+    moved: dict[str, str] = {}
     for done in itertools.count():
-        moved = {} if done == rounds else _improving_moves(current, minimum_category_windows)
-        if not moved:
+        if done == rounds:
             break
-        if done % 8 == 7:
-            current = cut_lineage(current)
-        target = F.element_at(_texts(moved), F.col("capture_id"))
-        current = current.withColumn("partition", F.coalesce(target, F.col("partition")))
-    return current
-
-
-def _texts(found: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(v) for pair in found.items() for v in pair])
+        if members is None:
+            best_moves = _best_moves(
+                _with_moves(start, moved), holdings.cells(), minimum_category_windows, MOST_MOVES
+            )
+        else:
+            best_moves = members.best_moves(holdings, minimum_category_windows, MOST_MOVES)
+        taken = _improving_moves(holdings, best_moves, minimum_category_windows)
+        if not taken:
+            break
+        moved |= {move["capture_id"]: move["target"] for move in taken}
+        if members is not None:
+            members.apply(taken)
+    return _with_moves(start, moved)
+
+
+def _with_moves(start: DataFrame, moved: Mapping[str, str]) -> DataFrame:
+    """The assignment after moves."""
+    if not moved:
+        return start
+    targets = start.sparkSession.createDataFrame(
+        list(moved.items()), "capture_id string, _target string"
+    )
+    return start.join(F.broadcast(targets), "capture_id", "left").select(
+        "capture_id",
+        F.coalesce("_target", "partition").alias("partition"),
+        *[c for c in start.columns if c not in ("capture_id", "partition")],
+    )
 
 
 class _Holdings:
@@ -349,6 +372,46 @@ class _Holdings:
             self.at(kind, values[kind], source)[0] > 1 for kind in needed
         )
 
+    def cells(self) -> list[dict]:
+        """The held amounts as rows."""
+        names = ("kind", "value", "partition", "captures", "windows")
+        return [dict(zip(names, (*at, *held), strict=True)) for at, held in self.held.items()]
+
+    def gains(
+        self, kinds: list[tuple], minimum_category_windows: int
+    ) -> list[tuple[float, int, str]]:
+        """Gain, kind and target of the moves that help and keep coverage, best first.
+
+        The sums are those of :meth:`gain` in the same order, over all kinds at once.
+        """
+        names = ("vpn_status", "application", "category", "windows", "partition")
+        moves = [dict(zip(names, kind, strict=True)) for kind in kinds]
+        kept = [i for i, m in enumerate(moves) if self.covered_after(m, minimum_category_windows)]
+        if not kept:
+            return []
+        moves = [moves[i] for i in kept]
+        values = [self._values(move) for move in moves]
+        windows = np.array([float(move["windows"]) for move in moves])
+        sources = np.array([move["partition"] for move in moves])
+        found = []
+        for target in PARTITIONS:
+            change = np.zeros(len(moves))
+            for (kind, name), importance in _IMPORTANCE.items():
+                measure = 0 if name == "captures" else 1
+                size = 1.0 if measure == 0 else windows
+                total = np.array([float(self.whole[kind, v[kind]][measure]) for v in values])
+                for ends, sign in ((sources, -1), ([target] * len(moves), 1)):
+                    held = np.array(
+                        [self.at(kind, v[kind], p)[measure] for v, p in zip(values, ends, strict=True)],
+                        dtype=float,
+                    )
+                    wanted = total * np.array([SPLIT_FRACTIONS[p] for p in ends])
+                    moved = np.abs(held + sign * size - wanted) - np.abs(held - wanted)
+                    change += importance / total * moved
+            helps = (change < -1e-9) & (sources != target)
+            found += [(float(change[i]), kept[i], target) for i in np.flatnonzero(helps)]
+        return sorted(found)
+
     def apply(self, move) -> None:
         for kind, value in self._values(move).items():
             for partition, sign in ((move["partition"], -1), (move["target"], 1)):
@@ -357,25 +420,151 @@ class _Holdings:
                 held[1] += sign * move["windows"]
 
 
-def _improving_moves(
-    current: DataFrame, minimum_category_windows: int, most: int = 256
-) -> dict[str, str]:
+def _improving_moves(holdings: _Holdings, moves: list, minimum_category_windows: int) -> list:
     """Moves that lower the objective one after another, keeping coverage.
 
-    The best ``most`` single moves come from the table; each is graded again
-    after those before it, so only moves that still help are taken.  The result
-    is empty only when no single move helps.
+    Each is graded again after those before it, so only moves that still help are
+    taken, and the holdings follow.  Of the best single moves the first always helps.
     """
-    cells = _cells(current, []).collect()  # label groups x partitions only
-    holdings = _Holdings(cells)
-    moved: dict[str, str] = {}
-    for move in _best_moves(current, cells, minimum_category_windows, most):
-        if move["capture_id"] in moved or holdings.gain(move) >= -1e-9:
+    taken: dict[str, object] = {}
+    for move in moves:
+        if move["capture_id"] in taken or holdings.gain(move) >= -1e-9:
             continue
         if holdings.covered_after(move, minimum_category_windows):
             holdings.apply(move)
-            moved[move["capture_id"]] = move["target"]
-    return moved
+            taken[move["capture_id"]] = move
+    return list(taken.values())
+
+
+#: Moves graded in a round, and kinds of captures whose moves are graded together.
+MOST_MOVES = 256
+MOST_KINDS = 100_000
+
+
+class _Members:
+    """Captures by kind: labels, windows and partition.
+
+    Captures of a kind have the same moves with the same gains, so a round grades one
+    move per kind and target.  Which captures they are is asked of the start table by
+    kind, the smallest ids first and only as many as rounds use.
+    """
+
+    _TRAITS = ("vpn_status", "application", "category", "windows")
+
+    def __init__(self, start: DataFrame, counts: list):
+        self._start = start
+        self._count = {tuple(r)[:-1]: r["count"] for r in counts}
+        self._first: dict[tuple, list[str]] = {}  # smallest ids of a kind at the start
+        self._left: dict[tuple, set[str]] = {}
+        self._come: dict[tuple, list[str]] = {}
+
+    @classmethod
+    def of(cls, start: DataFrame) -> _Members | None:
+        """The kinds of a start table; none where there are too many to hold."""
+        counts = start.groupBy(*cls._TRAITS, "partition").count()
+        rows = counts.limit(MOST_KINDS + 1).collect()
+        return None if len(rows) > MOST_KINDS else cls(start, rows)
+
+    def _ask(self, kinds: list[tuple], most: int) -> None:
+        """Read the smallest ids of kinds whose known ones do not reach ``most``."""
+        wanted: dict[int, list[tuple]] = {}
+        for kind in kinds:
+            known, gone = self._first.get(kind, []), self._left.get(kind, ())
+            whole = self._count.get(kind, 0)
+            if len(known) < whole and len(known) - len(gone) < most:
+                depth = 1 << (most + len(gone) - 1).bit_length() + 1
+                wanted.setdefault(depth, []).append(kind)
+        spark, by = self._start.sparkSession, [*self._TRAITS, "partition"]
+        schema = self._start.select(*by).schema
+        for depth, some in wanted.items():
+            asked = spark.createDataFrame(some, schema)
+            same = [self._start[c].eqNullSafe(asked[c]) for c in by]
+            ranked = Window.partitionBy(*by).orderBy("capture_id")
+            rows = (
+                self._start.join(F.broadcast(asked), same, "left_semi")
+                .withColumn("_rank", F.row_number().over(ranked))
+                .where(F.col("_rank") <= depth)
+                .select(*by, "capture_id")
+                .collect()
+            )
+            for kind in some:
+                self._first[kind] = []
+            for row in rows:
+                self._first[tuple(row)[:-1]].append(row["capture_id"])
+            for kind in some:
+                self._first[kind].sort()
+
+    def _smallest(self, kind: tuple, most: int) -> list[str]:
+        """The smallest ids a kind has now."""
+        known, gone = self._first.get(kind, []), self._left.get(kind, ())
+        here = list(itertools.islice((c for c in known if c not in gone), most))
+        return sorted([*here, *self._come.get(kind, [])[:most]])[:most]
+
+    def best_moves(self, holdings: _Holdings, minimum_category_windows: int, most: int) -> list:
+        """As :func:`_best_moves`, by gain, capture and target."""
+        kinds = [k for k in {**self._count, **self._come} if self._size(k)]
+        graded = holdings.gains(kinds, minimum_category_windows)
+        # As many kinds as may be needed now, and as many again for the rounds to come.
+        ahead, held = [], 0
+        for _, at, _ in graded:
+            ahead.append(kinds[at])
+            held += self._size(kinds[at])
+            if held >= 16 * most:
+                break
+        short = {
+            kinds[at] for _, at, _ in self._reach(graded, kinds, most) if self._short(kinds[at], most)
+        }
+        if short:
+            self._ask(list(dict.fromkeys([*short, *ahead])), most)
+        found: list[dict] = []
+        for gain, same in itertools.groupby(graded, key=lambda g: g[0]):
+            need = most - len(found)
+            if need <= 0:
+                break
+            rows = sorted(
+                (capture, target, kinds[at])
+                for _, at, target in same
+                for capture in self._smallest(kinds[at], need)
+            )
+            found += [
+                dict(zip((*self._TRAITS, "partition"), kind, strict=True))
+                | {"capture_id": capture, "target": target, "gain": gain}
+                for capture, target, kind in rows[:need]
+            ]
+        return found
+
+    def _size(self, kind: tuple) -> int:
+        gone, come = self._left.get(kind, ()), self._come.get(kind, ())
+        return self._count.get(kind, 0) - len(gone) + len(come)
+
+    def _reach(self, graded: list, kinds: list[tuple], most: int):
+        """Moves by kind that hold the best ``most``, whole groups of equal gain."""
+        held = 0
+        for _, same in itertools.groupby(graded, key=lambda g: g[0]):
+            if held >= most:
+                return
+            for move in same:
+                held += self._size(kinds[move[1]])
+                yield move
+
+    def _short(self, kind: tuple, most: int) -> bool:
+        known, gone = self._first.get(kind, ()), self._left.get(kind, ())
+        return len(known) < self._count.get(kind, 0) and len(known) - len(gone) < most
+
+    def apply(self, moves: list) -> None:
+        for move in moves:
+            capture, traits = move["capture_id"], tuple(move[c] for c in self._TRAITS)
+            source, target = (*traits, move["partition"]), (*traits, move["target"])
+            come = self._come.get(source, [])
+            if capture in come:
+                come.remove(capture)
+            else:
+                self._left.setdefault(source, set()).add(capture)
+            # One that comes back to where it started is no newcomer.
+            if capture in self._left.get(target, ()):
+                self._left[target].remove(capture)
+            else:
+                insort(self._come.setdefault(target, []), capture)
 
 
 def _best_moves(

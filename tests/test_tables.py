@@ -6,7 +6,7 @@ import random
 import struct
 
 import pytest
-from flowloom.functions.labels import capture_labels
+from flowloom.functions.labels import capture_labels, category_of
 from flowloom.operators import flows, splits, validate, windows
 from flowloom.operators.features import feature_vectors
 from flowloom.operators.history import LIVE_TRANSITIONS, fail_interrupted, lifecycle_violations
@@ -212,6 +212,29 @@ def test_split_search_meets_every_constraint(spark):
     assert found.exceptAll(again).count() == 0
 
 
+def test_split_search_grades_kinds_of_captures_as_single_captures(spark, monkeypatch):
+    names = F.array(*[F.lit(a) for a in APPLICATIONS])
+    many = spark.range(900).select(
+        F.concat(F.lit("c"), "id").alias("capture_id"),
+        F.when(F.floor(F.col("id") / 10) % 2 == 0, "vpn").otherwise("nonvpn").alias("vpn_status"),
+        F.element_at(names, (F.col("id") % len(APPLICATIONS) + 1).cast("int")).alias("application"),
+        (5 + F.pmod(F.xxhash64("id"), F.lit(12))).alias("windows"),
+    )
+    many = many.withColumn("category", category_of(F.col("application")))
+    found = splits.search_split(many, seeds=2)
+    # Moves are no longer looked up in literals that each round adds to the plan.
+    assert "element_at" not in found._jdf.queryExecution().optimizedPlan().toString()
+    start = splits.search_split(many, seeds=2, rounds=0)
+    assert found.exceptAll(start).count() > 0
+    holdings = splits._Holdings(splits._cells(found, []).collect())
+    assert splits._best_moves(found, holdings.cells(), 20, 1) == []
+    monkeypatch.setattr(splits, "MOST_MOVES", 16)
+    by_kind = splits.search_split(many, seeds=2, rounds=4)
+    monkeypatch.setattr(splits, "MOST_KINDS", 0)
+    singly = splits.search_split(many, seeds=2, rounds=4)
+    assert by_kind.exceptAll(singly).count() == 0 and by_kind.count() == 900
+
+
 def test_infeasible_split_is_refused(spark):
     with pytest.raises(splits.SplitError):
         splits.search_split(groups(spark, without="VOIP"), seeds=8)

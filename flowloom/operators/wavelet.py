@@ -25,6 +25,9 @@ from flowloom.schemas import (
 # Windows transformed together: 32 x 4096 doubles are 1 MB, which stays in cache.
 _BLOCK = 32
 
+# Signals of at most this many filled bins are transformed by runs of equal values.
+_SPARSE_BINS = 192
+
 
 def haar_bands(signals: np.ndarray, *, energy_preserving: bool = True) -> list[np.ndarray]:
     """The 13 bands of each row: deepest approximation, then details, deepest first.
@@ -73,7 +76,13 @@ def band_statistics(signals: np.ndarray) -> np.ndarray:
         entropy[held, band] = np.log2(total[held]) - (
             np.einsum("ij,ij->i", squares[held], logs[held]) / total[held]
         )
-    level_mean = approximation[:, 0]
+    return _finished(result, approximation[:, 0])
+
+
+def _finished(result: np.ndarray, level_mean: np.ndarray) -> np.ndarray:
+    """Statistics with those of the deepest approximation, relative and in logarithms."""
+    samples = SAMPLES_PER_WINDOW
+    energy, entropy, magnitude = (result[:, family, :] for family in range(3))
     energy[:, 0] = samples * level_mean * level_mean
     entropy[:, 0] = np.where(level_mean != 0.0, np.log2(samples), 0.0)
     magnitude[:, 0] = np.abs(level_mean)
@@ -83,6 +92,84 @@ def band_statistics(signals: np.ndarray) -> np.ndarray:
     return result
 
 
+def sparse_band_statistics(
+    rows: int, row: np.ndarray, bins: np.ndarray, sums: np.ndarray
+) -> np.ndarray:
+    """:func:`band_statistics` from the filled bins: their row, bin and byte sum.
+
+    Detail ``j`` at ``i`` is ``2**-j`` times the bytes of the ``s = 2**(j-1)`` bins from
+    ``i`` less those of the ``s`` after them.  A filled bin changes it at three places
+    only, so a band is runs of equal values, at most three for each filled bin and one.
+    The run values are whole numbers and exact; only sums over a band round otherwise.
+    """
+    samples = SAMPLES_PER_WINDOW
+    result = np.zeros((rows, 4, WAVELET_BANDS))
+    energy, entropy, magnitude, deviation = (result[:, family, :] for family in range(4))
+    amounts = sums.astype(np.int64)
+    begins = np.arange(rows, dtype=np.int64) * samples
+    steps = np.concatenate([-amounts, 2 * amounts, -amounts, np.zeros(rows, dtype=np.int64)])
+    back = (bins + 1) % samples  # from a bin back to the last place of the circle
+    for level in range(1, WAVELET_LEVELS + 1):
+        band, half = WAVELET_BANDS - level, 1 << (level - 1)
+        at = [row * samples + (bins + 1 - lag) % samples for lag in (2 * half, half, 0)]
+        places = np.concatenate([*at, begins])
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        owner = places // samples
+        # The steps of a row add up to zero, so one running sum serves all rows.
+        sign = (back < half).astype(np.int64) - ((back >= half) & (back < 2 * half))
+        before = np.zeros(rows, dtype=np.int64)
+        np.add.at(before, row, sign * amounts)
+        value = np.cumsum(steps[order]) + before[owner]
+        length = np.diff(places, append=rows * samples).astype(np.float64)
+        detail = value * 2.0**-level
+        squares = detail * detail
+        logs = np.zeros_like(squares)
+        np.log2(squares, out=logs, where=squares > 0.0)
+        weighted = squares * length
+        total = np.bincount(owner, weighted, rows)
+        energy[:, band] = total
+        magnitude[:, band] = np.bincount(owner, np.abs(detail) * length, rows) / samples
+        deviation[:, band] = np.sqrt(total / samples)
+        held = total > 0.0
+        logged = np.bincount(owner, weighted * logs, rows)
+        entropy[held, band] = np.log2(total[held]) - logged[held] / total[held]
+    whole = np.zeros(rows, dtype=np.int64)
+    np.add.at(whole, row, amounts)
+    return _finished(result, whole / samples)
+
+
+def _filled(
+    bins: pa.ListArray, sums: pa.ListArray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Filled bins of each row: how many, then row, bin and byte sum of each."""
+    lengths = np.asarray(bins.value_lengths().fill_null(0), dtype=np.int64)
+    return (
+        lengths,
+        np.repeat(np.arange(len(bins)), lengths),
+        np.asarray(bins.flatten(), dtype=np.int64),
+        np.asarray(sums.flatten(), dtype=np.int64),
+    )
+
+
+def _signal_statistics(bins: pa.ListArray, sums: pa.ListArray) -> np.ndarray:
+    """Band statistics of signals, by runs where few bins are filled."""
+    lengths, row, places, amounts = _filled(bins, sums)
+    result = np.zeros((len(bins), 4, WAVELET_BANDS))
+    few = lengths <= _SPARSE_BINS
+    number = np.cumsum(few) - 1
+    mine = few[row]
+    result[few] = sparse_band_statistics(
+        int(few.sum()), number[row[mine]], places[mine], amounts[mine]
+    )
+    full = np.flatnonzero(~few)
+    for start in range(0, len(full), _BLOCK):
+        some = full[start : start + _BLOCK]
+        taken = pa.array(some)
+        result[some] = band_statistics(_dense(bins.take(taken), sums.take(taken), 0, len(some)))
+    return result
+
+
 def _dense(bins: pa.ListArray, sums: pa.ListArray, start: int, stop: int) -> np.ndarray:
     """Dense signals of rows ``start:stop`` from sparse bin / sum lists."""
     signals = np.zeros((stop - start, SAMPLES_PER_WINDOW))
@@ -102,10 +189,8 @@ def _wavelet_vector(
     """104 values per window: family, then direction, then band."""
     count = len(in_bins)
     vectors = np.empty((count, 4, 2, WAVELET_BANDS), dtype=np.float32)
-    for start in range(0, count, _BLOCK):
-        stop = min(count, start + _BLOCK)
-        for side, (bins, sums) in enumerate(((in_bins, in_bytes), (out_bins, out_bytes))):
-            vectors[start:stop, :, side, :] = band_statistics(_dense(bins, sums, start, stop))
+    for side, (bins, sums) in enumerate(((in_bins, in_bytes), (out_bins, out_bytes))):
+        vectors[:, :, side, :] = _signal_statistics(bins, sums)
     width = 4 * 2 * WAVELET_BANDS
     return pa.ListArray.from_arrays(
         pa.array(np.arange(0, (count + 1) * width, width, dtype=np.int32)),

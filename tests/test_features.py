@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from flowloom.operators import features, flows, validate, wavelet, windows
 from flowloom.schemas import FEATURE_COLUMNS, FLOW_STATISTIC_COLUMNS, WINDOWS
@@ -219,3 +220,20 @@ def test_window_and_bin_lengths_must_fit():
         features.check_bins(40.96, 0.02)
     with pytest.raises(ValueError):
         windows.check_window(0.0)
+
+
+def test_few_filled_bins_are_transformed_without_the_dense_signal(monkeypatch):
+    draw = np.random.default_rng(3)
+    sizes = [0, 1, 2, 5, 40, wavelet._SPARSE_BINS, wavelet._SPARSE_BINS + 1, 4096]
+    places = [draw.choice(4096, n, replace=False).tolist() for n in sizes] + [[0], [4095, 0, 2048]]
+    amounts = [draw.integers(40, 1500, len(p)).tolist() for p in places]
+    bins, sums = pa.array(places, pa.list_(pa.int32())), pa.array(amounts, pa.list_(pa.int64()))
+    wanted = wavelet.band_statistics(wavelet._dense(bins, sums, 0, len(places)))
+    built = []
+    dense = wavelet._dense
+    monkeypatch.setattr(
+        wavelet, "_dense", lambda b, s, start, stop: built.append(stop) or dense(b, s, start, stop)
+    )
+    got = wavelet._signal_statistics(bins, sums)
+    assert built == [2]  # only the signals with many filled bins
+    np.testing.assert_allclose(got, wanted, rtol=1e-12, atol=1e-11)

@@ -58,7 +58,7 @@ _ARROW = pa.schema(
 #: with others are tokenised as a whole by the library.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-¬®-±´¶-¸»¿-ÖØ-öø-ÿ×÷]*")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+| ")
-_CACHED = 400_000
+_CACHED = 100_000
 
 
 class _Known:

@@ -99,3 +99,15 @@ def test_query_columns(spark):
         ids = whole.encode(texts[r.doc_id], add_special_tokens=False).ids + [2]
         part = np.array(ids[r.start : r.start + r.length], "<u4").tobytes()
         assert zlib.crc32(part) == r.ids_crc32
+
+
+def test_a_worker_forgets_words_beyond_its_tables():
+    tokenizer = packing.WordTokenizer.of(None)
+    texts = [" ".join(f"w{i:x}" for i in range(at, at + 5_000)) for at in range(0, 300_000, 5_000)]
+    first = [ids.tolist() for ids in tokenizer.encode(texts[:1])]
+    most = 0
+    for text in texts:
+        tokenizer.encode([text])
+        most = max(most, len(tokenizer._words.number))
+    assert most <= 105_000
+    assert [ids.tolist() for ids in tokenizer.encode(texts[:1])] == first

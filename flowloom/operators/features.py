@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.functions.labels import capture_labels, window_id
 from flowloom.functions.ordered import chunk_of
@@ -120,31 +123,107 @@ def activity_spans(
     )
 
 
-def _merged(
-    name: str,
-    sources: list[tuple[Column, Column, Column]],
-    least: Column | str,
-    greatest: Column | str,
-) -> list[Column]:
-    """Aggregates that merge moment sets into min, max, mean and deviation.
+#: Fields of an activity span that the merge reads; bounds and gaps are per scope.
+_SPAN_FIELDS = (
+    "_chunk",
+    "_run",
+    *[f"{scope}_{end}" for scope in _SCOPES for end in ("first", "last")],
+    *[f"{scope}_gap_{part}" for scope in _SCOPES for part in ("n", "min", "max", "mean", "m2")],
+)
+#: Sets of gaps and spans whose least, greatest, mean and deviation are features.
+_MERGED = (*[f"{scope}_iat" for scope in _SCOPES], "active", "idle")
+
 
-    Each source is a count, a mean and a centred second moment per row;
-    ``{name}_centre`` must already hold the common mean of the window.
+def _largest_before(owner: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Largest earlier value of the same owner, NaN where there is none.
+
+    Owners come one after another.  Maxima are taken over ranks that lie above those of
+    all owners before, so one running maximum serves them all and values stay exact.
     """
-    centre = F.col(f"{name}_centre")
-    total, spread = F.lit(0), F.lit(0.0)
-    for n, mean, m2 in sources:
-        shifted = mean - centre
-        total = total + F.sum(n)
-        spread = spread + F.coalesce(F.sum(m2 + n * shifted * shifted), F.lit(0.0))
-    return [
-        F.coalesce(F.min(least), F.lit(0.0)).alias(f"{name}_min"),
-        F.coalesce(F.max(greatest), F.lit(0.0)).alias(f"{name}_max"),
-        F.coalesce(F.max(centre), F.lit(0.0)).alias(f"{name}_mean"),
-        F.coalesce(F.sqrt(spread / F.nullif(total, F.lit(0))), F.lit(0.0)).alias(
-            f"{name}_std_dev"
-        ),
-    ]
+    held = np.where(np.isnan(values), -np.inf, values)
+    order = np.argsort(held, kind="stable")
+    rank = np.empty(len(held), np.int64)
+    rank[order] = np.arange(len(held))
+    reached = np.maximum.accumulate(owner * len(held) + rank) - owner * len(held)
+    found = np.full(len(held), np.nan)
+    same = np.flatnonzero(owner[1:] == owner[:-1])
+    found[same + 1] = held[order[reached[same]]]
+    found[np.isneginf(found)] = np.nan
+    return found
+
+
+def merged_spans(spans: pa.ListArray, timeout: float) -> np.ndarray:
+    """``[windows, 5 sets, min, max, mean, deviation]`` of the spans of each window.
+
+    A span's gaps are given as moments; the steps between spans, idle times and the
+    lengths of islands of spans are single values.  Sums run in the order of the spans.
+    """
+    lengths = np.asarray(spans.value_lengths(), dtype=np.int64)
+    rows = spans.flatten()
+    owner = np.repeat(np.arange(len(spans)), lengths)
+    fields = {
+        name: rows.field(name).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        for name in _SPAN_FIELDS[2:]
+    }
+    order = np.lexsort((np.asarray(rows.field("_run")), np.asarray(rows.field("_chunk")), owner))
+    fields = {name: values[order] for name, values in fields.items()}
+    singles = {
+        # Timestamps never decrease, so the largest earlier value is the latest.
+        f"{scope}_iat": fields[f"{scope}_first"] - _largest_before(owner, fields[f"{scope}_last"])
+        for scope in _SCOPES
+    }
+    splits = singles["flow_iat"] > timeout
+    singles["idle"] = np.where(splits, singles["flow_iat"] - timeout, np.nan)
+    starts = np.cumsum(lengths) - lengths
+    begins = splits.copy()
+    begins[starts] = True
+    # An active span may cross chunks: its first row carries the whole length.
+    island = np.flatnonzero(begins)
+    lasting = np.maximum.reduceat(fields["flow_last"], island) - np.minimum.reduceat(
+        fields["flow_first"], island
+    )
+    singles["active"] = np.full(len(owner), np.nan)
+    singles["active"][island] = np.where(lasting > 0.0, lasting, np.nan)
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        return np.bincount(owner, np.where(np.isnan(values), 0.0, values), len(spans))
+
+    result = np.zeros((len(spans), len(_MERGED), 4))
+    for at, name in enumerate(_MERGED):
+        single = singles[name]
+        one = (~np.isnan(single)).astype(np.float64)
+        count, total = summed(one), summed(single)
+        least = greatest = single
+        scope = name.removesuffix("_iat")
+        if scope != name:
+            inner, mean = fields[f"{scope}_gap_n"], fields[f"{scope}_gap_mean"]
+            count = count + summed(inner)
+            total = total + summed(inner * mean)
+            least = np.fmin(single, fields[f"{scope}_gap_min"])
+            greatest = np.fmax(single, fields[f"{scope}_gap_max"])
+        some = count > 0.0
+        centre = np.divide(total, count, out=np.zeros_like(total), where=some)
+        shifted = single - centre[owner]
+        spread = summed(shifted * shifted)
+        if scope != name:
+            shifted = mean - centre[owner]
+            spread = spread + summed(fields[f"{scope}_gap_m2"] + inner * shifted * shifted)
+        result[some, at, 0] = np.fmin.reduceat(least, starts)[some]
+        result[some, at, 1] = np.fmax.reduceat(greatest, starts)[some]
+        result[:, at, 2] = centre
+        result[some, at, 3] = np.sqrt(spread[some] / count[some])
+    return result
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _merged_statistics(spans: pa.Array, timeout: pa.Array) -> pa.Array:
+    """20 values per window: set, then least, greatest, mean and deviation."""
+    width = len(_MERGED) * 4
+    found = merged_spans(spans, timeout[0].as_py())
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(0, (len(spans) + 1) * width, width, dtype=np.int32)),
+        pa.array(found.reshape(-1)),
+    )
 
 
 def _logged(total: Column) -> Column:
@@ -164,80 +243,22 @@ def flow_statistics(
     """The 25 flow statistics of every retained window, as doubles.
 
     Inter-arrival, active / idle and aggregate values are all merged from the
-    rows of :func:`activity_spans`, so the packets are shuffled once.
+    rows of :func:`activity_spans`, so the packets are shuffled once.  A window's
+    spans, of which their text gives the bound, are gathered in one row.
     """
     if byte_total_policy not in (BYTES_RELEASE_COMPATIBLE, BYTES_CORRECTED):
         raise ValueError(f"unknown byte total policy {byte_total_policy!r}")
     spans = activity_spans(packets, activity_timeout=activity_timeout, chunk_rows=chunk_rows)
-    timeout = F.lit(float(activity_timeout))
-    ordered = Window.partitionBy(*WINDOW_KEY).orderBy("_chunk", "_run")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    island = Window.partitionBy(*WINDOW_KEY, "_island")
-    window = Window.partitionBy(*WINDOW_KEY)
-    joined = (
-        spans.withColumns(
-            {
-                # Timestamps never decrease, so the largest earlier value is the latest.
-                f"{scope}_step": F.col(f"{scope}_first") - F.max(f"{scope}_last").over(before)
-                for scope in _SCOPES
-            }
-        )
-        .withColumn("_splits", F.coalesce(F.col("flow_step") > timeout, F.lit(False)))
-        .withColumn("_island", F.sum(F.col("_splits").cast("bigint")).over(upto))
-        # An active span may cross chunks: its first row carries the whole length.
-        .withColumns(
-            {
-                "_began": F.min("flow_first").over(island),
-                "_ended": F.max("flow_last").over(island),
-                "_nth": F.row_number().over(island.orderBy("_chunk", "_run")),
-            }
-        )
-        .withColumns(
-            {
-                "idle": F.when(F.col("_splits"), F.col("flow_step") - timeout),
-                "active": F.when(
-                    (F.col("_nth") == 1) & (F.col("_ended") > F.col("_began")),
-                    F.col("_ended") - F.col("_began"),
-                ),
-            }
-        )
-    )
-    singles = {f"{scope}_iat": f"{scope}_step" for scope in _SCOPES} | {
-        "active": "active",
-        "idle": "idle",
-    }
-    centres: dict[str, Column] = {}
-    merged: list[Column] = []
-    for name, single in singles.items():
-        one = F.col(single).isNotNull().cast("bigint")
-        sources = [(one, F.col(single), F.lit(0.0))]
-        count = F.sum(one).over(window)
-        total = F.coalesce(F.sum(single).over(window), F.lit(0.0))
-        bounds = [single, single]
-        if name.endswith("_iat"):
-            gap = name.removesuffix("_iat") + "_gap"
-            inner = F.col(f"{gap}_n")
-            mean = F.col(f"{gap}_mean")
-            sources.append((inner, mean, F.col(f"{gap}_m2")))
-            count = count + F.sum(inner).over(window)
-            total = total + F.coalesce(F.sum(inner * mean).over(window), F.lit(0.0))
-            bounds = [
-                F.least(F.col(single), F.col(f"{gap}_min")),
-                F.greatest(F.col(single), F.col(f"{gap}_max")),
-            ]
-        centres[f"{name}_centre"] = total / F.nullif(count, F.lit(0))
-        merged += _merged(name, sources, *bounds)
-    joined = joined.withColumns(centres)
     out_packets, out_bytes = F.sum("out_packets"), F.sum("out_bytes")
     in_packets = F.sum("packets") - out_packets
     in_bytes = F.sum("bytes") - out_bytes
     by_count = byte_total_policy == BYTES_RELEASE_COMPATIBLE
+    merged = [f"{name}_{part}" for name in _MERGED for part in ("min", "max", "mean", "std_dev")]
     return (
-        joined.groupBy(*WINDOW_KEY)
+        spans.groupBy(*WINDOW_KEY)
         .agg(
             F.sum("packets").alias("packet_count"),
-            *merged,
+            F.collect_list(F.struct(*_SPAN_FIELDS)).alias("_spans"),
             F.log(F.sum("bytes") / F.lit(float(window_seconds))).alias("log_bytes_per_sec"),
             _logged(out_packets).alias("log_total_outgoing_packets"),
             _logged(in_packets).alias("log_total_incoming_packets"),
@@ -245,6 +266,8 @@ def flow_statistics(
             _logged(in_packets if by_count else in_bytes).alias("log_total_incoming_bytes"),
         )
         .where(retained(F.col("packet_count"), minimum_packets, policy))
+        .withColumn("_merged", _merged_statistics("_spans", F.lit(float(activity_timeout))))
+        .withColumns({name: F.col("_merged")[i] for i, name in enumerate(merged)})
         .select(*WINDOW_KEY, "packet_count", *FLOW_STATISTIC_COLUMNS)
     )
 

@@ -237,3 +237,40 @@ def test_few_filled_bins_are_transformed_without_the_dense_signal(monkeypatch):
     got = wavelet._signal_statistics(bins, sums)
     assert built == [2]  # only the signals with many filled bins
     np.testing.assert_allclose(got, wanted, rtol=1e-12, atol=1e-11)
+
+
+def test_spans_are_merged_without_sorting_them_again(make_packets):
+    assigned = flows.assign_flows(make_packets([(i * 0.5, A, S, i + 1) for i in range(30)]))
+    found = features.flow_statistics(windows.window_packets(assigned))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Window [") == 3  # those that find the runs of a chunk
+
+
+def test_merged_spans_equal_their_gaps_one_by_one():
+    draw = np.random.default_rng(5)
+    rows, wanted = [], []
+    for _ in range(40):
+        at, spans, gaps, seen = 0.0, [], [], None
+        for place in range(int(draw.integers(1, 7))):
+            at += float(draw.uniform(0.1, 9.0))
+            times = at + np.cumsum(draw.uniform(0.0, 0.9, int(draw.integers(1, 5))))
+            at = float(times[-1])
+            steps = np.diff(times)
+            gaps += ([] if seen is None else [times[0] - seen]) + list(steps)
+            seen = at
+            span = {"_chunk": place // 2, "_run": place % 2}
+            for scope in ("out", "flow"):
+                span |= {f"{scope}_first": float(times[0]), f"{scope}_last": at}
+                span |= {f"{scope}_gap_n": len(steps)}
+                if len(steps):
+                    moments = (steps.min(), steps.max(), steps.mean(), len(steps) * steps.var())
+                    for part, value in zip(("min", "max", "mean", "m2"), moments, strict=True):
+                        span[f"{scope}_gap_{part}"] = float(value)
+            spans.append({name: span.get(name) for name in features._SPAN_FIELDS} | {"in_gap_n": 0})
+        rows.append(spans[::-1])
+        wanted.append([min(gaps), max(gaps), np.mean(gaps), np.std(gaps)] if gaps else [0.0] * 4)
+    kinds = {n: pa.int64() if n in ("_chunk", "_run") or n.endswith("_n") else pa.float64()
+             for n in features._SPAN_FIELDS}
+    got = features.merged_spans(pa.array(rows, pa.list_(pa.struct(list(kinds.items())))), 1.0)
+    assert np.allclose(got[:, 0], wanted, atol=1e-12) and np.allclose(got[:, 2], wanted, atol=1e-12)
+    assert not got[:, 1].any()  # no packet came in

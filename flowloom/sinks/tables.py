@@ -56,7 +56,15 @@ def _publish(df: DataFrame, path: str, schema: T.StructType) -> None:
         else F.col(f.name)
         for f in schema
     ]
-    df.select(*required).write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    # Measured values hardly repeat; a dictionary of each such column is built in vain.
+    plain = {
+        f"parquet.enable.dictionary#{f.name}": "false"
+        for f in schema
+        if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+    }
+    df.select(*required).write.mode("errorifexists").options(compression="zstd", **plain).parquet(
+        path
+    )
 
 
 def write_manifest(payload: DataFrame, table: str, **lists: DataFrame) -> None:

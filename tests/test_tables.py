@@ -323,3 +323,17 @@ def test_feature_input_rules(make_packets):
     })
     rules = {r["rule"] for r in validate.feature_input_violations(broken, 10.0, chunk_rows=1).collect()}
     assert rules == {"offset_outside_window", "offset_regression", "direction_value", "window_without_bytes"}
+
+
+def test_float_columns_are_stored_without_dictionaries(spark, make_packets, tmp_path):
+    import pyarrow.parquet as pq
+
+    packets = make_packets([(i * 0.3, (A, 1), (B, 2), 40 + i) for i in range(200)])
+    vectors = feature_vectors(windows.window_packets(flows.assign_flows(packets)))
+    path = tmp_path / "features.parquet"
+    tables.export_features(vectors, str(path), configuration={"window_seconds": 40.96})
+    group = pq.ParquetFile(next(path.glob("part-*"))).metadata.row_group(0)
+    columns = {c.path_in_schema: c for c in map(group.column, range(group.num_columns))}
+    assert not columns["flow_iat_mean"].has_dictionary_page
+    assert columns["capture_id"].has_dictionary_page
+    assert artifacts.read_features(spark, str(path)).count() == vectors.count()

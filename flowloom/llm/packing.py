@@ -26,15 +26,15 @@ import itertools
 import json
 import os
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import partition_number, slices, stored, texts
+from flowloom.llm.common import flat_bytes, partition_number, slices, stored, texts
 
 PIECES = (
     "round int, task long, sequence_id long, offset long, doc_id long, start long, "
@@ -57,40 +57,220 @@ _ARROW = pa.schema(
 #: Characters whose normal form, lower case and class are beyond doubt; texts
 #: with others are tokenised as a whole by the library.
 _PLAIN = re.compile(r"[\t\n\r -~¡-©«-¬®-±´¶-¸»¿-ÖØ-öø-ÿ×÷]*")
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+| ")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 _CACHED = 100_000
+#: Bytes of a part that is merged together with others; longer ones go to the library.
+_WIDEST = 64
+_NONE = np.iinfo(np.int32).max
+_SPREAD = np.uint32(0x9E3779B1)
 
 
 class _Known:
-    """Ids of the strings met so far, numbered in order of arrival."""
+    """Ids of the words met so far, which are numbered in order of arrival."""
 
     def __init__(self):
-        self.number = defaultdict(itertools.count().__next__)
+        self.number = pa.array([], pa.string())
         self.starts = self.sizes = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
 
-    def numbers(self, strings: list[str]) -> np.ndarray:
-        """Numbers of strings; new ones are still to be added."""
-        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
-
-    def fresh(self) -> list[str]:
-        """Numbered strings whose ids are not known yet."""
-        return list(itertools.islice(self.number, len(self.starts), None))
-
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """Ids of the fresh strings, one after another."""
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Numbers of distinct words, and those that are new and still to be added."""
+        found = pc.index_in(words, value_set=self.number)
+        new = found.is_null().to_numpy(zero_copy_only=False)
+        numbers = found.fill_null(0).to_numpy().astype(np.int64)
+        numbers[new] = len(self.number) + np.arange(int(new.sum()))
+        return numbers, words.filter(pa.array(new))
+
+    def add(self, words: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """New words and their ids, one after another."""
+        self.number = pa.concat_arrays([self.number, words])
         ends = np.cumsum(sizes)
         self.starts = np.concatenate([self.starts, len(self.flat) + ends - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, flat])
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of numbered strings in a row, and how many each has."""
+        """Ids of numbered words in a row, and how many each has."""
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        places = np.repeat(self.starts[numbers] - (ends - sizes), sizes) + np.arange(total)
-        return self.flat[places], sizes
+        return _gather(self.flat, self.starts[numbers], sizes), sizes
+
+
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The given runs of an array, one after another."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(total)]
+
+
+class _Merges:
+    """Byte-pair merges of many parts at once, each as the library does it: of the
+    pairs of a part the one of least rank, the first of equal ones, until none is
+    left."""
+
+    def __init__(self, model: dict):
+        vocab, suffix = model["vocab"], model["end_of_word_suffix"]
+        signs = _byte_signs()
+        self.inner = np.array([vocab[c] for c in signs], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in signs], np.int32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merged = np.array([vocab[x + y] for x, y in pairs], np.int32)
+        self.bits = max(len(pairs).bit_length() + 2, 8)
+        self.keys = np.full(1 << self.bits, 0xFFFFFFFF, np.uint32)
+        self.ranks = np.full(1 << self.bits, _NONE, np.int32)
+        keys = np.array([vocab[x] << 16 | vocab[y] for x, y in pairs], np.uint32)
+        # A pair named twice has its last rank.
+        keys, at = np.unique(keys[::-1], return_index=True)
+        ranks = (len(pairs) - 1 - at).astype(np.int32)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] == 0xFFFFFFFF
+            chosen = np.flatnonzero(free)[np.unique(slots[free], return_index=True)[1]]
+            self.keys[slots[chosen]], self.ranks[slots[chosen]] = keys[chosen], ranks[chosen]
+            left = np.ones(len(keys), bool)
+            left[chosen] = False
+            keys, ranks = keys[left], ranks[left]
+            slots = (slots[left] + 1) & ((1 << self.bits) - 1)
+
+    @classmethod
+    def of(cls, shape: dict) -> _Merges | None:
+        """The merges of a vocabulary file; ``None`` if it works in another way."""
+        model = shape["model"]
+        plain = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None}
+        plain |= {"ignore_merges": False}
+        if any((model.get(name) or None) != (value or None) for name, value in plain.items()):
+            return None
+        vocab, suffix = model["vocab"], model.get("end_of_word_suffix")
+        if not suffix or max(vocab.values()) >= 0xFFFF or len(model["merges"]) >= _NONE // _WIDEST:
+            return None
+        if not all(c in vocab and c + suffix in vocab for c in _byte_signs()):
+            return None
+        return cls(model)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * _SPREAD >> np.uint32(32 - self.bits)).astype(np.int64)
+
+    def rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids."""
+        keys = x.astype(np.uint32) << np.uint32(16) | y.astype(np.uint32)
+        slots = self._slots(keys)
+        held = self.keys[slots]
+        out = np.where(held == keys, self.ranks[slots], _NONE)
+        at = np.flatnonzero((held != keys) & (held != 0xFFFFFFFF))
+        while len(at):
+            slots[at] = (slots[at] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slots[at]]
+            same = held == keys[at]
+            out[at[same]] = self.ranks[slots[at[same]]]
+            at = at[~same & (held != 0xFFFFFFFF)]
+        return out
+
+    def _ordered(self, x: np.ndarray, y: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Rank and place of pairs as one number."""
+        rank = self.rank(x, y)
+        return np.where(rank < _NONE, rank * _WIDEST + place, _NONE).astype(np.int32)
+
+    def encode(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of 1 to ``_WIDEST`` bytes one after another, and how many each has."""
+        found, counts, order = [], [], []
+        low = 0
+        for high in (*range(1, 17), 20, 24, 32, 48, _WIDEST):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            low = high
+            for at in range(0, len(rows), 1 << 14):
+                own = rows[at : at + (1 << 14)]
+                ids, count = self._encode(flat, starts[own], sizes[own], high)
+                found.append(ids)
+                counts.append(count)
+                order.append(own)
+        if not order:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        counts, order = np.concatenate(counts), np.concatenate(order)
+        out, begins = np.zeros((2, len(sizes)), np.int64)
+        out[order], begins[order] = counts, np.cumsum(counts) - counts
+        return _gather(np.concatenate(found), begins, out), out
+
+    def _encode(self, flat, starts, sizes, width) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` of parts of at most ``width`` bytes; a column is a part."""
+        count, line = len(starts), np.arange(width)[:, None]
+        inside = line < sizes
+        raw = flat[np.where(inside, starts + line, 0)]
+        ids = np.where(line == sizes - 1, self.last[raw], self.inner[raw])
+        ids[~inside] = -1
+        if width > 1:
+            pairs = np.full((width, count), _NONE, np.int32)
+            here = line[1:] < sizes
+            places = np.broadcast_to(line[:-1], here.shape)
+            pairs[:-1][here] = self._ordered(ids[:-1][here], ids[1:][here], places[here])
+            self._merge(ids, pairs, sizes)
+        kept = ids.T >= 0
+        return ids.T[kept].astype(np.uint32), kept.sum(1)
+
+    def _merge(self, ids: np.ndarray, pairs: np.ndarray, sizes: np.ndarray) -> None:
+        """One merge of each part at a time, in place; parts that are done are left out."""
+        width, count = ids.shape
+        after = np.repeat(np.arange(1, width + 1), count)
+        before = after - 2
+        all_ids, all_pairs = ids.reshape(-1), pairs.reshape(-1)
+        rows, live = np.arange(count), pairs
+        while True:
+            best = live.min(0)
+            some = best < _NONE
+            left = int(some.sum())
+            if not left:
+                return
+            best, own = best[some], rows[some]
+            if 4 * left < 3 * len(rows):
+                rows = own
+            place = (best % _WIDEST).astype(np.int64)
+            at = place * count + own
+            right = after[at] * count + own
+            following = after[right]
+            new = self.merged[best // _WIDEST]
+            all_ids[at], all_ids[right], all_pairs[right], all_pairs[at] = new, -1, _NONE, _NONE
+            after[at] = following
+            more = np.flatnonzero(following < sizes[own])
+            then = following[more] * count + own[more]
+            before[then] = place[more]
+            all_pairs[at[more]] = self._ordered(new[more], all_ids[then], place[more])
+            prior = before[at]
+            more = np.flatnonzero(prior >= 0)
+            back = prior[more] * count + own[more]
+            all_pairs[back] = self._ordered(all_ids[back], new[more], prior[more])
+            live = pairs if len(rows) == count else pairs[:, rows]
+
+
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = (b for b in range(256) if b not in set(shown))
+    signs = {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+    return [signs[b] for b in range(256)]
+
+
+#: Letter 1, digit 2, rest 0; the lead byte 0xC3 is told by the byte behind it.
+_KIND = np.zeros(256, np.int8)
+_KIND[ord("a") : ord("z") + 1], _KIND[ord("0") : ord("9") + 1] = 1, 2
+
+
+def _part_starts(words: pa.Array, flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """First bytes of the parts of lower-case words of beyond-doubt characters."""
+    kind = _KIND[flat]
+    behind = np.append(flat[1:], np.uint8(0))
+    kind[(flat == 0xC3) & (behind >= 0x9F) & (behind != 0xB7)] = 1
+    tail = (flat >= 0x80) & (flat < 0xC0)
+    kind[tail] = kind[np.flatnonzero(tail) - 1]
+    cut = np.ones(len(flat), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    cut[bounds[:-1][np.diff(bounds) > 0]] = True
+    cut[tail] = False
+    # Endings with an apostrophe are parts of their own.
+    for n in np.unique(np.searchsorted(bounds, np.flatnonzero(flat == ord("'")), side="right") - 1).tolist():
+        at = int(bounds[n])
+        cut[at : int(bounds[n + 1])] = False
+        for part in _PARTS.findall(words[n].as_py()):
+            cut[at] = True
+            at += len(part.encode())
+    return np.flatnonzero(cut)
 
 
 class WordTokenizer:
@@ -109,16 +289,8 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as source:
             shape = json.load(source)
         self._whole = Tokenizer.from_file(path)
-        shape["normalizer"] = None
-        shape["added_tokens"] = []
-        shape["pre_tokenizer"] = {
-            "type": "ByteLevel",
-            "add_prefix_space": False,
-            "trim_offsets": True,
-            "use_regex": False,
-        }
-        self._merges = Tokenizer.from_str(json.dumps(shape))
-        self._words, self._parts = _Known(), _Known()
+        self._merges = _Merges.of(shape)
+        self._words = _Known()
 
     @classmethod
     def of(cls, path: str | None) -> WordTokenizer:
@@ -131,36 +303,39 @@ class WordTokenizer:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _learn(self) -> None:
+    def _learn(self, fresh: pa.Array) -> None:
         """Work out the words not met before."""
-        fresh = self._words.fresh()
-        if not fresh:
-            return
-        found = _PARTS.findall(" ".join(fresh))
-        gap = np.fromiter((p == " " for p in found), bool, len(found))
-        parts = self._parts.numbers([p for p in found if p != " "])
-        new = self._parts.fresh()
-        if new:
-            coded = self._merges.encode(new, is_pretokenized=True, add_special_tokens=False)
-            owner = np.array(coded.word_ids, np.int64)
-            self._parts.add(np.array(coded.ids, np.uint32), np.bincount(owner, minlength=len(new)))
-        flat, sizes = self._parts.ids(parts)
-        word = np.cumsum(gap)[~gap]
-        counts = np.bincount(word, weights=sizes, minlength=len(fresh)).astype(np.int64)
-        self._words.add(flat, counts)
+        flat, bounds = flat_bytes(fresh)
+        starts = _part_starts(fresh, flat, bounds)
+        sizes = np.diff(np.append(starts, len(flat)))
+        word = np.searchsorted(bounds, starts, side="right") - 1
+        wide = np.unique(word[sizes > _WIDEST])
+        if len(wide):
+            narrow = ~np.isin(word, wide)
+            starts, sizes, word = starts[narrow], sizes[narrow], word[narrow]
+        ids, counts = self._merges.encode(flat, starts, sizes)
+        counts = np.bincount(word, weights=counts, minlength=len(fresh)).astype(np.int64)
+        begins = np.cumsum(counts) - counts
+        long = [self._whole.encode(fresh[n].as_py(), add_special_tokens=False).ids for n in wide.tolist()]
+        for n, own in zip(wide.tolist(), long, strict=True):
+            begins[n], counts[n] = len(ids), len(own)
+            ids = np.append(ids, np.array(own, np.uint32))
+        self._words.add(fresh, _gather(ids, begins, counts), counts)
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit arrays."""
-        if len(self._words.number) > _CACHED or len(self._parts.number) > _CACHED:
-            self._words, self._parts = _Known(), _Known()
-        plain = [i for i, t in enumerate(batch) if "<|" not in t and _PLAIN.fullmatch(t)]
-        words = [batch[i].lower().split() for i in plain]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        numbers = self._words.numbers(list(itertools.chain.from_iterable(words)))
-        self._learn()
-        flat, sizes = self._words.ids(numbers)
+        if len(self._words.number) > _CACHED:
+            self._words = _Known()
+        plain = [i for i, t in enumerate(batch) if self._merges and "<|" not in t and _PLAIN.fullmatch(t)]
+        lower = pc.utf8_lower(pa.array([batch[i] for i in plain], pa.string()))
+        split = pc.ascii_split_whitespace(lower)
+        words = split.flatten().dictionary_encode()
+        distinct, fresh = self._words.numbers(words.dictionary)
+        if len(fresh):
+            self._learn(fresh)
+        flat, sizes = self._words.ids(distinct[words.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
+        bounds = ends[split.offsets.to_numpy()]
         out: list = [None] * len(batch)
         for n, i in enumerate(plain):
             out[i] = flat[bounds[n] : bounds[n + 1]]

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 
@@ -111,3 +112,33 @@ def test_a_worker_forgets_words_beyond_its_tables():
         most = max(most, len(tokenizer._words.number))
     assert most <= 105_000
     assert [ids.tolist() for ids in tokenizer.encode(texts[:1])] == first
+
+
+def test_merges_of_many_parts_give_the_librarys_ids():
+    own = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    draw = np.random.default_rng(5)
+    latin = [chr(c) for c in [*range(33, 127), *range(0xA1, 0x100)] if packing._PLAIN.fullmatch(chr(c))]
+    syllables = ["th", "er", "in", "an", "on", "ung", "tion", "s", "e", "'s", "'ll", "!'t", "7", "ß", "é", "À", "×", "."]
+    words = latin + ["".join(draw.choice(latin, n)) for n in draw.integers(1, 12, 3000)]
+    words += ["".join(draw.choice(syllables, n)) for n in draw.integers(1, 14, 3000)]
+    words += ["a" * n for n in (63, 64, 65, 300)] + ["é" * 40, "ab'" * 50, "x'll" * 30, "=" * 200]
+    texts = [" ".join(draw.choice(words, 20)) for _ in range(300)] + words + ["\t", " \n x ", "a\r\nb"]
+    whole_texts = own._whole
+    asked = []
+    own._whole = type("Asked", (), {"encode": lambda _, t, **k: asked.append(t) or whole_texts.encode(t, **k)})()
+    got = own.encode(texts)
+    assert [g.tolist() for g in got] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    # Only words with a part beyond the width go to the library, each once.
+    assert len(asked) == len(set(asked)) <= 6
+    assert [g.tolist() for g in own.encode(texts)] == [g.tolist() for g in got]
+    assert len(asked) <= 6
+
+
+def test_a_vocabulary_of_another_kind_is_read_whole(tmp_path):
+    model = {"type": "WordLevel", "vocab": {"a": 0, "b": 1, "?": 3}, "unk_token": "?"}
+    shape = {"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None}
+    shape |= {"pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "decoder": None, "model": model}
+    path = tmp_path / "words.json"
+    path.write_text(json.dumps(shape))
+    assert [g.tolist() for g in packing.WordTokenizer(str(path)).encode(["a b A", ""])] == [[0, 1, 3], []]

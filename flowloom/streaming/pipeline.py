@@ -70,12 +70,12 @@ _MERGES = [
 
 
 def _merge(parts: pa.Table) -> pa.Table:
-    """One row per flow and window from rows of partial totals."""
+    """One row per flow and window from rows of partial totals, in their schema."""
     ordered = parts.sort_by("first_packet")
     merged = ordered.group_by([*KEYS, "window_index"], use_threads=False).aggregate(_MERGES)
-    return merged.select(
-        [*KEYS, "window_index", *(f"{name}_{how}" for name, how in _MERGES)]
-    ).rename_columns([*KEYS, *TOTAL_NAMES])
+    merged = merged.select([*KEYS, "window_index", *(f"{name}_{how}" for name, how in _MERGES)])
+    # Aggregates may be null by their own schema; only tables of one schema can be put together.
+    return pa.Table.from_arrays(merged.columns, schema=parts.schema)
 
 
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

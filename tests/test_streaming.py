@@ -90,6 +90,41 @@ def test_flow_windows_over_triggers_equal_the_batch(spark):
     assert got.count() == len(listed)
 
 
+@pytest.mark.parametrize("clients, most", [(40, 40), (90_000, 300_000)])
+def test_a_task_combines_more_packets_than_it_holds(spark, clients, most):
+    """What is merged is held on with later packets, or passed on where it is much."""
+
+    def combined(tasks):
+        n = F.col("id")
+        rows = spark.range(450_000, numPartitions=tasks).select(
+            F.lit("vpn_ssh_capture0.pcap").alias("capture_id"),
+            n.alias("packet_number"),
+            (n / 50_000).alias("timestamp_seconds"),
+            F.when(n % 7 == 1, "10.0.0.2").otherwise("10.0.0.1").alias("source_address"),
+            (n % clients).cast("int").alias("source_port"),
+            F.when(n % 7 == 1, "10.0.0.1").otherwise("10.0.0.2").alias("destination_address"),
+            (n % clients).cast("int").alias("destination_port"),
+            F.lit(6).alias("protocol"),
+            (40 + n % 90).alias("size"),
+            F.lit(0.0).alias("capture_origin"),
+        )
+        return pipeline.combine_packets(rows, SECONDS)
+
+    def totals(rows):
+        return rows.groupBy(*pipeline.KEYS, "window_index").agg(
+            *(F.sum(c).alias(c) for c in ("packets", "up_packets", "bytes", "up_bytes")),
+            *(F.min(c).alias(c) for c in ("first_packet", "first_seconds")),
+            *(F.max(c).alias(c) for c in ("last_packet", "last_seconds")),
+            F.min_by("opens_up", "first_packet").alias("opens_up"),
+        )
+
+    one = combined(1).localCheckpoint()
+    got, wanted = totals(one), totals(combined(9))
+    assert clients == wanted.count() == got.count() <= one.count() <= most
+    assert got.exceptAll(wanted).count() == 0
+    assert got.agg(F.sum("packets")).first()[0] == 450_000
+
+
 def test_late_packets_are_faults_and_change_nothing(spark):
     rows = traffic(captures=1, packets=60)
     path = scratch_path(spark, "windows")
